@@ -42,7 +42,7 @@ def read_csv(
         .option("mode", "PERMISSIVE")
         .csv(path)
     )
-    cleaned = raw.select(*[F.when(F.trim(qcol(c)).isin(markers) | (qcol(c) == ""), None).otherwise(qcol(c)).alias(c) for c in raw.columns])
+    cleaned = raw.select(*[F.when(qcol(c).isin(markers), None).otherwise(qcol(c)).alias(c) for c in raw.columns])
     if schema:
         return cleaned.select(*[F.col(f.name).cast(f.dataType) for f in spark.createDataFrame([], schema).schema.fields])
     if not infer_types:
@@ -97,7 +97,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     """Write CSV (with header), JSON or Parquet."""
     w = df.write.mode(mode)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        # keep values verbatim (Spark's CSV writer trims by default)
+        w.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     elif fmt == "json":
         w.json(path)
     elif fmt == "parquet":
