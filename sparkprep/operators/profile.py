@@ -60,7 +60,9 @@ def value_counts_long(df: DataFrame, cols: Sequence[str] | None = None) -> DataF
     """Non-missing value counts of many columns in one shuffle.
 
     Returns ``(column string, value string, num double, cnt bigint)``;
-    ``num`` is the numeric value for numeric columns, else null.
+    ``num`` is the numeric value for numeric columns, else null. Rows are
+    grouped on typed keys (integral / floating / text), so numbers are
+    turned into strings only once per distinct value, after the shuffle.
     """
     cols = list(cols) if cols is not None else atomic_columns(df)
     schema = T.StructType(
@@ -76,16 +78,27 @@ def value_counts_long(df: DataFrame, cols: Sequence[str] | None = None) -> DataF
     items = []
     for c in cols:
         dt = field_type(df, c)
-        if is_numeric(dt):
-            num = missing_safe(df, c).cast("double")
-            val = F.when(~is_missing(df, c), qcol(c).cast("string"))
+        ival = F.lit(None).cast("bigint")
+        dval = F.lit(None).cast("double")
+        sval = F.lit(None).cast("string")
+        if isinstance(dt, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+            ival = qcol(c).cast("bigint")
+        elif is_numeric(dt):
+            dval = missing_safe(df, c).cast("double")
         else:
-            num = F.lit(None).cast("double")
-            val = qcol(c).cast("string")
-        items.append(F.struct(F.lit(c).alias("column"), val.alias("value"), num.alias("num")))
-    long = df.select(F.explode(F.array(*items)).alias("kv")).select("kv.*").filter(F.col("value").isNotNull())
-    return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"), F.max("num").alias("num")).select(
-        "column", "value", "num", "cnt"
+            sval = qcol(c).cast("string")
+        items.append(F.struct(F.lit(c).alias("column"), sval.alias("s"), ival.alias("i"), dval.alias("d")))
+    long = (
+        df.select(F.explode(F.array(*items)).alias("kv"))
+        .select("kv.*")
+        .filter(F.col("s").isNotNull() | F.col("i").isNotNull() | F.col("d").isNotNull())
+    )
+    g = long.groupBy("column", "s", "i", "d").agg(F.count(F.lit(1)).alias("cnt"))
+    return g.select(
+        "column",
+        F.coalesce(F.col("s"), F.col("i").cast("string"), F.col("d").cast("string")).alias("value"),
+        F.coalesce(F.col("d"), F.col("i").cast("double")).alias("num"),
+        "cnt",
     )
 
 
@@ -152,6 +165,7 @@ def quantiles_from_counts(
     buckets: int = 64,
     accuracy: int = 10000,
     buffer_limit: int = EXACT_BUFFER_LIMIT,
+    n_rows: int | None = None,
 ) -> DataFrame:
     """Exact quantiles from distinct ``(column, num, cnt)`` rows.
 
@@ -161,7 +175,10 @@ def quantiles_from_counts(
     notes), which is exact for any number of distinct values.
     """
     dv = dv.filter(F.col("num").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
-    max_distinct = dv.groupBy("column").count().agg(F.max("count")).first()[0] or 0
+    if n_rows is not None and n_rows <= buffer_limit:
+        max_distinct = n_rows  # distinct values never exceed rows: no extra job
+    else:
+        max_distinct = dv.groupBy("column").count().agg(F.max("count")).first()[0] or 0
     if max_distinct <= buffer_limit:
         parr = F.array(*[F.lit(float(p)) for p in probs])
         return (
@@ -278,6 +295,7 @@ def profile(
     target_column: str | None = None,
     max_example_values: int = 5,
     quantile_method: str = "exact",
+    approx: bool = False,
 ) -> DataFrame:
     """Per-column profile (reference ``build_dataset_profile``).
 
@@ -288,7 +306,10 @@ def profile(
     """
     cols = atomic_columns(df)
     sub = df.select(*[qcol(c) for c in cols])
-    n = F.lit(sub.count())
+    if approx:
+        return _profile_approx(sub, cols, max_example_values)
+    n_rows = sub.count()
+    n = F.lit(n_rows)
     vc = value_counts_long(sub, cols).persist(StorageLevel.MEMORY_AND_DISK)
     per_col = vc.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"), F.sum("cnt").alias("non_missing"))
     samples = (
@@ -306,7 +327,7 @@ def profile(
     )
     if quantile_method == "exact":
         dv = vc.filter(F.col("column").isin(num_cols)).select("column", "num", "cnt")
-        med = quantiles_from_counts(dv, [0.5])
+        med = quantiles_from_counts(dv, [0.5], n_rows=n_rows)
     else:
         med = quantiles_long(sub, num_cols, [0.5], method=quantile_method)
     med = med.select("column", F.round("value", 6).alias("num_median"))
@@ -337,6 +358,74 @@ def profile(
     )
 
 
+def _profile_approx(sub: DataFrame, cols: Sequence[str], k: int, accuracy: int = 10000) -> DataFrame:
+    """Scale mode: no full value-count shuffle. One wide aggregate gives
+    missing counts, HyperLogLog distinct counts, min/max/mean and
+    ``percentile_approx`` medians; samples are the ``k`` smallest distinct
+    values via a ``dense_rank <= k`` window, which Spark limits map-side."""
+    items = []
+    for c in cols:
+        dt = field_type(sub, c)
+        x = missing_safe(sub, c)
+        num = is_numeric(dt)
+        xd = x.cast("double")
+        items.append(
+            F.struct(
+                F.lit(c).alias("column"),
+                F.count_if(is_missing(sub, c)).alias("missing_count"),
+                F.approx_count_distinct(x).alias("n_unique"),
+                (F.min(xd) if num else F.lit(None).cast("double")).alias("num_min"),
+                (F.max(xd) if num else F.lit(None).cast("double")).alias("num_max"),
+                (F.round(F.avg(xd), 6) if num else F.lit(None).cast("double")).alias("num_mean"),
+                (F.round(F.percentile_approx(xd, 0.5, accuracy), 6) if num else F.lit(None).cast("double")).alias("num_median"),
+                F.count(F.lit(1)).alias("n"),
+            )
+        )
+    stats = sub.agg(F.array(*items).alias("a")).select(F.explode("a").alias("s")).select("s.*")
+    long = sub.select(
+        F.explode(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(c).alias("column"),
+                        F.when(~is_missing(sub, c), qcol(c).cast("string")).alias("value"),
+                        (missing_safe(sub, c).cast("double") if is_numeric(field_type(sub, c)) else F.lit(None).cast("double")).alias("num"),
+                    )
+                    for c in cols
+                ]
+            )
+        ).alias("kv")
+    ).select("kv.*").filter(F.col("value").isNotNull())
+    w = Window.partitionBy("column").orderBy(F.asc_nulls_last("num"), F.asc("value"))
+    samples = (
+        long.withColumn("r", F.dense_rank().over(w))
+        .filter(F.col("r") <= k)
+        .select("column", "r", "value")
+        .distinct()
+        .groupBy("column")
+        .agg(F.sort_array(F.collect_list(F.struct("r", "value"))).alias("sv"))
+        .select("column", F.transform("sv", lambda x: x["value"]).alias("sample_values"))
+    )
+    meta = _schema_frame(sub)
+    out = meta.join(stats, "column", "left").join(samples, "column", "left")
+    return out.select(
+        "position",
+        "column",
+        "dtype",
+        "missing_count",
+        F.round(F.try_divide(F.col("missing_count"), F.col("n")), 6).alias("missing_ratio"),
+        "n_unique",
+        F.coalesce(F.col("sample_values"), F.array().cast("array<string>")).alias("sample_values"),
+        "is_numeric",
+        "is_text_like",
+        (F.col("n_unique") <= 1).alias("is_constant"),
+        "num_min",
+        "num_max",
+        "num_mean",
+        "num_median",
+    )
+
+
 def target_profile(df: DataFrame, target_column: str) -> DataFrame:
     """Class counts of the stringified target, missing included as a class
     (``nan`` for floating targets, ``None`` otherwise)."""
