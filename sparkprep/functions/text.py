@@ -27,6 +27,28 @@ def py_collapse_whitespace(c: Column) -> Column:
     return py_strip(F.regexp_replace(c, rf"(?U){_WS}+", " "))
 
 
+_COMBINING_CLASS: str | None = None
+
+
+def _combining_pattern() -> str:
+    """RE2 character class of every code point with a non-zero canonical
+    combining class, built once per worker from ``unicodedata``."""
+    global _COMBINING_CLASS
+    if _COMBINING_CLASS is None:
+        import sys
+
+        ranges: list[list[int]] = []
+        for cp in range(sys.maxunicode + 1):
+            if unicodedata.combining(chr(cp)):
+                if ranges and ranges[-1][1] == cp - 1:
+                    ranges[-1][1] = cp
+                else:
+                    ranges.append([cp, cp])
+        parts = [f"\\x{{{a:x}}}" if a == b else f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges]
+        _COMBINING_CLASS = "[" + "".join(parts) + "]+"
+    return _COMBINING_CLASS
+
+
 def _strip_accents_py(s: str) -> str:
     nfkd = unicodedata.normalize("NFKD", s)
     return "".join(ch for ch in nfkd if not unicodedata.combining(ch))
@@ -34,16 +56,25 @@ def _strip_accents_py(s: str) -> str:
 
 @F.pandas_udf(T.StringType())
 def _strip_accents_udf(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: v if v is None or v is pd.NA else _strip_accents_py(v))
+    """NFKD per value (C), then one vectorised RE2 pass over the batch that
+    deletes combining marks."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    nf = [None if v is None or v is pd.NA else unicodedata.normalize("NFKD", v) for v in s]
+    out = pc.replace_substring_regex(pa.array(nf, type=pa.string()), pattern=_combining_pattern(), replacement="")
+    return out.to_pandas()
 
 
 def remove_accents(c: Column) -> Column:
     """NFKD, then drop combining marks.
 
-    Spark has no Unicode normaliser, so non-ASCII rows go through one
-    Arrow-batched pandas UDF; pure-ASCII rows (the bulk) never leave the JVM.
+    Spark has no Unicode normaliser, so non-ASCII values go through one
+    Arrow-batched pandas UDF. Python UDFs are evaluated outside conditional
+    expressions, so ASCII rows are passed as null (nothing to ship) and
+    keep their value through ``coalesce``.
     """
-    return F.when(c.rlike(r"[^\x00-\x7f]"), _strip_accents_udf(c)).otherwise(c)
+    return F.coalesce(_strip_accents_udf(F.when(c.rlike(r"[^\x00-\x7f]"), c)), c)
 
 
 def python_repl_to_java(repl: str) -> str:

@@ -128,34 +128,39 @@ def apply_one_hot(df: DataFrame, state: dict, other_label: str = "OTHER", drop_f
     return df.select(*keep, *new)
 
 
-def _ordered_codes(vc: DataFrame, order: str) -> DataFrame:
-    """Code table ``(column, value, code)`` computed on the aggregated
-    category table (one partition per column, never the raw data)."""
-    if order == "alphabetical":
-        w = Window.partitionBy("column").orderBy(F.asc("value"))
-    else:
-        w = Window.partitionBy("column").orderBy(F.desc("cnt"), F.asc("value"))
+def _order_keys(order: str) -> list:
+    return [F.asc("value")] if order == "alphabetical" else [F.desc("cnt"), F.asc("value")]
+
+
+def _small_codes(vc: DataFrame, order: str) -> DataFrame:
+    """Codes for columns whose vocabulary is known to be at most MAP_LIMIT:
+    one window per column over at most MAP_LIMIT rows."""
+    w = Window.partitionBy("column").orderBy(*_order_keys(order))
     return vc.withColumn("code", F.row_number().over(w) - 1).select("column", "value", "code")
 
 
 def fit_ordinal(df: DataFrame, columns: Sequence[str], order: str = "alphabetical", null_category: str | None = None):
-    """Ordinal state: ``{col: {value: code}}`` for small vocabularies, or a
-    code-table DataFrame for large ones (``("table", df)``)."""
+    """Ordinal state: ``{col: {value: code}}`` for vocabularies up to
+    ``MAP_LIMIT`` values, else ``("table", code_df, size)`` where the code
+    table is built by a distributed dense rank (no single-task window)."""
     if order not in {"alphabetical", "frequency"}:
         raise ValueError("encode_categorical 'ordinal_order' must be 'alphabetical' or 'frequency'")
     vc = value_counts_long(df.select(*[as_string(df, c, null_category).alias(c) for c in columns]), list(columns))
+    vc = vc.persist()
     counts = _distinct_counts(vc)
-    codes = _ordered_codes(vc, order)
-    small = [c for c in columns if counts.get(c, 0) <= MAP_LIMIT]
-    state: dict = {}
+    small = [c for c in columns if 0 < counts.get(c, 0) <= MAP_LIMIT]
+    large = [c for c in columns if counts.get(c, 0) > MAP_LIMIT]
+    state: dict = {c: {} for c in columns}
     if small:
-        for r in codes.filter(F.col("column").isin(small)).collect():
-            state.setdefault(r["column"], {})[r["value"]] = int(r["code"])
-    for c in columns:
-        if counts.get(c, 0) == 0:
-            state[c] = {}
-        elif c not in small:
+        for r in _small_codes(vc.filter(F.col("column").isin(small)), order).collect():
+            state[r["column"]][r["value"]] = int(r["code"])
+    if large:
+        from sparkprep.operators.profile import dense_codes
+
+        codes = dense_codes(vc.filter(F.col("column").isin(large)).select("column", "value", "cnt"), _order_keys(order))
+        for c in large:
             state[c] = ("table", codes.filter(F.col("column") == c).select("value", "code"), counts[c])
+    vc.unpersist()  # small maps are collected; large code tables are checkpointed
     return state
 
 

@@ -176,6 +176,9 @@ def fit_mice(df: DataFrame, columns: Sequence[str], max_iter: int = 10, tol: flo
         if inf_norm < norm_tol:
             break
         if depth >= lineage_limit:
+            from sparkprep.session import ensure_checkpoint_dir
+
+            ensure_checkpoint_dir(cur.sparkSession)
             cur = cur.checkpoint(eager=True)
             depth = 0
     return state

@@ -121,7 +121,7 @@ def quantiles_long(
     cols: Sequence[str],
     probs: Sequence[float],
     method: str = "exact",
-    buckets: int = 64,
+    buckets: int = 256,
     accuracy: int = 10000,
     **kw,
 ) -> DataFrame:
@@ -159,81 +159,126 @@ def quantiles_long(
 EXACT_BUFFER_LIMIT = 200_000
 
 
+def _bucket_expr(col: Column, cuts: Sequence[float]) -> Column:
+    """Number of cut points <= ``col`` by binary search (nested CASE, so it
+    compiles into generated code; depth log2(len(cuts)))."""
+
+    def rec(lo: int, hi: int) -> Column:
+        # answer lies in [lo, hi]
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi + 1) // 2  # is cuts[mid-1] <= col ?
+        return F.when(col >= F.lit(float(cuts[mid - 1])), rec(mid, hi)).otherwise(rec(lo, mid - 1))
+
+    return rec(0, len(cuts))
+
+
 def quantiles_from_counts(
     dv: DataFrame,
     probs: Sequence[float],
-    buckets: int = 64,
+    buckets: int = 256,
     accuracy: int = 10000,
     buffer_limit: int = EXACT_BUFFER_LIMIT,
     n_rows: int | None = None,
 ) -> DataFrame:
-    """Exact quantiles from distinct ``(column, num, cnt)`` rows.
-
-    If every column has at most ``buffer_limit`` distinct values, one
-    ``percentile(num, p, cnt)`` aggregate is exact and its buffer is bounded.
-    Otherwise distinct values are ranked inside range buckets (see module
-    notes), which is exact for any number of distinct values.
+    """Exact linear-interpolated quantiles from distinct ``(column, num,
+    cnt)`` rows.
+
+    * If every column has at most ``buffer_limit`` distinct values, one
+      ``percentile(num, p, cnt)`` aggregate is exact with a bounded buffer.
+    * Otherwise a distributed selection: one aggregate returns each
+      column's approximate cut points (``columns x buckets`` numbers), one
+      grouped count returns the rows per range bucket (same size), the
+      driver locates the bucket holding each wanted rank, and only those
+      buckets are ranked (one task per bucket). Exact for any number of
+      distinct values and any skew (a heavy value is one distinct row).
     """
+    spark = _spark(dv)
+    out_schema = "column string, p_index int, prob double, value double"
+    parr = F.array(*[F.lit(float(p)) for p in probs])
     dv = dv.filter(F.col("num").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
-    if n_rows is not None and n_rows <= buffer_limit:
-        max_distinct = n_rows  # distinct values never exceed rows: no extra job
-    else:
-        max_distinct = dv.groupBy("column").count().agg(F.max("count")).first()[0] or 0
-    if max_distinct <= buffer_limit:
-        parr = F.array(*[F.lit(float(p)) for p in probs])
+    b = max(2, int(buckets))
+    cut_probs = [i / b for i in range(1, b)]
+
+    def bounded() -> DataFrame:
         return (
             dv.groupBy("column")
             .agg(F.percentile("num", [float(p) for p in probs], F.col("cnt")).alias("vals"))
             .select("column", F.posexplode("vals").alias("p_index", "value"))
             .select("column", F.col("p_index").cast("int"), F.element_at(parr, F.col("p_index") + 1).alias("prob"), "value")
         )
-    b = max(1, int(buckets))
-    cut_probs = [i / b for i in range(1, b)]
-    if cut_probs:
-        cuts = dv.groupBy("column").agg(F.percentile_approx("num", cut_probs, accuracy).alias("cuts"))
-        bucket = F.size(F.filter(F.col("cuts"), lambda x: x <= F.col("num")))
-        dvb = dv.join(F.broadcast(cuts), "column").withColumn("bucket", bucket).drop("cuts")
-    else:
-        dvb = dv.withColumn("bucket", F.lit(0))
-    bt = dvb.groupBy("column", "bucket").agg(F.sum("cnt").alias("bcnt"))
-    wc = Window.partitionBy("column").orderBy("bucket")
-    bt = bt.select(
-        "column",
-        "bucket",
-        F.coalesce(F.sum("bcnt").over(wc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"),
-        F.sum("bcnt").over(Window.partitionBy("column")).alias("n"),
-    )
-    wb = Window.partitionBy("column", "bucket").orderBy("num").rowsBetween(Window.unboundedPreceding, 0)
+
+    if n_rows is not None and n_rows <= buffer_limit:
+        return bounded()  # distinct values never exceed rows
+    info = dv.groupBy("column").agg(
+        F.count(F.lit(1)).alias("distinct"), F.percentile_approx("num", cut_probs, accuracy).alias("cuts")
+    ).collect()
+    if not info:
+        return spark.createDataFrame([], out_schema)
+    if max(r["distinct"] for r in info) <= buffer_limit:
+        return bounded()
+
+    cols = [r["column"] for r in info]
+    # keep the bucket expression small enough for generated code on wide tables
+    keep = max(8, 4096 // max(len(cols), 1))
+    cuts = {}
+    for r in info:
+        cs = sorted(set(r["cuts"]))
+        step = max(1, -(-len(cs) // keep))
+        cuts[r["column"]] = cs[step - 1 :: step] if step > 1 else cs
+    bucket = F.lit(0)
+    for c in cols:
+        bucket = F.when(F.col("column") == c, _bucket_expr(F.col("num"), cuts[c])).otherwise(bucket)
+    dvb = dv.withColumn("bucket", bucket)
+    sizes: dict[str, dict[int, int]] = {c: {} for c in cols}
+    for r in dvb.groupBy("column", "bucket").agg(F.sum("cnt").alias("n")).collect():
+        sizes[r["column"]][int(r["bucket"])] = int(r["n"])
+
+    # driver: bucket offsets and the (column, bucket) holding each rank
+    wanted: dict[tuple[str, int], list[tuple[int, int, float]]] = {}
+    offsets: dict[tuple[str, int], int] = {}
+    plan: list[tuple[str, int, float, float, int, int]] = []
+    for c in cols:
+        acc = 0
+        for bk in sorted(sizes[c]):
+            offsets[(c, bk)] = acc
+            acc += sizes[c][bk]
+        n = acc
+        for i, p in enumerate(probs):
+            pos = (n - 1) * float(p)
+            lo, hi = int(pos // 1), int(-(-pos // 1))
+            plan.append((c, i, float(p), pos, lo, hi))
+            for k in {lo, hi}:
+                bk = max(x for x in sizes[c] if offsets[(c, x)] <= k)
+                wanted.setdefault((c, bk), []).append((i, k, pos))
+    keys = list(wanted)
+    sel = F.lit(False)
+    for c, bk in keys:
+        sel = sel | ((F.col("column") == c) & (F.col("bucket") == bk))
+    off_expr = F.lit(0).cast("long")
+    for c, bk in keys:
+        off_expr = F.when((F.col("column") == c) & (F.col("bucket") == bk), F.lit(offsets[(c, bk)])).otherwise(off_expr)
+    w = Window.partitionBy("column", "bucket").orderBy("num").rowsBetween(Window.unboundedPreceding, 0)
     ranked = (
-        dvb.join(F.broadcast(bt), ["column", "bucket"])
-        .withColumn("end", F.col("off") + F.sum("cnt").over(wb) - 1)
+        dvb.filter(sel)
+        .withColumn("end", off_expr + F.sum("cnt").over(w) - 1)
         .withColumn("start", F.col("end") - F.col("cnt") + 1)
     )
-    parr = F.array(*[F.lit(float(p)) for p in probs])
-    targets = (
-        bt.select("column", "n")
-        .distinct()
-        .select("column", "n", F.posexplode(parr).alias("p_index", "prob"))
-        .withColumn("pos", (F.col("n") - 1) * F.col("prob"))
-        .withColumn("k", F.explode(F.array_distinct(F.array(F.floor("pos"), F.ceil("pos")))))
-    )
-    hits = ranked.alias("r").join(
-        F.broadcast(targets.alias("t")),
-        (F.col("r.column") == F.col("t.column")) & (F.col("r.start") <= F.col("t.k")) & (F.col("t.k") <= F.col("r.end")),
-    )
-    per_k = hits.select(
-        F.col("t.column").alias("column"), "t.p_index", "t.prob", "t.pos", "t.k", F.col("r.num").alias("num")
-    )
-    lohi = per_k.groupBy("column", "p_index", "prob", "pos").agg(
-        F.min_by("num", "k").alias("lo"), F.max_by("num", "k").alias("hi")
-    )
-    frac = F.col("pos") - F.floor("pos")
-    return lohi.select(
-        "column",
-        F.col("p_index").cast("int"),
-        "prob",
-        (F.col("lo") + (F.col("hi") - F.col("lo")) * frac).alias("value"),
-    )
+    ks = sorted({(c, k) for (c, bk), lst in wanted.items() for (_, k, _) in lst})
+    hit = F.lit(False)
+    for c, k in ks:
+        hit = hit | ((F.col("column") == c) & (F.col("start") <= k) & (F.col("end") >= k))
+    found = ranked.filter(hit).select("column", "num", "start", "end").collect()
+    dv.unpersist()
+
+    def value_at(c: str, k: int) -> float:
+        return next(r["num"] for r in found if r["column"] == c and r["start"] <= k <= r["end"])
+
+    rows = []
+    for c, i, p, pos, lo, hi in plan:
+        vlo, vhi = value_at(c, lo), value_at(c, hi)
+        rows.append((c, i, p, vlo + (vhi - vlo) * (pos - lo)))
+    return spark.createDataFrame(rows, out_schema)
 
 
 def quantiles(
@@ -249,6 +294,41 @@ def quantiles(
     return out
 
 
+# ---------------------------------------------------------- distributed rank
+def dense_codes(values: DataFrame, order: Sequence, partitions: int | None = None) -> DataFrame:
+    """0-based dense codes of distinct ``(column, value, ...)`` rows within
+    each column, in the given sort order, without a single-task window.
+
+    Rows are range-partitioned on ``(column, *order)`` and sorted inside each
+    partition; a row's position inside its partition comes from
+    ``monotonically_increasing_id`` (record number in the low 33 bits). The
+    ranked table is checkpointed (reliably, to the shared checkpoint folder)
+    so positions cannot shift on recomputation; offsets come from a table of
+    at most ``partitions + columns`` rows.
+    """
+    from sparkprep.session import ensure_checkpoint_dir
+
+    spark = _spark(values)
+    ensure_checkpoint_dir(spark)
+    p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col("column"), *order]
+    ranked = (
+        values.repartitionByRange(p, *keys)
+        .sortWithinPartitions(*keys)
+        .withColumn("__pid", F.spark_partition_id())
+        .withColumn("__pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+        .checkpoint(eager=True)
+    )
+    stats = ranked.groupBy("__pid", "column").agg(F.count(F.lit(1)).alias("__n"), F.min("__pos").alias("__p0"))
+    w = Window.partitionBy("column").orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = stats.select("__pid", "column", "__p0", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
+    return (
+        ranked.join(F.broadcast(offs), ["__pid", "column"])
+        .withColumn("code", F.col("__off") + F.col("__pos") - F.col("__p0"))
+        .drop("__pid", "__pos", "__p0", "__off")
+    )
+
+
 # ------------------------------------------------------------------ profile
 def _dtype_name(dt: T.DataType) -> str:
     return dt.simpleString()

@@ -711,10 +711,16 @@ def q_ord_stage(spark, sf):
     return m.transform(d)
 
 
-@query("encode_per_column_part")
+@query(
+    "encode_per_column_part",
+    """WITH b AS (SELECT p_brand, (dense_rank() OVER (ORDER BY p_brand) - 1)::DOUBLE AS p_brand__ord FROM (SELECT DISTINCT p_brand FROM part)),
+oh AS (PIVOT (SELECT p.p_partkey, 'p_type_' || t.p_type AS k, (p.p_type = t.p_type)::DOUBLE AS one
+              FROM part p, (SELECT DISTINCT p_type FROM part) t) ON k USING sum(one) GROUP BY p_partkey)
+SELECT part.p_partkey, part.p_size, b.p_brand__ord, oh.* EXCLUDE (p_partkey) FROM part JOIN b USING (p_brand) JOIN oh USING (p_partkey)""",
+)
 def q_enc_pc(spark, sf):
-    """O38 per-column encoding: brand ordinal, type one-hot (width depends on
-    the data, so checked by row count)."""
+    """O38 per-column encoding: brand ordinal (key matched after name
+    normalisation), type one-hot with data-driven width."""
     p = table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", "p_size")
     m = PlanCleaner(
         Plan(actions=[Action("encode_categorical_per_column", params={"column_encodings": {"P_Brand": "ordinal"}, "default_method": "one_hot"})])
@@ -990,7 +996,54 @@ def q_oversampling(spark, sf):
     )
 
 
-@query("quality_report_leaky_orders")
+_RPT_T = "o_totalprice"
+_RPT_CANDS = ["o_orderkey", "leak_linear", "o_orderstatus", "o_orderstatus_copy", "const_col", "near_const"]
+_RPT_NUM = ["o_orderkey", "leak_linear", "const_col"]
+
+
+def _report_sql() -> str:
+    """All five checks for leaky_orders with target o_totalprice, written
+    independently in SQL (severity rules and message texts)."""
+    t, cands, numc = _RPT_T, _RPT_CANDS, _RPT_NUM
+    ident = ",\n".join(
+        f"coalesce(bool_and(CAST({c} AS VARCHAR) = CAST({t} AS VARCHAR)) FILTER (WHERE {c} IS NOT NULL AND {t} IS NOT NULL), false) AS id_{c}"
+        for c in cands
+    )
+    corr = ",\n".join(
+        f"coalesce(abs(CASE WHEN isnan(corr({c}, {t})) THEN NULL ELSE corr({c}, {t}) END) >= 0.98, false) AS hc_{c}" for c in numc
+    )
+    quote = "'"
+    id_items = ", ".join(f"CASE WHEN id_{c} THEN '{quote}{quote}{c}{quote}{quote}' END" for c in cands)
+    any_id = " OR ".join(f"id_{c}" for c in cands)
+    any_hc = " OR ".join(f"hc_{c}" for c in numc)
+    any_name = " OR ".join(f"contains(lower('{c}'), '{t}')" for c in cands)
+    const = " + ".join(f"(SELECT (count(DISTINCT {c}) <= 1)::INT FROM leaky_orders)" for c in cands)
+    near = " + ".join(
+        f"(SELECT (count(DISTINCT {c}) > 1 AND (SELECT max(n) FROM (SELECT count(*) n FROM leaky_orders "
+        f"WHERE {c} IS NOT NULL GROUP BY {c})) / count({c}) >= 0.99)::INT FROM leaky_orders)"
+        for c in cands
+    )
+    p = len(cands)
+    return cte("leaky_orders") + f""", lk AS (SELECT {ident},
+{corr} FROM leaky_orders),
+nu AS (SELECT count(DISTINCT {t}) AS n, count(*) AS n_rows FROM leaky_orders),
+cc AS (SELECT {const} AS n_const, {near} AS n_near)
+SELECT 'check_target_distribution' AS code, 'info' AS severity,
+ 'Target appears continuous (nunique=' || n || '). Review distribution before regression.' AS message FROM nu WHERE n > 20
+UNION ALL
+SELECT 'flag_leakage', CASE WHEN {any_id} OR {any_hc} THEN 'critical' WHEN {any_name} THEN 'warning' ELSE 'info' END,
+ CASE WHEN {any_id} THEN 'Found features identical to target: [' || concat_ws(', ', {id_items}) || '] (strong leakage).'
+      WHEN {any_hc} THEN 'Found highly correlated numeric features with target (|corr|>=0.98). Potential leakage.'
+      ELSE 'No strong leakage signals detected.' END FROM lk
+UNION ALL
+SELECT 'flag_redundant_or_constant_features', CASE WHEN n_const >= 5 THEN 'critical' WHEN n_const >= 1 THEN 'warning' ELSE 'info' END,
+ 'Found ' || n_const || ' constant columns and ' || n_near || ' near-constant columns (top value ratio >= 0.99). Consider dropping or reviewing them.' FROM cc
+UNION ALL
+SELECT 'recommend_feature_selection', CASE WHEN {p} / n_rows >= 1.0 THEN 'critical' WHEN {p} / n_rows >= 0.5 THEN 'warning' ELSE 'info' END,
+ 'Feature selection may be beneficial: p={p} features, n=' || n_rows || ' rows (p/n=' || printf('%.2f', {p} / n_rows) || '). Consider dropping redundant/constant features or using regularization.' FROM nu"""
+
+
+@query("quality_report_leaky_orders", _report_sql())
 def q_report(spark, sf):
     """P6 all checks in order as (code, severity, message, evidence JSON)."""
     return quality.quality_report(dirty(spark, sf, "leaky_orders"), "o_totalprice").select("code", "severity", "message")
@@ -1109,7 +1162,17 @@ def q_json(spark, sf):
 
 
 # =============================================================== X1, X2
-@query("stream_transform_events")
+@query(
+    "stream_transform_events",
+    """WITH q AS (SELECT quantile_cont(value, 0.25) q1, quantile_cont(value, 0.75) q3 FROM events),
+c AS (SELECT event_id, event_type, CASE WHEN q3 - q1 = 0 THEN value
+  WHEN value < q1 - 3.0 * (q3 - q1) THEN q1 - 3.0 * (q3 - q1) WHEN value > q3 + 3.0 * (q3 - q1) THEN q3 + 3.0 * (q3 - q1) ELSE value END AS value FROM events, q),
+s AS (SELECT skewness(value) g, min(value) mn, count(value) n FROM c),
+t AS (SELECT event_id, CASE WHEN n >= 10 AND abs(g) > 1.0 AND mn >= 0 THEN ln(1 + CASE WHEN value < 0 THEN 0 ELSE value END) ELSE value END AS value FROM c, s),
+oh AS (PIVOT (SELECT e.event_id, 'event_type_' || k.event_type AS k, (e.event_type = k.event_type)::DOUBLE AS one
+              FROM events e, (SELECT DISTINCT event_type FROM events) k) ON k USING sum(one) GROUP BY event_id)
+SELECT t.event_id, round(t.value, 6) AS value, oh.* EXCLUDE (event_id) FROM t JOIN oh USING (event_id)""",
+)
 def q_stream(spark, sf):
     """X1 a plan model fitted on the batch table applied to the same table
     read as a file stream (clip, log1p, one-hot)."""
@@ -1133,7 +1196,7 @@ def q_stream(spark, sf):
     )
     name = f"stream_{uuid.uuid4().hex[:8]}"
     ck = os.path.join(ensure_checkpoint_dir(spark), name)
-    return run_to_table(transform_stream(stream, model), name, ck)
+    return run_to_table(transform_stream(stream, model), name, ck).withColumn("value", r6("value"))
 
 
 @query("stream_dedup_events")

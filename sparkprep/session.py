@@ -36,17 +36,21 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint directory named by the cluster.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when it is unset
-    (local tests) do we create one under the system temp folder.
+    The cluster names it in ``spark.checkpoint.dir``. Only a local-mode
+    session (tests, bench) without that setting gets a folder under the
+    system temp directory; on a cluster a missing setting is an error,
+    because a machine-local folder would not survive executor loss.
     """
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return current
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
         sc.setCheckpointDir(configured)
         return configured
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: point it at a shared folder (HDFS/S3/ABFS/GCS)")
     path = tempfile.mkdtemp(prefix="sparkprep-ckpt-")
     sc.setCheckpointDir(path)
     return path
