@@ -121,37 +121,129 @@ def quantiles_long(
     cols: Sequence[str],
     probs: Sequence[float],
     method: str = "exact",
-    buckets: int = 256,
+    buckets: int = 32,
     accuracy: int = 10000,
-    **kw,
+    buffer_limit: int | None = None,
+    bracket_limit: int = 5_000_000,
 ) -> DataFrame:
     """Linear-interpolated quantiles (pandas / ``quantile_cont``) as a long
     DataFrame ``(column, p_index, prob, value)``; NaN and null are skipped.
 
-    ``method="approx"`` uses ``percentile_approx`` (rank error ~1/accuracy).
+    Exact by default: a direct ``percentile`` aggregate when the table has
+    at most ``buffer_limit`` rows (its buffer is bounded by the row count),
+    otherwise a distributed selection over the raw rows
+    (:func:`_quantiles_by_brackets`). ``method="approx"`` uses
+    ``percentile_approx`` (rank error about ``1/accuracy``).
     """
     spark = _spark(df)
     out_schema = "column string, p_index int, prob double, value double"
     cols = [c for c in cols if is_numeric(field_type(df, c))]
     if not cols or not probs:
         return spark.createDataFrame([], out_schema)
-    if method == "approx":
-        items = [
-            F.struct(
-                F.lit(c).alias("column"),
-                F.percentile_approx(missing_safe(df, c).cast("double"), list(probs), accuracy).alias("vals"),
-            )
-            for c in cols
-        ]
+    parr = F.array(*[F.lit(float(p)) for p in probs])
+
+    def explode_agg(fn) -> DataFrame:
+        items = [F.struct(F.lit(c).alias("column"), fn(missing_safe(df, c).cast("double")).alias("vals")) for c in cols]
         return (
             df.agg(F.array(*items).alias("a"))
             .select(F.explode("a").alias("s"))
             .select("s.column", F.posexplode("s.vals").alias("p_index", "value"))
-            .withColumn("prob", F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("p_index") + 1))
-            .select("column", F.col("p_index").cast("int"), "prob", "value")
+            .select("column", F.col("p_index").cast("int"), F.element_at(parr, F.col("p_index") + 1).alias("prob"), "value")
         )
-    dv = value_counts_long(df, cols).select("column", "num", "cnt")
-    return quantiles_from_counts(dv, probs, buckets=buckets, accuracy=accuracy, **kw)
+
+    if method == "approx":
+        return explode_agg(lambda x: F.percentile_approx(x, [float(p) for p in probs], accuracy))
+    limit = EXACT_BUFFER_LIMIT if buffer_limit is None else buffer_limit
+    if df.count() <= limit:
+        return explode_agg(lambda x: F.percentile(x, [float(p) for p in probs]))
+    return _quantiles_by_brackets(df, cols, probs, accuracy, bracket_limit, buckets)
+
+
+def _quantiles_by_brackets(
+    df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int, bracket_limit: int, buckets: int
+) -> DataFrame:
+    """Exact selection over raw rows in three scans and one small shuffle.
+
+    1. ``percentile_approx`` at ``p -/+ delta`` gives a value bracket
+       ``[L, U]`` around each wanted rank (plus the non-missing count).
+    2. One aggregate counts the rows below ``L`` and inside ``[L, U]``;
+       if a wanted rank is not provably inside its bracket (or a bracket
+       holds more than ``bracket_limit`` rows) the exact bucket path over
+       distinct values takes over.
+    3. Rows inside the brackets are counted per distinct value (map-side
+       partial aggregation, so a heavy value is one row), ranked per
+       bracket with a window, and only the rows covering a wanted rank are
+       returned to the driver.
+    """
+    spark = _spark(df)
+    out_schema = "column string, p_index int, prob double, value double"
+    xs = {c: missing_safe(df, c).cast("double") for c in cols}
+    delta = 8.0 / accuracy
+    ext = []
+    for p in probs:
+        ext += [max(0.0, float(p) - delta), min(1.0, float(p) + delta)]
+    r1 = df.agg(
+        *[F.percentile_approx(xs[c], ext, accuracy).alias(f"br{j}") for j, c in enumerate(cols)],
+        *[F.count(xs[c]).alias(f"n{j}") for j, c in enumerate(cols)],
+    ).first()
+    tg = {}
+    for j, c in enumerate(cols):
+        n = int(r1[f"n{j}"])
+        if n == 0 or r1[f"br{j}"] is None:
+            continue
+        for i, p in enumerate(probs):
+            pos = (n - 1) * float(p)
+            tg[(c, i)] = (r1[f"br{j}"][2 * i], r1[f"br{j}"][2 * i + 1], pos, int(pos // 1), int(-(-pos // 1)))
+    if not tg:
+        return spark.createDataFrame([], out_schema)
+    keys = list(tg)
+    conds = {key: (xs[key[0]] >= F.lit(tg[key][0])) & (xs[key[0]] <= F.lit(tg[key][1])) for key in keys}
+    aggs = []
+    for t, key in enumerate(keys):
+        aggs.append(F.count_if(xs[key[0]] < F.lit(tg[key][0])).alias(f"b{t}"))
+        aggs.append(F.count_if(conds[key]).alias(f"w{t}"))
+    r2 = df.agg(*aggs).first()
+    below = {}
+    for t, key in enumerate(keys):
+        b_, w_ = int(r2[f"b{t}"]), int(r2[f"w{t}"])
+        _, _, _, klo, khi = tg[key]
+        if not (b_ <= klo and khi < b_ + w_) or w_ > bracket_limit:
+            dv = value_counts_long(df, cols).select("column", "num", "cnt")
+            return quantiles_from_counts(dv, probs, buckets=buckets, accuracy=accuracy, buffer_limit=0)
+        below[key] = b_
+
+    any_bracket = F.lit(False)
+    for key in keys:
+        any_bracket = any_bracket | conds[key]
+    items = F.array(*[F.when(conds[key], F.struct(F.lit(t).alias("t"), xs[key[0]].alias("num"))) for t, key in enumerate(keys)])
+    cand = (
+        df.filter(any_bracket)  # plain comparisons first; only bracket rows go further
+        .select(F.explode(items).alias("e"))
+        .filter(F.col("e").isNotNull())
+        .select("e.t", "e.num")
+        .groupBy("t", "num")
+        .agg(F.count(F.lit(1)).alias("cnt"))
+    )
+    off = F.lit(0).cast("long")
+    for t, key in enumerate(keys):
+        off = F.when(F.col("t") == t, F.lit(below[key])).otherwise(off)
+    w = Window.partitionBy("t").orderBy("num").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = cand.withColumn("end", off + F.sum("cnt").over(w) - 1).withColumn("start", F.col("end") - F.col("cnt") + 1)
+    need = F.lit(False)
+    for t, key in enumerate(keys):
+        for k in {tg[key][3], tg[key][4]}:
+            need = need | ((F.col("t") == t) & (F.col("start") <= k) & (F.col("end") >= k))
+    found = ranked.filter(need).select("t", "num", "start", "end").collect()
+
+    def value_at(t: int, k: int) -> float:
+        return next(r["num"] for r in found if r["t"] == t and r["start"] <= k <= r["end"])
+
+    rows = []
+    for t, (c, i) in enumerate(keys):
+        _, _, pos, klo, khi = tg[(c, i)]
+        vlo, vhi = value_at(t, klo), value_at(t, khi)
+        rows.append((c, i, float(probs[i]), vlo + (vhi - vlo) * (pos - klo)))
+    return spark.createDataFrame(rows, out_schema)
 
 
 # A column with at most this many distinct values is small enough for the
@@ -176,29 +268,24 @@ def _bucket_expr(col: Column, cuts: Sequence[float]) -> Column:
 def quantiles_from_counts(
     dv: DataFrame,
     probs: Sequence[float],
-    buckets: int = 256,
+    buckets: int = 32,
     accuracy: int = 10000,
     buffer_limit: int = EXACT_BUFFER_LIMIT,
     n_rows: int | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles from distinct ``(column, num,
-    cnt)`` rows.
-
-    * If every column has at most ``buffer_limit`` distinct values, one
-      ``percentile(num, p, cnt)`` aggregate is exact with a bounded buffer.
-    * Otherwise a distributed selection: one aggregate returns each
-      column's approximate cut points (``columns x buckets`` numbers), one
-      grouped count returns the rows per range bucket (same size), the
-      driver locates the bucket holding each wanted rank, and only those
-      buckets are ranked (one task per bucket). Exact for any number of
-      distinct values and any skew (a heavy value is one distinct row).
+    cnt)`` rows (used where the value-count table already exists).
+
+    If every column has at most ``buffer_limit`` distinct values, one
+    ``percentile(num, p, cnt)`` aggregate is exact with a bounded buffer.
+    Otherwise distinct values are ranked inside the range buckets that hold
+    the wanted ranks (:func:`_quantiles_by_buckets`). Exact for any number
+    of distinct values and any skew (a heavy value is one distinct row).
     """
     spark = _spark(dv)
     out_schema = "column string, p_index int, prob double, value double"
     parr = F.array(*[F.lit(float(p)) for p in probs])
     dv = dv.filter(F.col("num").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
-    b = max(2, int(buckets))
-    cut_probs = [i / b for i in range(1, b)]
 
     def bounded() -> DataFrame:
         return (
@@ -210,22 +297,24 @@ def quantiles_from_counts(
 
     if n_rows is not None and n_rows <= buffer_limit:
         return bounded()  # distinct values never exceed rows
-    info = dv.groupBy("column").agg(
-        F.count(F.lit(1)).alias("distinct"), F.percentile_approx("num", cut_probs, accuracy).alias("cuts")
-    ).collect()
+    info = dv.groupBy("column").agg(F.count(F.lit(1)).alias("distinct")).collect()
     if not info:
         return spark.createDataFrame([], out_schema)
     if max(r["distinct"] for r in info) <= buffer_limit:
         return bounded()
+    out = _quantiles_by_buckets(dv, probs, buckets, accuracy, info)
+    dv.unpersist()
+    return out
+
 
-    cols = [r["column"] for r in info]
-    # keep the bucket expression small enough for generated code on wide tables
-    keep = max(8, 4096 // max(len(cols), 1))
-    cuts = {}
-    for r in info:
-        cs = sorted(set(r["cuts"]))
-        step = max(1, -(-len(cs) // keep))
-        cuts[r["column"]] = cs[step - 1 :: step] if step > 1 else cs
+def _quantiles_by_buckets(dv: DataFrame, probs: Sequence[float], buckets: int, accuracy: int, info) -> DataFrame:
+    """Fallback selection: rank distinct values inside the range buckets
+    that hold the wanted ranks (cut points from ``percentile_approx``)."""
+    spark = _spark(dv)
+    b = max(2, int(buckets))
+    cut_rows = dv.groupBy("column").agg(F.percentile_approx("num", [i / b for i in range(1, b)], accuracy).alias("cuts")).collect()
+    cols = [r["column"] for r in cut_rows]
+    cuts = {r["column"]: sorted(set(r["cuts"])) for r in cut_rows}
     bucket = F.lit(0)
     for c in cols:
         bucket = F.when(F.col("column") == c, _bucket_expr(F.col("num"), cuts[c])).otherwise(bucket)
@@ -233,43 +322,35 @@ def quantiles_from_counts(
     sizes: dict[str, dict[int, int]] = {c: {} for c in cols}
     for r in dvb.groupBy("column", "bucket").agg(F.sum("cnt").alias("n")).collect():
         sizes[r["column"]][int(r["bucket"])] = int(r["n"])
-
-    # driver: bucket offsets and the (column, bucket) holding each rank
-    wanted: dict[tuple[str, int], list[tuple[int, int, float]]] = {}
+    wanted: dict[tuple[str, int], list[int]] = {}
     offsets: dict[tuple[str, int], int] = {}
-    plan: list[tuple[str, int, float, float, int, int]] = []
+    plan = []
     for c in cols:
         acc = 0
         for bk in sorted(sizes[c]):
             offsets[(c, bk)] = acc
             acc += sizes[c][bk]
-        n = acc
         for i, p in enumerate(probs):
-            pos = (n - 1) * float(p)
+            pos = (acc - 1) * float(p)
             lo, hi = int(pos // 1), int(-(-pos // 1))
             plan.append((c, i, float(p), pos, lo, hi))
             for k in {lo, hi}:
                 bk = max(x for x in sizes[c] if offsets[(c, x)] <= k)
-                wanted.setdefault((c, bk), []).append((i, k, pos))
+                wanted.setdefault((c, bk), []).append(k)
     keys = list(wanted)
     sel = F.lit(False)
-    for c, bk in keys:
-        sel = sel | ((F.col("column") == c) & (F.col("bucket") == bk))
     off_expr = F.lit(0).cast("long")
     for c, bk in keys:
-        off_expr = F.when((F.col("column") == c) & (F.col("bucket") == bk), F.lit(offsets[(c, bk)])).otherwise(off_expr)
+        hitb = (F.col("column") == c) & (F.col("bucket") == bk)
+        sel = sel | hitb
+        off_expr = F.when(hitb, F.lit(offsets[(c, bk)])).otherwise(off_expr)
     w = Window.partitionBy("column", "bucket").orderBy("num").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (
-        dvb.filter(sel)
-        .withColumn("end", off_expr + F.sum("cnt").over(w) - 1)
-        .withColumn("start", F.col("end") - F.col("cnt") + 1)
-    )
-    ks = sorted({(c, k) for (c, bk), lst in wanted.items() for (_, k, _) in lst})
+    ranked = dvb.filter(sel).withColumn("end", off_expr + F.sum("cnt").over(w) - 1).withColumn("start", F.col("end") - F.col("cnt") + 1)
     hit = F.lit(False)
-    for c, k in ks:
-        hit = hit | ((F.col("column") == c) & (F.col("start") <= k) & (F.col("end") >= k))
+    for (c, bk), ks in wanted.items():
+        for k in set(ks):
+            hit = hit | ((F.col("column") == c) & (F.col("start") <= k) & (F.col("end") >= k))
     found = ranked.filter(hit).select("column", "num", "start", "end").collect()
-    dv.unpersist()
 
     def value_at(c: str, k: int) -> float:
         return next(r["num"] for r in found if r["column"] == c and r["start"] <= k <= r["end"])
@@ -278,7 +359,7 @@ def quantiles_from_counts(
     for c, i, p, pos, lo, hi in plan:
         vlo, vhi = value_at(c, lo), value_at(c, hi)
         rows.append((c, i, p, vlo + (vhi - vlo) * (pos - lo)))
-    return spark.createDataFrame(rows, out_schema)
+    return spark.createDataFrame(rows, "column string, p_index int, prob double, value double")
 
 
 def quantiles(

@@ -519,10 +519,21 @@ def q_quant(spark, sf):
 
 @query("quantiles_bucketed_lineitem", _quant_sql())
 def q_quant_b(spark, sf):
-    """O26 exact quantiles through the range-bucketed ranking path used for
-    columns with unbounded distinct counts."""
+    """O26 exact quantiles through the range-bucket ranking path over
+    distinct values (the path used when a value-count table exists)."""
+    d = dirty(spark, sf, "dirty_lineitem")
+    cols = ["l_quantity", "l_extendedprice", "l_discount"]
+    dv = profile.value_counts_long(d, cols).select("column", "num", "cnt")
+    ql = profile.quantiles_from_counts(dv, _PROBS, buckets=16, buffer_limit=0)
+    return ql.withColumn("value", r6("value"))
+
+
+@query("quantiles_bracket_lineitem", _quant_sql())
+def q_quant_sel(spark, sf):
+    """O26 exact quantiles through the bracket selection over raw rows
+    (approximate brackets, exact counts, ranking only the bracket rows)."""
     ql = profile.quantiles_long(
-        dirty(spark, sf, "dirty_lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], _PROBS, buffer_limit=0, buckets=16
+        dirty(spark, sf, "dirty_lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], _PROBS, buffer_limit=0
     )
     return ql.withColumn("value", r6("value"))
 

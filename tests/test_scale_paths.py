@@ -42,3 +42,34 @@ def test_streaming_matches_batch(spark, tmp_path):
     got = run_to_table(model.transform(stream), "t_stream_batch", str(tmp_path / "ck"))
     want = model.transform(ev)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_bracket_selection_is_used_and_exact(spark, monkeypatch):
+    import numpy as np
+
+    from sparkprep.operators import profile as P
+
+    def no_fallback(*a, **k):
+        raise AssertionError("bracket path should have sufficed")
+
+    monkeypatch.setattr(P, "_quantiles_by_buckets", no_fallback)
+    rng = np.random.default_rng(11)
+    vals = np.concatenate([np.full(3000, 7.25), rng.normal(0, 5, 6000).round(3)])
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double").repartition(5)
+    probs = [0.05, 0.25, 0.5, 0.75, 0.99]
+    got = P.quantiles(df, ["x"], probs, buffer_limit=0)["x"]
+    want = np.quantile(vals, probs).tolist()
+    assert np.allclose(got, want, rtol=0, atol=1e-9)
+
+
+def test_bucket_path_with_heavy_value(spark):
+    import numpy as np
+
+    from sparkprep.operators import profile as P
+
+    vals = [5.0] * 300 + [float(i) for i in range(600)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double").repartition(7)
+    dv = P.value_counts_long(df).select("column", "num", "cnt")
+    probs = [0.1, 0.33, 0.5, 0.9]
+    got = {r["p_index"]: r["value"] for r in P.quantiles_from_counts(dv, probs, buckets=8, buffer_limit=0).collect()}
+    assert np.allclose([got[i] for i in range(len(probs))], np.quantile(np.array(vals), probs))
