@@ -16,6 +16,11 @@ DEFAULT_NA_VALUES = [
 ]
 SEPARATORS = [",", ";", "\t", "|"]
 ENCODINGS = ["utf-8", "latin-1", "cp1252", "utf-16"]
+# Spark's CSV reader takes canonical charset names only.
+_CHARSET = {"utf-8": "utf-8", "utf8": "utf-8", "latin-1": "iso-8859-1", "latin1": "iso-8859-1",
+            "iso-8859-1": "iso-8859-1", "cp1252": "windows-1252", "windows-1252": "windows-1252",
+            "utf-16": "utf-16", "utf-16le": "utf-16le", "utf-16be": "utf-16be"}
+_SPARK_CHARSETS = {"iso-8859-1", "us-ascii", "utf-16", "utf-16be", "utf-16le", "utf-32", "utf-8"}
 
 
 def read_csv(
@@ -34,10 +39,14 @@ def read_csv(
     if sep not in SEPARATORS and len(sep) != 1:
         raise ValueError(f"unsupported separator {sep!r}")
     markers = list(DEFAULT_NA_VALUES if keep_default_na else []) + list(na_values or [])
+    charset = _CHARSET.get(encoding.lower(), encoding.lower())
+    if charset not in _SPARK_CHARSETS:
+        # other Java charsets (e.g. windows-1252) need Spark's legacy switch
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     raw = (
         spark.read.option("header", True)
         .option("sep", sep)
-        .option("encoding", encoding)
+        .option("encoding", charset)
         .option("inferSchema", False)
         .option("mode", "PERMISSIVE")
         .csv(path)
