@@ -84,10 +84,22 @@ def deduplicate(
             g = keyed.groupBy(*knames).agg(F.count(F.lit(1)).alias("__n"), F.any_value("__row").alias("__row"))
             out = g.filter(F.col("__n") == 1).select("__row.*")
         else:
-            tie = [qcol(c) for c in (order_by or [])] + [qcol(c) for c in atomic_columns(df)]
-            keyed = df.select(*keys, row, F.struct(*tie).alias("__ord"))
-            pick = F.min_by if keep == "first" else F.max_by
-            out = keyed.groupBy(*knames).agg(pick("__row", "__ord").alias("__row")).select("__row.*")
+            ordered = list(order_by or [])
+            atomic = atomic_columns(df)
+            if len(atomic) == len(cols):
+                # every column is orderable: one struct (order_by first, then
+                # the rest of the row as tie-break) carries the row once
+                rest = [c for c in cols if c not in ordered]
+                packed = F.struct(*[qcol(c).alias(f"__o{i}") for i, c in enumerate(ordered)], *[qcol(c) for c in rest])
+                agg = F.min if keep == "first" else F.max
+                g = df.select(*keys, packed.alias("__p")).groupBy(*knames).agg(agg("__p").alias("__p"))
+                names = {c: f"__p.__o{i}" for i, c in enumerate(ordered)}
+                out = g.select(*[F.col(names.get(c, f"__p.`{c}`")).alias(c) for c in cols])
+            else:
+                tie = [qcol(c) for c in ordered] + [qcol(c) for c in atomic]
+                keyed = df.select(*keys, row, F.struct(*tie).alias("__ord"))
+                pick = F.min_by if keep == "first" else F.max_by
+                out = keyed.groupBy(*knames).agg(pick("__row", "__ord").alias("__row")).select("__row.*")
         examples = (
             df.select(*keys)
             .groupBy(*knames)

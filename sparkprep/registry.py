@@ -403,10 +403,8 @@ def q_dedup_full(spark, sf):
 )
 def q_dedup_li(spark, sf):
     """O19 dedup on a non-unique composite key, keep first by (partkey, suppkey)."""
-    li = table(spark, sf, "lineitem")
-    return rows.deduplicate(li, ["l_orderkey", "l_linenumber"], "first", order_by=["l_partkey", "l_suppkey"]).df.select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"
-    )
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    return rows.deduplicate(li, ["l_orderkey", "l_linenumber"], "first", order_by=["l_partkey", "l_suppkey"]).df
 
 
 @query(
