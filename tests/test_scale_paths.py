@@ -73,3 +73,29 @@ def test_bucket_path_with_heavy_value(spark):
     probs = [0.1, 0.33, 0.5, 0.9]
     got = {r["p_index"]: r["value"] for r in P.quantiles_from_counts(dv, probs, buckets=8, buffer_limit=0).collect()}
     assert np.allclose([got[i] for i in range(len(probs))], np.quantile(np.array(vals), probs))
+
+
+def test_hot_key_results_match_pandas(spark):
+    """One key holds a third of all rows: dedup, value counts and overview
+    stay exact (brute force in pandas)."""
+    import pandas as pd
+
+    rows = [(0 if i % 3 == 0 else i, i % 7, f"s{i % 5}") for i in range(3000)]
+    pdf = pd.DataFrame(rows, columns=["k", "o", "s"])
+    df = spark.createDataFrame(pdf).repartition(6)
+
+    from sparkprep.operators import profile as P
+    from sparkprep.operators import rows as R
+
+    first = R.deduplicate(df, ["k"], "first", order_by=["o"]).df.toPandas().sort_values("k").reset_index(drop=True)
+    want = pdf.sort_values(["k", "o", "s"]).drop_duplicates("k", keep="first").sort_values("k").reset_index(drop=True)
+    assert first[["k", "o", "s"]].values.tolist() == want[["k", "o", "s"]].values.tolist()
+
+    none = R.deduplicate(df, ["k"], "none").df.count()
+    assert none == int((pdf.groupby("k").size() == 1).sum())
+
+    vc = {(r["column"], r["value"]): r["cnt"] for r in P.value_counts_long(df, ["k"]).collect()}
+    assert vc[("k", "0")] == 1000
+
+    ov = P.overview(df.select("o", "s")).first()
+    assert ov["duplicate_rows"] == int(pdf[["o", "s"]].duplicated().sum())
