@@ -472,33 +472,32 @@ def profile(
     n_rows = sub.count()
     n = F.lit(n_rows)
     vc = value_counts_long(sub, cols).persist(StorageLevel.MEMORY_AND_DISK)
-    per_col = vc.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"), F.sum("cnt").alias("non_missing"))
+    num_cols = [c for c in cols if is_numeric(field_type(df, c))]
+    # Small inputs: the exact median rides along in the per-column aggregate
+    # (bounded buffer: distinct values <= rows <= EXACT_BUFFER_LIMIT).
+    fused = quantile_method == "exact" and n_rows <= EXACT_BUFFER_LIMIT
+    per_col_aggs = [F.count(F.lit(1)).alias("n_unique"), F.sum("cnt").alias("non_missing")]
+    if fused:
+        per_col_aggs.append(F.round(F.percentile("num", 0.5, F.col("cnt")), 6).alias("num_median"))
+    per_col = vc.groupBy("column").agg(*per_col_aggs)
     samples = (
         top_values(vc, max_example_values, by_count=False)
         .groupBy("column")
         .agg(F.sort_array(F.collect_list(F.struct("rank", "value"))).alias("s"))
         .select("column", F.transform("s", lambda x: x["value"]).alias("sample_values"))
     )
-    num_cols = [c for c in cols if is_numeric(field_type(df, c))]
     nums = numeric_summary_long(sub, num_cols).select(
         "column",
         F.col("min").alias("num_min"),
         F.col("max").alias("num_max"),
         F.round("mean", 6).alias("num_mean"),
     )
-    if quantile_method == "exact":
-        dv = vc.filter(F.col("column").isin(num_cols)).select("column", "num", "cnt")
-        med = quantiles_from_counts(dv, [0.5], n_rows=n_rows)
-    else:
-        med = quantiles_long(sub, num_cols, [0.5], method=quantile_method)
-    med = med.select("column", F.round("value", 6).alias("num_median"))
     meta = _schema_frame(sub)
-    out = (
-        meta.join(per_col, "column", "left")
-        .join(samples, "column", "left")
-        .join(nums, "column", "left")
-        .join(med, "column", "left")
-    )
+    out = meta.join(per_col, "column", "left").join(samples, "column", "left").join(nums, "column", "left")
+    if not fused:
+        # large inputs: exact bracket selection over the raw rows
+        med = quantiles_long(sub, num_cols, [0.5], method=quantile_method)
+        out = out.join(med.select("column", F.round("value", 6).alias("num_median")), "column", "left")
     nu = F.coalesce(F.col("n_unique"), F.lit(0))
     missing = n - F.coalesce(F.col("non_missing"), F.lit(0))
     return out.select(
@@ -695,8 +694,10 @@ def describe(df: DataFrame, quantile_method: str = "exact") -> DataFrame:
     per_col = vc.groupBy("column").agg(F.count(F.lit(1)).alias("unique"), F.sum("cnt").alias("count"))
     top = modes(vc).select("column", F.col("mode").alias("top"), F.col("mode_count").alias("freq"))
     nums = numeric_summary_long(sub, num_cols).select("column", "mean", "std", "min", "max")
-    if quantile_method == "exact":
-        ql = quantiles_from_counts(vc.filter(F.col("column").isin(num_cols)).select("column", "num", "cnt"), [0.25, 0.5, 0.75])
+    n_rows = sub.count()
+    if quantile_method == "exact" and n_rows <= EXACT_BUFFER_LIMIT:
+        dv = vc.filter(F.col("column").isin(num_cols)).select("column", "num", "cnt")
+        ql = quantiles_from_counts(dv, [0.25, 0.5, 0.75], n_rows=n_rows)
     else:
         ql = quantiles_long(sub, num_cols, [0.25, 0.5, 0.75], method=quantile_method)
     q = (
