@@ -1224,3 +1224,57 @@ def q_stream_dedup(spark, sf):
     return run_to_table(dedup_stream(stream, ["user_id", "event_type", "ts"], "ts"), name, ck).select("event_id", "user_id", "event_type")
 
 
+
+
+# ============================================================ more O3/O5/P1
+@query(
+    "write_json_parquet_roundtrip_customer",
+    cte("dirty_customer") + 'SELECT c_custkey, "Customer Name", "Nation-Key", c_acctbal, c_mktsegment FROM dirty_customer',
+)
+def q_roundtrip(spark, sf):
+    """O5 sinks: the dirty customer table written as JSON and as Parquet to
+    the shared scratch folder, read back, and the two copies joined on the
+    key (the Parquet copy supplies the columns, the JSON copy must match)."""
+    from sparkprep.session import ensure_checkpoint_dir
+
+    base = ensure_checkpoint_dir(spark)
+    d = dirty(spark, sf, "dirty_customer")
+    pj = os.path.join(base, f"json-{uuid.uuid4().hex}")
+    pp = os.path.join(base, f"parquet-{uuid.uuid4().hex}")
+    io.write_table(d, pj, "json")
+    io.write_table(d, pp, "parquet")
+    pq = io.read_parquet(spark, pp)
+    js = spark.read.schema(d.schema).json(pj)
+    same = pq.alias("p").join(js.alias("j"), "c_custkey").filter(
+        F.col("p.`Customer Name`").eqNullSafe(F.col("j.`Customer Name`"))
+        & F.col("p.c_acctbal").eqNullSafe(F.col("j.c_acctbal"))
+        & F.col("p.c_mktsegment").eqNullSafe(F.col("j.c_mktsegment"))
+        & F.col("p.`Nation-Key`").eqNullSafe(F.col("j.`Nation-Key`"))
+    )
+    return same.select("c_custkey", "p.`Customer Name`", "p.`Nation-Key`", "p.c_acctbal", "p.c_mktsegment")
+
+
+@query("row_cap_orders")
+def q_cap(spark, sf):
+    """O3 optional row cap (a sampling feature: any 1 000 rows), then the
+    column-type table of the capped sample. Rows-only: an unordered cap has
+    no canonical row set."""
+    return profile.column_types(io.cap_rows(table(spark, sf, "orders"), 1000)).drop("dtype", "n_unique")
+
+
+@query(
+    "target_regression_stats_orders",
+    """SELECT count(o_totalprice) AS count, count(*) - count(o_totalprice) AS missing, round(avg(o_totalprice), 6) AS mean,
+ round(stddev_pop(o_totalprice), 6) AS std, min(o_totalprice) AS min, max(o_totalprice) AS max,
+ count(DISTINCT o_totalprice) AS nunique FROM orders""",
+)
+def q_target_reg(spark, sf):
+    """P1 regression-like branch: a target with more than 20 distinct
+    values reports count, missing, mean, population std, min and max."""
+    r = quality.check_target_distribution(table(spark, sf, "orders"), "o_totalprice")
+    st = r["evidence"]["stats"]
+    n = quality.class_counts(table(spark, sf, "orders"), "o_totalprice")[0]
+    return spark.createDataFrame(
+        [(st["count"], st["missing"], round(st["mean"], 6), round(st["std"], 6), st["min"], st["max"], n)],
+        "count bigint, missing bigint, mean double, std double, min double, max double, nunique bigint",
+    )
