@@ -691,22 +691,29 @@ def describe(df: DataFrame, quantile_method: str = "exact") -> DataFrame:
     sub = df.select(*[qcol(c) for c in cols])
     num_cols = [c for c in cols if is_numeric(field_type(df, c))]
     vc = value_counts_long(sub, cols).persist(StorageLevel.MEMORY_AND_DISK)
-    per_col = vc.groupBy("column").agg(F.count(F.lit(1)).alias("unique"), F.sum("cnt").alias("count"))
+    n_rows = sub.count()
+    # Small inputs: the exact quartiles ride along in the per-column
+    # aggregate (buffer bounded by the row count); large ones use the
+    # raw-row bracket selection.
+    fused = quantile_method == "exact" and n_rows <= EXACT_BUFFER_LIMIT
+    aggs = [F.count(F.lit(1)).alias("unique"), F.sum("cnt").alias("count")]
+    if fused:
+        aggs.append(F.percentile("num", [0.25, 0.5, 0.75], F.col("cnt")).alias("qs"))
+    per_col = vc.groupBy("column").agg(*aggs)
+    if fused:
+        per_col = per_col.select(
+            "column", "unique", "count", *[F.col("qs")[i].alias(nm) for i, nm in enumerate(["q25", "q50", "q75"])]
+        )
     top = modes(vc).select("column", F.col("mode").alias("top"), F.col("mode_count").alias("freq"))
     nums = numeric_summary_long(sub, num_cols).select("column", "mean", "std", "min", "max")
-    n_rows = sub.count()
-    if quantile_method == "exact" and n_rows <= EXACT_BUFFER_LIMIT:
-        dv = vc.filter(F.col("column").isin(num_cols)).select("column", "num", "cnt")
-        ql = quantiles_from_counts(dv, [0.25, 0.5, 0.75], n_rows=n_rows)
-    else:
-        ql = quantiles_long(sub, num_cols, [0.25, 0.5, 0.75], method=quantile_method)
-    q = (
-        ql
-        .groupBy("column")
-        .agg(*[F.max(F.when(F.col("p_index") == i, F.col("value"))).alias(nm) for i, nm in enumerate(["q25", "q50", "q75"])])
-    )
     meta = _schema_frame(sub)
-    out = meta.join(per_col, "column", "left").join(top, "column", "left").join(nums, "column", "left").join(q, "column", "left")
+    out = meta.join(per_col, "column", "left").join(top, "column", "left").join(nums, "column", "left")
+    if not fused:
+        ql = quantiles_long(sub, num_cols, [0.25, 0.5, 0.75], method=quantile_method)
+        q = ql.groupBy("column").agg(
+            *[F.max(F.when(F.col("p_index") == i, F.col("value"))).alias(nm) for i, nm in enumerate(["q25", "q50", "q75"])]
+        )
+        out = out.join(q, "column", "left")
     isnum = F.col("is_numeric")
     return out.select(
         "position",
