@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkprep.functions.missing import field_type, is_float, is_missing, is_numeric, is_text, qcol
+from sparkprep.functions.missing import field_type, is_float, is_missing, is_text, qcol
 from sparkprep.operators.base import Result, eager, require_columns
 from sparkprep.operators.profile import value_counts_long
 from sparkprep.operators.schema import normalise_name

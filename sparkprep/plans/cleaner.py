@@ -15,7 +15,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 
-from sparkprep.functions.missing import field_type, is_bool, is_missing, is_numeric, is_text
+from sparkprep.functions.missing import field_type, is_bool, is_numeric, is_text
 from sparkprep.operators import encode, features, impute, outliers, schema, text
 from sparkprep.plans.spec import Plan
 

@@ -1,7 +1,3 @@
-import os
-
-from pyspark.sql import functions as F
-
 from sparkprep.operators.schema import strptime_to_spark
 from sparkprep.plans.suggest import detect_target, is_id_like, suggest_plan
 from sparkprep.sources import io

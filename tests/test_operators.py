@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from sparkprep.operators import encode, features, impute, outliers, rows, schema, text
 
