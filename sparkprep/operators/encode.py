@@ -175,7 +175,7 @@ def _apply_code(df: DataFrame, c: str, st, unknown, out_type: str, null_category
             t = F.broadcast(t)
         joined = df.withColumn(f"__s_{c}", s).join(t, F.col(f"__s_{c}") == F.col(f"__v_{c}"), "left")
         code = F.when(F.col(f"__s_{c}").isNull(), None if null_category is None else F.lit(unknown)).otherwise(
-            F.coalesce(F.col(name), F.lit(unknown).cast(out_type))
+            F.coalesce(qcol(name), F.lit(unknown).cast(out_type))
         )
         return joined.withColumn(name, code.cast(out_type)).drop(f"__s_{c}", f"__v_{c}"), name
     m = F.create_map(*[x for k, v in st.items() for x in (F.lit(k), F.lit(v))]) if st else None
