@@ -221,3 +221,9 @@ def test_bins_uniform_and_indicators(spark):
     assert ind["indicator_cols"] == ["m_was_missing"]
     drift = spark.createDataFrame([(1.0,)], "x double")
     assert features.apply_missing_indicators(drift, ind).first()["m_was_missing"] == 0
+
+
+def test_indicator_kept_when_source_absent(spark):
+    df = spark.createDataFrame([(1, 1), (2, 0)], "k int, m_was_missing int")
+    out = features.apply_missing_indicators(df, {"indicator_cols": ["m_was_missing"]})
+    assert [tuple(r) for r in out.orderBy("k").collect()] == [(1, 1), (2, 0)]
