@@ -1278,3 +1278,12 @@ def q_target_reg(spark, sf):
         [(st["count"], st["missing"], round(st["mean"], 6), round(st["std"], 6), st["min"], st["max"], n)],
         "count bigint, missing bigint, mean double, std double, min double, max double, nunique bigint",
     )
+
+
+@query("profile_approx_lineitem")
+def q_profile_approx(spark, sf):
+    """O23 scale mode: profile without the value-count shuffle
+    (HyperLogLog distinct counts, percentile_approx medians, map-side
+    limited samples). Rows-only: the statistics are approximate."""
+    p = profile.profile(dirty(spark, sf, "dirty_lineitem"), approx=True)
+    return p.select("position", "column", "missing_count", "n_unique", F.array_join("sample_values", "|").alias("sample_values"), "num_median")
