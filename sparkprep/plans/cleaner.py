@@ -250,13 +250,31 @@ class PlanModel:
 
 
 class PlanCleaner:
-    def __init__(self, plan: Plan | dict | None = None, target_column: str | None = None):
+    """Fit a plan stage by stage. Each stage's fit is one or a few
+    aggregates over the progressively transformed table; with
+    ``persist_input=True`` the input is persisted once (memory and disk,
+    recomputable on executor loss) so those scans do not re-read the
+    source."""
+
+    def __init__(self, plan: Plan | dict | None = None, target_column: str | None = None, persist_input: bool = False):
         if isinstance(plan, dict):
             plan = Plan.from_dict(plan)
         self.plan = plan or Plan()
         self.target_column = target_column
+        self.persist_input = persist_input
 
     def fit(self, df: DataFrame) -> PlanModel:
+        if self.persist_input:
+            from pyspark import StorageLevel
+
+            cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                return self._fit(cached)
+            finally:
+                cached.unpersist()
+        return self._fit(df)
+
+    def _fit(self, df: DataFrame) -> PlanModel:
         model = PlanModel()
         for a in self.plan.actions:
             name = ALIASES.get(a.action, a.action)
