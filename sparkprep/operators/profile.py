@@ -132,7 +132,8 @@ def quantiles_long(
     Exact by default: a direct ``percentile`` aggregate when the table has
     at most ``buffer_limit`` rows (its buffer is bounded by the row count),
     otherwise a distributed selection over the raw rows
-    (:func:`_quantiles_by_brackets`). ``method="approx"`` uses
+    (:func:`_quantiles_by_brackets`); the row count comes from the
+    selection's first aggregate, so neither path pays an extra job. ``method="approx"`` uses
     ``percentile_approx`` (rank error about ``1/accuracy``).
     """
     spark = _spark(df)
@@ -154,13 +155,19 @@ def quantiles_long(
     if method == "approx":
         return explode_agg(lambda x: F.percentile_approx(x, [float(p) for p in probs], accuracy))
     limit = EXACT_BUFFER_LIMIT if buffer_limit is None else buffer_limit
-    if df.count() <= limit:
-        return explode_agg(lambda x: F.percentile(x, [float(p) for p in probs]))
-    return _quantiles_by_brackets(df, cols, probs, accuracy, bracket_limit, buckets)
+    exact_small = explode_agg(lambda x: F.percentile(x, [float(p) for p in probs]))
+    return _quantiles_by_brackets(df, cols, probs, accuracy, bracket_limit, buckets, limit, exact_small)
 
 
 def _quantiles_by_brackets(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int, bracket_limit: int, buckets: int
+    df: DataFrame,
+    cols: Sequence[str],
+    probs: Sequence[float],
+    accuracy: int,
+    bracket_limit: int,
+    buckets: int,
+    row_limit: int = -1,
+    small: DataFrame | None = None,
 ) -> DataFrame:
     """Exact selection over raw rows in three scans and one small shuffle.
 
@@ -183,9 +190,12 @@ def _quantiles_by_brackets(
     for p in probs:
         ext += [max(0.0, float(p) - delta), min(1.0, float(p) + delta)]
     r1 = df.agg(
+        F.count(F.lit(1)).alias("__rows"),
         *[F.percentile_approx(xs[c], ext, accuracy).alias(f"br{j}") for j, c in enumerate(cols)],
         *[F.count(xs[c]).alias(f"n{j}") for j, c in enumerate(cols)],
     ).first()
+    if small is not None and r1["__rows"] <= row_limit:
+        return small  # buffer bounded by the row count: one direct percentile
     tg = {}
     for j, c in enumerate(cols):
         n = int(r1[f"n{j}"])
