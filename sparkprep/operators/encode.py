@@ -3,8 +3,9 @@
 Category lists define the output schema, so they are fitted state held on
 the driver; their size is checked first (``max_categories`` for the eager
 one-hot, ``max_output_columns`` for the stage one-hot). Ordinal code tables
-above ``map_limit`` entries stay DataFrames and are joined (broadcast only
-below ``spark.sql.autoBroadcastJoinThreshold``'s row budget).
+above ``MAP_LIMIT`` entries stay DataFrames (built by a distributed dense
+rank) and are joined, with a broadcast hint only up to ``BROADCAST_ROWS``
+rows; smaller vocabularies become literal maps.
 """
 
 from __future__ import annotations

@@ -7,10 +7,11 @@ Scale notes
   shuffle: the table is unpivoted to ``(column, value)`` and grouped, with a
   map-side partial count, so a value holding a third of all rows collapses
   to one row per map task before the exchange.
-* Quantiles are exact without any single-task buffer: distinct values are
-  split into range buckets at approximate cut points, each bucket is ranked
-  by its own task, and bucket offsets come from a table of ``columns x
-  buckets`` rows.
+* Quantiles are exact without an unbounded single-task buffer: a direct
+  ``percentile`` only when the input (or its distinct values) is under a
+  fixed bound; otherwise a selection that ranks only the rows in a small
+  value bracket (or range bucket) around each wanted rank, with the rows
+  below it counted by an aggregate.
 * Per-column top-k / mode use ``row_number() <= k`` windows, which Spark
   plans as a map-side ``WindowGroupLimit`` before the shuffle.
 """

@@ -2,9 +2,11 @@
 (O19-O21).
 
 Deduplication never sorts a whole key group in one task: ``keep=first/last``
-is a ``min_by`` / ``max_by`` aggregate over the row struct and ``keep=none``
-a count plus ``any_value``; both have map-side partial aggregation, so a key
-holding a third of all rows is reduced before the shuffle.
+is a ``min`` / ``max`` over one struct (``order_by`` columns first, then the
+rest of the row as tie-break), or ``min_by`` / ``max_by`` when a column is
+not orderable; ``keep=none`` is a count plus ``any_value``. All have map-side
+partial aggregation, so a key holding a third of all rows is reduced before
+the shuffle.
 """
 
 from __future__ import annotations

@@ -3,7 +3,7 @@
 ``PlanCleaner(plan, target).fit(df)`` runs each action's fit on the
 progressively transformed table and returns a ``PlanModel`` whose
 ``transform`` replays the fitted state as a lazy chain of projections (and
-broadcast joins for large code tables), usable on batch and streaming
+joins with large code or kept-value tables), usable on batch and streaming
 DataFrames alike. ``deduplicate`` is a no-op here (it changes the row count).
 """
 
