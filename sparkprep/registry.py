@@ -110,7 +110,7 @@ def q_target_profile(spark, sf):
     "overview_documents",
     """
 SELECT count(*) AS rows, 4 AS columns,
- sum((text IS NULL)::BIGINT + (lang IS NULL)::BIGINT + (source IS NULL)::BIGINT + (n_chars IS NULL)::BIGINT) AS total_missing,
+ CAST(sum((text IS NULL)::BIGINT + (lang IS NULL)::BIGINT + (source IS NULL)::BIGINT + (n_chars IS NULL)::BIGINT) AS BIGINT) AS total_missing,
  count(*) - (SELECT count(*) FROM (SELECT DISTINCT text, lang, source, n_chars FROM documents)) AS duplicate_rows,
  3 AS categorical_columns
 FROM documents""",
@@ -127,7 +127,7 @@ def q_overview(spark, sf):
     cte("dirty_lineitem")
     + """
 SELECT count(*) AS rows, 10 AS columns,
- sum((l_quantity IS NULL)::BIGINT + (l_extendedprice IS NULL)::BIGINT + (l_returnflag IS NULL)::BIGINT) AS total_missing,
+ CAST(sum((l_quantity IS NULL)::BIGINT + (l_extendedprice IS NULL)::BIGINT + (l_returnflag IS NULL)::BIGINT) AS BIGINT) AS total_missing,
  count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty_lineitem)) AS duplicate_rows,
  2 AS categorical_columns
 FROM dirty_lineitem""",
@@ -336,11 +336,11 @@ def q_norm_rules(spark, sf):
     "normalize_text_audit_customer",
     cte("dirty_customer")
     + f"""SELECT 'c_mktsegment' AS "column",
- count_if(c_mktsegment IS NOT NULL AND lower({_SEG}) NOT IN ('n/a', 'none') AND c_mktsegment <> {_SEG}) AS values_changed,
- count_if(c_mktsegment IS NOT NULL AND lower({_SEG}) IN ('n/a', 'none')) AS null_like_converted,
- sum(CASE WHEN c_mktsegment IS NULL THEN 0 ELSE
+ CAST(count_if(c_mktsegment IS NOT NULL AND lower({_SEG}) NOT IN ('n/a', 'none') AND c_mktsegment <> {_SEG}) AS BIGINT) AS values_changed,
+ CAST(count_if(c_mktsegment IS NOT NULL AND lower({_SEG}) IN ('n/a', 'none')) AS BIGINT) AS null_like_converted,
+ CAST(sum(CASE WHEN c_mktsegment IS NULL THEN 0 ELSE
    (CASE WHEN lower({_ddb_strip('c_mktsegment')}) <> regexp_replace(lower({_ddb_strip('c_mktsegment')}), 'build', 'BLD', 'g') THEN 1 ELSE 0 END)
- + (CASE WHEN regexp_replace(lower({_ddb_strip('c_mktsegment')}), 'build', 'BLD', 'g') <> {_SEG} THEN 1 ELSE 0 END) END) AS replacements_applied
+ + (CASE WHEN regexp_replace(lower({_ddb_strip('c_mktsegment')}), 'build', 'BLD', 'g') <> {_SEG} THEN 1 ELSE 0 END) END) AS BIGINT) AS replacements_applied
 FROM dirty_customer""",
 )
 def q_norm_audit(spark, sf):
