@@ -144,10 +144,15 @@ def fit_mice(df: DataFrame, columns: Sequence[str], max_iter: int = 10, tol: flo
     order = sorted(range(d), key=lambda i: (nmiss[i] / max(stats["n"], 1), i))
     norm_tol = tol * max(abs(stats[f"abs{i}"] or 0.0) for i in range(d))
 
-    cur = df.select(
+    from pyspark import StorageLevel
+
+    # each feature step aggregates the participating columns again: keep
+    # just those (initial fill + missing masks) cached for the whole fit
+    base = df.select(
         *[F.coalesce(safe[c], F.lit(means[i])).alias(f"__x{i}") for i, c in enumerate(cols)],
         *[is_missing(df, c).alias(f"__m{i}") for i, c in enumerate(cols)],
-    )
+    ).persist(StorageLevel.MEMORY_AND_DISK)
+    cur = base
     miss = {c: F.col(f"__m{i}") for i, c in enumerate(cols)}
     depth = 0
     for rnd in range(1, max_iter + 1):
@@ -181,6 +186,7 @@ def fit_mice(df: DataFrame, columns: Sequence[str], max_iter: int = 10, tol: flo
             ensure_checkpoint_dir(cur.sparkSession)
             cur = cur.checkpoint(eager=True)
             depth = 0
+    base.unpersist()
     return state
 
 
