@@ -673,9 +673,36 @@ def overview(df: DataFrame) -> DataFrame:
     )
 
 
-def column_types(df: DataFrame, count_missing_as_unique: bool = False) -> DataFrame:
-    """Column, dtype, missing, missing % (1 dp), n_unique."""
+def column_types(
+    df: DataFrame, count_missing_as_unique: bool = False, approx: bool = False, rsd: float = 0.02
+) -> DataFrame:
+    """Column, dtype, missing, missing % (1 dp), n_unique.
+
+    ``approx=True`` is one pass without a shuffle of values: missing counts
+    stay exact, ``n_unique`` is a HyperLogLog estimate with relative
+    standard deviation ``rsd``."""
     cols = atomic_columns(df)
+    if approx:
+        items = [
+            F.struct(
+                F.lit(c).alias("column"),
+                F.count_if(is_missing(df, c)).alias("missing"),
+                F.approx_count_distinct(missing_safe(df, c), rsd).alias("nu"),
+                F.count(F.lit(1)).alias("n"),
+            )
+            for c in cols
+        ]
+        st = df.agg(F.array(*items).alias("a")).select(F.explode("a").alias("s")).select("s.*")
+        meta = _schema_frame(df.select(*[qcol(c) for c in cols]))
+        nu = F.col("nu") + (F.when(F.col("missing") > 0, 1).otherwise(0) if count_missing_as_unique else F.lit(0))
+        return meta.join(st, "column", "left").select(
+            "position",
+            "column",
+            "dtype",
+            "missing",
+            F.round(F.lit(100.0) * F.col("missing") / F.greatest(F.col("n"), F.lit(1)), 1).alias("missing_pct"),
+            nu.alias("n_unique"),
+        )
     n = df.count()
     vc = value_counts_long(df, cols)
     per_col = vc.groupBy("column").agg(F.count(F.lit(1)).alias("nu"), F.sum("cnt").alias("nm"))

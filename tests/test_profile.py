@@ -86,3 +86,16 @@ def test_compare_sections(spark, toy):
     assert d[("dataset", "rows")] == (6, 5)
     assert d[("schema", "hours_per_week")] == (1, 0)
     assert d[("missing_by_column", "age")] == (1, 0)
+
+
+def test_column_types_approx_close_to_exact(spark):
+    from sparkprep.sources.tables import dirty
+
+    d = dirty(spark, "/root/testdata/sf0.001", "dirty_orders")
+    exact = {r["column"]: r for r in P.column_types(d).collect()}
+    rsd = 0.02
+    approx = {r["column"]: r for r in P.column_types(d, approx=True, rsd=rsd).collect()}
+    for c, r in exact.items():
+        assert approx[c]["missing"] == r["missing"] and approx[c]["missing_pct"] == r["missing_pct"]
+        # within three standard deviations of the configured accuracy
+        assert abs(approx[c]["n_unique"] - r["n_unique"]) <= max(2, 3 * rsd * r["n_unique"])
