@@ -235,6 +235,35 @@ def register_action(name: str, fit: Callable, apply: Callable) -> None:
     STAGES[name] = (fit, apply)
 
 
+def _externalise(obj, path: str, counter: list[int]):
+    """Replace DataFrame-valued state (large code / kept-value tables) by
+    Parquet files under ``path``; everything else is JSON-able already."""
+    if isinstance(obj, tuple) and obj and obj[0] == "table":
+        counter[0] += 1
+        where = f"{path.rstrip('/')}/tables/t{counter[0]}"
+        obj[1].write.mode("overwrite").parquet(where)
+        return {"__table__": where, "rest": [_externalise(x, path, counter) for x in obj[2:]]}
+    if isinstance(obj, dict):
+        return {k: _externalise(v, path, counter) for k, v in obj.items()}
+    if isinstance(obj, list):
+        return [_externalise(v, path, counter) for v in obj]
+    if isinstance(obj, tuple):
+        return {"__tuple__": [_externalise(v, path, counter) for v in obj]}
+    return obj
+
+
+def _internalise(obj, spark):
+    if isinstance(obj, dict) and "__table__" in obj:
+        return ("table", spark.read.parquet(obj["__table__"]), *[_internalise(x, spark) for x in obj["rest"]])
+    if isinstance(obj, dict) and "__tuple__" in obj:
+        return tuple(_internalise(v, spark) for v in obj["__tuple__"])
+    if isinstance(obj, dict):
+        return {k: _internalise(v, spark) for k, v in obj.items()}
+    if isinstance(obj, list):
+        return [_internalise(v, spark) for v in obj]
+    return obj
+
+
 @dataclass
 class PlanModel:
     states: list[dict] = field(default_factory=list)
@@ -248,6 +277,30 @@ class PlanModel:
             df = STAGES[st["name"]][1](df, st["state"])
         return schema.align_schema(df, self.columns)
 
+    def save(self, path: str) -> None:
+        """Write the fitted state: ``model.json`` plus Parquet files for
+        table-valued state (use a shared folder on a cluster)."""
+        import json
+
+        from pyspark.sql import SparkSession
+
+        doc = {
+            "states": _externalise(self.states, path, [0]),
+            "columns": self.columns,
+            "skipped": self.skipped,
+        }
+        spark = SparkSession.getActiveSession()
+        spark.createDataFrame([(json.dumps(doc),)], "doc string").coalesce(1).write.mode("overwrite").text(
+            f"{path.rstrip('/')}/model.json"
+        )
+
+    @classmethod
+    def load(cls, spark, path: str) -> "PlanModel":
+        import json
+
+        doc = json.loads(spark.read.text(f"{path.rstrip('/')}/model.json").first()[0])
+        return cls(states=_internalise(doc["states"], spark), columns=doc["columns"], skipped=doc["skipped"])
+
 
 class PlanCleaner:
     """Fit a plan stage by stage. Each stage's fit is one or a few
