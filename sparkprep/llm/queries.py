@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, multiset, sharding, simhash
+from . import bpe, langid, lines, mixing, multiset, sharding, simhash
 from .common import read
 
 QUERIES = {
     "op1_mix_sources": lambda spark, d: mixing.taken(read(spark, d, "documents")),
     "op2_ring_shards": lambda spark, d: sharding.shards(read(spark, d, "documents")),
+    "op5_string_kernel_language": lambda spark, d: langid.languages(read(spark, d, "documents")),
+    "op7_transducer_bpe": lambda spark, d: bpe.encoded(read(spark, d, "documents")),
     "op8_line_rules": lambda spark, d: lines.verdicts(read(spark, d, "documents")),
     "op9_simhash_groups": lambda spark, d: simhash.groups_of(read(spark, d, "documents")),
     "op10_multiset_fingerprints": lambda spark, d: multiset.edits(read(spark, d, "documents")),
