@@ -191,16 +191,16 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; ``docs`` should not have columns of these names."""
+    """``docs`` with ``__lang_pred`` and ``__score``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("__lang_pred", T.StringType()), T.StructField("__score", T.DoubleType())])
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = list(shared.value.score(batch.column(at).to_pylist()))
             pred, score = [f[0] for f in found], [f[1] for f in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "__lang_pred", "__score"])
 
     return docs.mapInArrow(run, schema)
 
@@ -209,4 +209,4 @@ def languages(docs: DataFrame) -> DataFrame:
     """The query's digest: doc_id, held_out, lang_pred and score."""
     model = fit(docs)
     found = predict(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"))
