@@ -12,13 +12,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, text_of
+from .common import WORD, let, text_of
 
 #: The rules of a line.
-END = r"[.!?:;…\"”»')\]。！？]\s*$"
-SYMBOLS = r"[#*$%&|<>{}~^=_\\]"
+END = tuple(".!?:;…\"”»')]。！？")
+SYMBOLS = r"[^#*$%&|<>{}~^=_\\]+"
+SEPARATOR = r"[^|»>•]+"
 NAVIGATION = r"^\W*(home|menu|next|previous|prev|back|top|login|log in|sign in|sign up|register|search|share|contact|contact us|about|about us|help|faq|sitemap|read more|more|subscribe|skip to content)\W*$"
-BOILERPLATE = r"(cookie policy|privacy policy|terms of (use|service)|all rights reserved|copyright (©|\(c\)|\d{4})|©\s*\d{4}|enable javascript|click here|javascript:|lorem ipsum|powered by|follow us on|subscribe to our|accept (all )?cookies)"
+NAVIGATION_CHARS = 40
+BOILERPLATE = (
+    "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "copyright ©", "copyright (c)", "enable javascript",
+    "click here", "lorem ipsum", "powered by", "follow us on", "subscribe to our", "accept cookies", "accept all cookies",
+)
 #: A line fails beyond these: share of symbols among its characters, and separators ("|", "»", ">") for each word.
 SYMBOL_SHARE = 0.10
 SEPARATORS = 0.34
@@ -32,64 +37,78 @@ WINDOW = 5
 REPEATED = 20
 
 
+SPACE_RUN, WORD_RUN = r"[\x20\x09-\x0D]+", WORD
+
+
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    """The words; a text without one has none."""
+    return F.filter(F.split(text, SPACE_RUN), lambda w: w != "")
 
 
-def bare(text: Column) -> Column:
-    """The text without its white space: what is left are the characters of its words."""
-    return F.translate(text, " \t\n\x0b\f\r", "")
+def spaces(text: Column) -> Column:
+    """How many characters of white space a text has."""
+    return F.length(F.regexp_replace(text, WORD_RUN, ""))
 
 
 def fails(line: Column) -> Column:
     """Whether a line that has a word fails a rule."""
-    chars, n = F.length(bare(line)), F.regexp_count(line, F.lit(WORD))
-    symbols = chars - F.length(F.regexp_replace(bare(line), SYMBOLS, ""))
-    breaks = F.length(line) - F.length(F.translate(line, "|»>•", ""))
-    navigation = (breaks > F.lit(SEPARATORS) * n) & (breaks >= 2) | F.lower(line).rlike(NAVIGATION)
-    punctuation = (symbols > F.lit(SYMBOL_SHARE) * chars) | (n >= OPEN_WORDS) & ~line.rlike(END)
-    return navigation | punctuation | F.lower(line).rlike(BOILERPLATE)
+
+    def judged(v: Column) -> Column:
+        chars, gaps, low = v["chars"], v["gaps"], v["low"]
+        breaks = F.length(F.regexp_replace(line, SEPARATOR, ""))
+        symbols = F.length(F.regexp_replace(line, SYMBOLS, ""))
+        navigation = (breaks >= 2) & (breaks > F.lit(SEPARATORS) * gaps) | (F.length(line) <= NAVIGATION_CHARS) & low.rlike(NAVIGATION)
+        punctuation = (symbols > F.lit(SYMBOL_SHARE) * chars) | (gaps >= OPEN_WORDS) & ~F.right(F.rtrim(line), F.lit(1)).isin(*END)
+        boilerplate = low.contains(BOILERPLATE[0])
+        for phrase in BOILERPLATE[1:]:
+            boilerplate = boilerplate | low.contains(phrase)
+        return punctuation | navigation | boilerplate
+
+    gap = spaces(line)
+    return let(F.struct(gap.alias("gaps"), (F.length(line) - gap).alias("chars"), F.lower(line).alias("low")), judged)
 
 
 def repeated_words(words: Column, size: int = WINDOW) -> Column:
     """Words inside a window of ``size`` words that the text has twice or more, the first time included.
 
-    Distinct hashes prove that no window repeats. Where hashes meet, the windows themselves are compared: each is sorted
-    next to its equals with its place, and the places that have an equal neighbour cover the words.
+    Windows are compared by 64-bit hashes. In most texts all differ, and the count is 0. Else hashes are sorted with
+    their places; the places with an equal neighbour are those of repeated windows, and cover ``size`` words each, or as
+    many as lie before the next one.
     """
     places = F.sequence(F.lit(1), F.size(words) - (size - 1))
-    at = lambda i, k: F.element_at(words, i + k)
-    hashes = F.transform(places, lambda i: F.xxhash64(*[at(i, k) for k in range(size)]))
-    windows = F.sort_array(F.transform(places, lambda i: F.struct(F.concat_ws(" ", *[at(i, k) for k in range(size)]).alias("w"), i.alias("at"))))
-    pairs = F.arrays_zip(F.slice(windows, 1, F.size(windows) - 1).alias("a"), F.slice(windows, 2, F.size(windows) - 1).alias("b"))
-    equal = F.filter(pairs, lambda p: p["a"]["w"] == p["b"]["w"])
-    found = F.sort_array(F.array_distinct(F.flatten(F.transform(equal, lambda p: F.array(p["a"]["at"], p["b"]["at"])))))
-    # a window covers size words, or as many as lie before the next one
-    gaps = F.zip_with(found, F.slice(found, 2, F.size(found)), lambda a, b: F.least(F.coalesce(b - a, F.lit(size)), F.lit(size)))
-    covered = F.aggregate(gaps, F.lit(0), lambda total, x: total + x)
-    return (
-        F.when(F.size(words) <= size, 0)
-        .when(F.size(F.array_distinct(hashes)) == F.size(words) - (size - 1), 0)
-        .otherwise(covered)
-        .cast("long")
-    )
+    hashes = F.transform(places, lambda i: F.xxhash64(*[F.element_at(words, i + k) for k in range(size)]))
+
+    def places_of(found: Column) -> Column:
+        same = lambda i, j: F.get(found, i)["h"] == F.get(found, j)["h"]
+        at = F.sequence(F.lit(0), F.size(found) - 1)
+        repeated = F.filter(at, lambda i: F.coalesce(same(i, i - 1), F.lit(False)) | F.coalesce(same(i, i + 1), F.lit(False)))
+        return F.sort_array(F.transform(repeated, lambda i: F.get(found, i)["at"]))
+
+    def covered(found: Column) -> Column:
+        gaps = F.zip_with(found, F.slice(found, 2, F.size(found)), lambda a, b: F.least(F.coalesce(b - a, F.lit(size)), F.lit(size)))
+        return F.aggregate(gaps, F.lit(0), lambda total, x: total + x)
+
+    def count(h: Column) -> Column:
+        sorted_ = F.sort_array(F.zip_with(h, F.sequence(F.lit(1), F.size(h)), lambda x, i: F.struct(x.alias("h"), i.alias("at"))))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(let(let(sorted_, places_of), covered))
+
+    return F.when(F.size(words) <= size, 0).otherwise(let(hashes, count)).cast("long")
 
 
 def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the counts of the contract, ``__clean`` (the lines that stay) and ``__lost`` (share of word characters)."""
-    lines = F.filter(F.split(text_of(text), "\n"), lambda x: x.rlike(WORD))
-    words = words_of(text_of(text))
+    lines = F.filter(F.split(text_of(text), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    length = lambda c: F.length(c) - spaces(c)
     return (
         docs.withColumn("__lines", lines)
-        .withColumn("__words", words)
+        .withColumn("__words", words_of(text_of(text)))
         .withColumn("n_words", F.size("__words").cast("long"))
-        .withColumn("word_chars", F.length(bare(text_of(text))).cast("long"))
-        .withColumn("n_symbols", (F.length(text_of(text)) - F.length(F.translate(text_of(text), "#*$%&|<>", ""))).cast("long"))
+        .withColumn("word_chars", length(text_of(text)).cast("long"))
+        .withColumn("n_symbols", F.length(F.regexp_replace(text_of(text), r"[^#*$%&|<>]+", "")).cast("long"))
         .withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
         .withColumn("n_repeat_words", repeated_words(F.col("__words")))
-        .withColumn("__stay", F.filter("__lines", lambda x: ~fails(x)))
-        .withColumn("__clean", F.array_join("__stay", "\n"))
-        .withColumn("__lost", F.when(F.col("word_chars") == 0, 1.0).otherwise(1 - F.length(bare(F.col("__clean"))) / F.col("word_chars")))
+        .withColumn("__clean", F.array_join(F.filter("__lines", lambda x: ~fails(x)), "\n"))
+        .withColumn("__lost", F.when(F.col("word_chars") == 0, 1.0).otherwise(1 - length(F.col("__clean")) / F.col("word_chars")))
         .withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED * F.col("n_words")))
         .withColumn("kept", ~F.col("base_failed") & (F.col("__lost") <= LOST))
     )
