@@ -75,8 +75,9 @@ def repeated_words(words: Column, size: int = WINDOW) -> Column:
     their places; the places with an equal neighbour are those of repeated windows, and cover ``size`` words each, or as
     many as lie before the next one.
     """
-    places = F.sequence(F.lit(1), F.size(words) - (size - 1))
-    hashes = F.transform(places, lambda i: F.xxhash64(*[F.element_at(words, i + k) for k in range(size)]))
+
+    def hashes(words: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(words) - (size - 1)), lambda i: F.xxhash64(*[F.element_at(words, i + k) for k in range(size)]))
 
     def places_of(found: Column) -> Column:
         same = lambda i, j: F.get(found, i)["h"] == F.get(found, j)["h"]
@@ -92,7 +93,8 @@ def repeated_words(words: Column, size: int = WINDOW) -> Column:
         sorted_ = F.sort_array(F.zip_with(h, F.sequence(F.lit(1), F.size(h)), lambda x, i: F.struct(x.alias("h"), i.alias("at"))))
         return F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(let(let(sorted_, places_of), covered))
 
-    return F.when(F.size(words) <= size, 0).otherwise(let(hashes, count)).cast("long")
+    # the words are bound too: an optimizer that moves a filter on the result would else split the text for every word
+    return let(words, lambda w: F.when(F.size(w) <= size, 0).otherwise(let(hashes(w), count))).cast("long")
 
 
 def judge(docs: DataFrame, text: str = "text") -> DataFrame:
