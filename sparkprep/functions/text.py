@@ -63,20 +63,15 @@ def _combining_pattern() -> str:
     return _COMBINING_CLASS
 
 
-def _strip_accents_py(s: str) -> str:
-    nfkd = unicodedata.normalize("NFKD", s)
-    return "".join(ch for ch in nfkd if not unicodedata.combining(ch))
-
-
 @F.pandas_udf(T.StringType())
 def _strip_accents_udf(s: pd.Series) -> pd.Series:
-    """NFKD per value (C), then one vectorised RE2 pass over the batch that
-    deletes combining marks."""
+    """NFKD, then one RE2 pass that deletes combining marks, both over the
+    whole batch."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    nf = [None if v is None or v is pd.NA else unicodedata.normalize("NFKD", v) for v in s]
-    out = pc.replace_substring_regex(pa.array(nf, type=pa.string()), pattern=_combining_pattern(), replacement="")
+    split = pc.utf8_normalize(pa.Array.from_pandas(s, type=pa.string()), form="NFKD")
+    out = pc.replace_substring_regex(split, pattern=_combining_pattern(), replacement="")
     return out.to_pandas()
 
 

@@ -29,9 +29,6 @@ from sparkprep.functions.missing import field_type, is_bool, is_missing, is_nume
 from sparkprep.operators.base import Result, eager
 from sparkprep.operators.profile import modes, quantiles, value_counts_long
 
-RANDOM_STATE = 369  # fixed seed of the reference's imputer (no randomness is used here)
-
-
 # ----------------------------------------------------------- categorical
 def fit_mode(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:
     """Most frequent non-missing value per column (string, ties -> smallest)."""
@@ -221,7 +218,8 @@ def handle_missing(
     strategy: str = "impute",
     impute: dict | None = None,
 ) -> Result:
-    """Eager ``handle_missing``: ``drop_rows`` or ``impute``.
+    """Eager ``handle_missing``: ``drop_rows``, ``impute``, or a numeric
+    strategy by name (``mice``, ``median``, ``mean``, ``constant``).
 
     ``impute.numeric``: ``mice`` (default) | ``median`` | ``mean`` |
     ``constant``; an all-missing numeric column gets ``constant_value``;
@@ -235,6 +233,8 @@ def handle_missing(
         return eager(df, {"imputation_values": {}})
     if strategy == "drop_rows":
         return drop_missing_rows(df, list(columns))
+    if strategy in ("mice", "median", "mean", "constant"):
+        strategy, impute = "impute", {**(impute or {}), "numeric": strategy}
     if strategy != "impute":
         raise ValueError(f"handle_missing: unknown strategy '{strategy}'")
     cfg = impute or {}

@@ -567,12 +567,14 @@ def _profile_approx(sub: DataFrame, cols: Sequence[str], k: int, accuracy: int =
             )
         ).alias("kv")
     ).select("kv.*").filter(F.col("value").isNotNull())
+    # distinct (column, value) pairs meet after a map-side combine, so a heavy value is one row for each task
     w = Window.partitionBy("column").orderBy(F.asc_nulls_last("num"), F.asc("value"))
     samples = (
-        long.withColumn("r", F.dense_rank().over(w))
+        long.groupBy("column", "num", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("r", F.row_number().over(w))
         .filter(F.col("r") <= k)
         .select("column", "r", "value")
-        .distinct()
         .groupBy("column")
         .agg(F.sort_array(F.collect_list(F.struct("r", "value"))).alias("sv"))
         .select("column", F.transform("sv", lambda x: x["value"]).alias("sample_values"))
@@ -656,7 +658,7 @@ def overview(df: DataFrame) -> DataFrame:
     """
     cols = atomic_columns(df)
     miss_row = sum((is_missing(df, c).cast("long") for c in cols), F.lit(0).cast("long"))
-    grouped = df.select(*[qcol(c) for c in cols]).groupBy(*[qcol(c) for c in cols]).agg(F.count(F.lit(1)).alias("__n"))
+    grouped = df.select(*[missing_safe(df, c).alias(c) for c in cols]).groupBy(*[qcol(c) for c in cols]).agg(F.count(F.lit(1)).alias("__n"))
     n_text = sum(1 for c in df.columns if is_text(field_type(df, c)))
     other_missing = [c for c in df.columns if c not in cols]  # nested columns: null check only
     extra = sum((qcol(c).isNull().cast("long") for c in other_missing), F.lit(0).cast("long"))

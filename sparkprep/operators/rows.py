@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkprep.functions.missing import field_type, is_missing, is_text, qcol
+from sparkprep.functions.missing import field_type, is_missing, is_text, missing_safe, qcol
 from sparkprep.operators.base import Result, lazy, require_columns
 from sparkprep.operators.profile import atomic_columns
 
@@ -39,7 +39,7 @@ def drop_missing_rows(df: DataFrame, columns: Sequence[str]) -> Result:
 def _key_exprs(df: DataFrame, subset: Sequence[str], case_insensitive: bool):
     keys = []
     for i, c in enumerate(subset):
-        e = qcol(c)
+        e = missing_safe(df, c)
         if case_insensitive and is_text(field_type(df, c)):
             e = F.lower(e)
         keys.append(e.alias(f"__k{i}"))
@@ -72,11 +72,12 @@ def deduplicate(
     row = F.struct(*[qcol(c) for c in cols]).alias("__row")
 
     if subset is None:
+        same = df.select(*[missing_safe(df, c).alias(c) for c in cols])  # NaN and null are both missing
         if keep == "none":
-            g = df.groupBy(*[qcol(c) for c in cols]).agg(F.count(F.lit(1)).alias("__n"))
+            g = same.groupBy(*[qcol(c) for c in cols]).agg(F.count(F.lit(1)).alias("__n"))
             out = g.filter(F.col("__n") == 1).select(*[qcol(c) for c in cols])
         else:
-            out = df.dropDuplicates()
+            out = same.dropDuplicates()
         examples = None
     else:
         keys = _key_exprs(df, subset, case_insensitive)

@@ -57,15 +57,6 @@ def text_steps(c: Column, ops: Sequence[str], replace: Sequence[dict] | None) ->
     return c, rule_pairs
 
 
-def normalize_expr(
-    c: Column, ops: Sequence[str], replace: Sequence[dict] | None = None, null_like: Sequence[str] | None = None
-) -> Column:
-    out, _ = text_steps(c, ops, replace)
-    if null_like:
-        out = F.when(F.lower(out).isin([str(x).lower() for x in null_like]), F.lit(None).cast("string")).otherwise(out)
-    return out
-
-
 def normalize_text(
     df: DataFrame,
     columns: Sequence[str],

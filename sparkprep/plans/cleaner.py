@@ -11,12 +11,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import DataFrame
 
 from sparkprep.functions.missing import field_type, is_bool, is_numeric, is_text
 from sparkprep.operators import encode, features, impute, outliers, schema, text
+from sparkprep.operators.schema import resolve_column
+from sparkprep.plans.names import resolve_names, resolve_params
 from sparkprep.plans.spec import Plan
 
 
@@ -183,7 +186,7 @@ def _apply_semantic(df, st):
 
 def _fit_indicators(df, params, tc, target):
     st = features.fit_missing_indicators(
-        df, target, float(params.get("min_na_rate", 0.01)), int(params.get("max_indicators", 20)),
+        df, target, float(params.get("min_na_rate", 0.01)), None if params.get("max_indicators") is None else int(params["max_indicators"]),
         params.get("columns"), params.get("exclude_columns", []),
     )
     return features.apply_missing_indicators(df, st), st
@@ -249,12 +252,16 @@ def _externalise(obj, path: str, counter: list[int]):
         return [_externalise(v, path, counter) for v in obj]
     if isinstance(obj, tuple):
         return {"__tuple__": [_externalise(v, path, counter) for v in obj]}
+    if isinstance(obj, Decimal):
+        return {"__decimal__": str(obj)}
     return obj
 
 
 def _internalise(obj, spark):
     if isinstance(obj, dict) and "__table__" in obj:
         return ("table", spark.read.parquet(obj["__table__"]), *[_internalise(x, spark) for x in obj["rest"]])
+    if isinstance(obj, dict) and "__decimal__" in obj:
+        return Decimal(obj["__decimal__"])
     if isinstance(obj, dict) and "__tuple__" in obj:
         return tuple(_internalise(v, spark) for v in obj["__tuple__"])
     if isinstance(obj, dict):
@@ -338,7 +345,8 @@ class PlanCleaner:
                 model.skipped.append(name)
                 model.states.append({"name": name, "skipped": True})
                 continue
-            df, st = STAGES[name][0](df, dict(a.params), list(a.target_columns), self.target_column)
+            target = self.target_column and (resolve_column(df, self.target_column) or self.target_column)
+            df, st = STAGES[name][0](df, resolve_params(df, a.params), resolve_names(df, a.target_columns), target)
             model.states.append({"name": name, "state": st})
         model.columns = list(df.columns)
         return model

@@ -35,9 +35,10 @@ class Action:
     target_columns: list[str] = field(default_factory=list)
     params: dict[str, Any] = field(default_factory=dict)
 
-    def __post_init__(self):
-        if self.action not in ACTIONS:
-            raise ValueError(f"unknown action '{self.action}'")
+    @property
+    def known(self) -> bool:
+        """Unknown actions are allowed: a registered stage may carry them out, else they are recorded as skipped."""
+        return self.action in ACTIONS
 
 
 @dataclass

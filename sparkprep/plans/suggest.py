@@ -18,7 +18,7 @@ PREFERRED_TARGETS = ["target", "income", "label", "class", "y"]
 TARGET_LIKE = {"target", "income", "label", "class", "y", "outcome", "price", "saleprice", "diagnosis"}
 MISSING_DROP_RATIO = 0.40
 ONE_HOT_MAX_CARDINALITY = 15
-_ID_TOKEN = re.compile(r"(^|_)(id|nbr|key)($|_)")
+_ID_TOKEN = re.compile(r"(^|[\W_])(id|nbr|key)($|[\W_])")
 
 
 def detect_target(columns: list[str]) -> tuple[str | None, bool]:
@@ -37,10 +37,13 @@ def is_id_like(name: str, n_unique: int, n_rows: int) -> bool:
 
 
 def suggest_plan(df: DataFrame, target_column: str | None = None, model_family: str = "scaling_sensitive") -> Plan:
-    """Rules: drop ID-like columns and columns with missing ratio > 0.40;
+    """Without a target column the target-like name, if there is one, is
+    taken. Rules: drop ID-like columns and columns with missing ratio > 0.40;
     impute the rest; fix names and normalise text; per-column encoding
     (ordinal for trees or cardinality > 15, else one-hot); clip outliers
     and scale for scaling-sensitive models; never scale for trees."""
+    if target_column is None:
+        target_column = detect_target(df.columns)[0]
     rows = profile(df, target_column).orderBy("position").collect()
     n_rows = df.count()
     drops, missing_cols, enc = [], [], {}

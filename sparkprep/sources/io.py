@@ -32,10 +32,14 @@ def read_csv(
     keep_default_na: bool = True,
     infer_types: bool = True,
     schema: str | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
     """CSV with pandas-style missing markers: every cell in the marker set
     (defaults plus ``na_values``) becomes null, then column types are
-    inferred by Spark over the cleaned strings (or ``schema`` is applied)."""
+    inferred by Spark over the cleaned strings (or ``schema`` is applied).
+    Quotes inside a quoted cell are doubled, and a cell may hold line feeds;
+    with ``multi_line=False`` it may not, and large files are split among
+    tasks. A row with more or fewer cells than the header is an error."""
     if sep not in SEPARATORS and len(sep) != 1:
         raise ValueError(f"unsupported separator {sep!r}")
     markers = list(DEFAULT_NA_VALUES if keep_default_na else []) + list(na_values or [])
@@ -48,7 +52,10 @@ def read_csv(
         .option("sep", sep)
         .option("encoding", charset)
         .option("inferSchema", False)
-        .option("mode", "PERMISSIVE")
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("multiLine", multi_line)
+        .option("mode", "FAILFAST")
         .csv(path)
     )
     cleaned = raw.select(*[F.when(qcol(c).isin(markers), None).otherwise(qcol(c)).alias(c) for c in raw.columns])
@@ -59,6 +66,10 @@ def read_csv(
     return _infer(cleaned)
 
 
+# Spark's casts also read Java's forms "1D" and "2f", which are text here.
+_NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?\s*$|^\s*[+-]?(inf|infinity|nan)\s*$"
+
+
 def _infer(df: DataFrame) -> DataFrame:
     """Promote string columns to bigint / double / boolean when every
     non-null value parses (one aggregate over the table)."""
@@ -67,7 +78,7 @@ def _infer(df: DataFrame) -> DataFrame:
         x = qcol(c)
         checks += [
             F.count_if(x.isNotNull() & x.try_cast("bigint").isNull()).alias(f"i::{c}"),
-            F.count_if(x.isNotNull() & x.try_cast("double").isNull()).alias(f"d::{c}"),
+            F.count_if(x.isNotNull() & (x.try_cast("double").isNull() | ~x.rlike(_NUMBER))).alias(f"d::{c}"),
             F.count_if(x.isNotNull() & ~F.lower(x).isin("true", "false")).alias(f"b::{c}"),
             F.count(x).alias(f"n::{c}"),
         ]
@@ -91,11 +102,6 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def cap_rows(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Optional row cap (off by default); a deliberate sampling feature."""
-    return df if max_rows is None else df.limit(int(max_rows))
-
-
 def preview(df: DataFrame, n: int = 20, order_by: Sequence[str] | None = None) -> DataFrame:
     """First ``n`` rows in a deterministic order (top-k, not a full sort)."""
     keys = list(order_by or df.columns)
@@ -107,7 +113,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     w = df.write.mode(mode)
     if fmt == "csv":
         # keep values verbatim (Spark's CSV writer trims by default)
-        w.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+        w.option("header", True).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     elif fmt == "json":
         w.json(path)
     elif fmt == "parquet":

@@ -27,16 +27,16 @@ def dedup_stream(stream: DataFrame, keys: Sequence[str], event_time: str, delay:
     return s.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """Drive a streaming query over all available input into an in-memory
-    table and return it as a batch DataFrame (used by tests/queries)."""
+def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
+    """Drive a streaming query over all available input into Parquet files
+    under ``folder`` (shared; also its checkpoint) and read them back."""
     q = (
-        stream.writeStream.format("memory")
-        .queryName(name)
+        stream.writeStream.format("parquet")
         .outputMode("append")
-        .option("checkpointLocation", checkpoint)
+        .option("path", f"{folder}/out")
+        .option("checkpointLocation", f"{folder}/state")
         .trigger(availableNow=True)
         .start()
     )
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
