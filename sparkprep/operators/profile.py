@@ -20,6 +20,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,7 +36,6 @@ from sparkprep.functions.missing import (
     missing_safe,
     qcol,
 )
-from sparkprep.functions.stats import safe_corr
 
 ATOMIC = (
     T.NumericType,
@@ -825,22 +826,50 @@ def compare(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 # -------------------------------------------------------------- correlation
-def corr_long(df: DataFrame, cols: Sequence[str], batch: int = 500) -> DataFrame:
+def corr_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pairwise-complete Pearson correlation of every pair ``i < j`` as
-    ``(col_a, col_b, corr)``; null where undefined. ``p(p-1)/2`` expressions
-    are split into aggregates of at most ``batch`` expressions."""
+    ``(col_a, col_b, corr)``; null where undefined.
+
+    One scan: every task multiplies its Arrow batches with numpy into four
+    matrices (pair counts, sums, sums of squares, cross products) and gives
+    one row for each pair, so what is shuffled does not grow with the rows.
+    Values are taken from their column's minimum, which keeps a constant
+    column exactly zero."""
     spark = _spark(df)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    schema = "col_a string, col_b string, corr double"
-    if not pairs:
-        return spark.createDataFrame([], schema)
-    x = {c: missing_safe(df, c).cast("double") for c in cols}
-    parts = []
-    for s in range(0, len(pairs), batch):
-        chunk = pairs[s : s + batch]
-        items = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), safe_corr(x[a], x[b]).alias("corr")) for a, b in chunk]
-        parts.append(df.agg(F.array(*items).alias("a")).select(F.explode("a").alias("s")).select("s.*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    p = len(cols)
+    if p < 2:
+        return spark.createDataFrame([], "col_a string, col_b string, corr double")
+    x = [missing_safe(df, c).cast("double") for c in cols]
+    lows = [v if v is not None else 0.0 for v in df.agg(*[F.min(v).alias(f"c{i}") for i, v in enumerate(x)]).first()]
+    first, second = np.triu_indices(p, 1)
+
+    def products(batches):
+        n, sx, sxx, sxy = (np.zeros((p, p)) for _ in range(4))
+        for batch in batches:
+            values = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            seen = ~np.isnan(values)
+            near = np.where(seen, values - lows, 0.0)
+            seen = seen.astype(float)
+            n += seen.T @ seen
+            sx += near.T @ seen
+            sxx += (near**2).T @ seen
+            sxy += near.T @ near
+        cells = {"n": n, "sx": sx, "sy": sx.T, "sxx": sxx, "syy": sxx.T, "sxy": sxy}
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(first, pa.int32()), pa.array(second, pa.int32()), *[pa.array(m[first, second]) for m in cells.values()]],
+            names=["i", "j", *cells],
+        )
+
+    parts = df.select(*[v.alias(f"c{i}") for i, v in enumerate(x)]).mapInArrow(
+        products, "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
+    )
+    sums = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+
+    def spread(square: str, total: str) -> Column:
+        """The centred sum of squares; what rounding leaves of a constant is 0."""
+        left = F.col(square) - F.try_divide(F.col(total) * F.col(total), F.col("n"))
+        return F.when(left > 1e-12 * F.col(square), left).otherwise(F.lit(0.0))
+
+    corr = F.try_divide(F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), F.col("n")), F.sqrt(spread("sxx", "sx") * spread("syy", "sy")))
+    names = F.array(*[F.lit(c) for c in cols])
+    return sums.select(F.get(names, F.col("i")).alias("col_a"), F.get(names, F.col("j")).alias("col_b"), corr.alias("corr"))

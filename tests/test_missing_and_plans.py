@@ -152,3 +152,24 @@ def test_cut_json_is_closed(spark):
         if r.j is not None:
             json.loads(r.j)
     assert sum(r.j is not None for r in out) > len(cuts) // 2
+
+
+def test_correlations_of_a_wide_table_take_one_scan(spark, tmp_path):
+    import time
+
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    wide = pd.DataFrame(rng.normal(1e6, 1, (300, 150)), columns=[f"c{i}" for i in range(150)])
+    wide["c1"], wide["c2"] = 3.0, -2 * wide["c0"]
+    wide.loc[::7, "c5"] = np.nan
+    spark.createDataFrame(wide).write.parquet(str(tmp_path / "w"))
+    began = time.time()
+    out = profile.corr_long(spark.read.parquet(str(tmp_path / "w")), list(wide.columns))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+    got = {(r.col_a, r.col_b): r["corr"] for r in out.collect()}
+    assert time.time() - began < 60 and len(got) == 150 * 149 // 2
+    want = wide.corr()
+    for (a, b), r in got.items():
+        assert (r is None and np.isnan(want.loc[a, b])) or abs(r - want.loc[a, b]) < 1e-6
