@@ -104,7 +104,8 @@ def following(ids: DataFrame) -> DataFrame:
     after = firsts.select("part", F.coalesce(F.lead("o").over(Window.orderBy("part")), F.first("o").over(Window.orderBy("part"))).alias("over"))
     found = dealt.withColumn("lead", F.lead("o").over(Window.partitionBy("part").orderBy("o"))).join(F.broadcast(after), "part")
     then = F.coalesce("lead", "over")
-    return found.select("id", "n", F.struct(then["doc_id"].alias("doc_id"), then["h"].alias("h")).alias("next"))
+    # a hash is never null; saying so gives both ids one type, so that both joins use one shuffle of the texts
+    return found.select("id", "n", F.struct(then["doc_id"].alias("doc_id"), F.coalesce(then["h"], F.lit(0).cast("long")).alias("h")).alias("next"))
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
