@@ -77,7 +77,7 @@ def targets(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 def copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, keys: tuple[str, ...] = ("doc_id",), text: str = "text", source: str = "source") -> DataFrame:
     """``docs`` with ``__size``, ``__source_size``, ``__target`` and ``__copies`` (how often a document is emitted)."""
     sized = docs.withColumn("__size", count_words(text_of(text)))
-    found = attach(sized.withColumn("__source", F.col(source)), targets(sized, weights, share, most, source), ["__source"])
+    found = attach(sized.withColumn("__source", F.col(source)), targets(sized, weights, share, most, source), ["__source"], "__source")
     rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
     coin = uniform(seed, *[F.col(k) for k in keys]) < rate - F.floor(rate)
     return found.withColumn("__copies", F.floor(rate) + F.when(coin, 1).otherwise(0)).drop("__source")
