@@ -121,10 +121,12 @@ def with_next(docs: DataFrame, edit) -> DataFrame:
     """
     text = text_of("text")
     key = F.struct(F.col("doc_id"), F.xxhash64(text).alias("h")).alias("id")
-    ids = docs.select(key, F.length(text).alias("n")).groupBy("id").agg(F.min("n").alias("n"))
+    ids = cut(docs.select(key, F.length(text).alias("n")).groupBy("id").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("rows")))
     rows = docs.select(key, text.alias("text")).withColumn("vec", vector(F.col("text")))
-    wants = following(ids).select(F.col("next").alias("id"), F.col("id").alias("to"), edit(F.col("n")).alias("k"))
-    heads = rows.join(wants, "id").select(F.col("to").alias("id"), F.expr("left(text, k)").alias("head"), F.col("vec").alias("next_vec")).dropDuplicates(["id"])
+    wants = following(ids.select("id", "n")).select(F.col("next").alias("id"), F.col("id").alias("to"), edit(F.col("n")).alias("k"))
+    heads = rows.join(wants, "id").select(F.col("to").alias("id"), F.expr("left(text, k)").alias("head"), F.col("vec").alias("next_vec"))
+    if (ids.agg(F.max("rows")).first()[0] or 0) > 1:  # equal rows would each send their head
+        heads = heads.dropDuplicates(["id"])
     return rows.join(heads, "id")
 
 
