@@ -144,7 +144,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     named = nodes.join(smallest, nodes["fp"] == smallest["linked"], "left").select(
         "fp", F.when(F.col("linked").isNotNull(), F.col("of_all")).otherwise(F.col("least")).alias("component")
     )
-    # a fingerprint that many copies share makes a skewed join, whose large side Spark splits
+    # many copies share a fingerprint: Spark splits the large side of the skewed join, as both sides are plain shuffles
+    named = cut(named)
     return prints.join(named, "fp").select("key", "fp", "component")
 
 
