@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 from sparkprep.llm import bpe, langid, mixing, pii, simhash
 from sparkprep.session import ensure_checkpoint_dir
 
-#: A document scores at least this for its best language, or no learned language fits it.
+#: A document scores at least this for its best language. Hardly any scores less; what drops texts that no learned
+#: language fits is ``fitting`` (see langid).
 LEAST_SCORE = 0.25
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those that no learned language fits; all others stay as they are."""
-    found = langid.predict(docs, langid.fit(docs))
+    found = langid.predict(docs, langid.fit(docs), fitting=True)
     return found.where((F.col("__lang_pred") != langid.UNKNOWN) & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
 
 

@@ -10,6 +10,10 @@ An n-gram is a number of ``BITS`` bits hashed from its lower-cased code points;
 The model is fitted on a bounded sample: ``SAMPLE`` labelled texts of each language with the smallest hashes, whole and
 as two snippets each, the first ``LANDMARKS`` of them as landmarks. Only their n-grams reach the driver.
 
+The best score says little on whether any learned language fits, as the scores of K languages add up to about 2 - K
+whatever the text. A text fits its language when the landmarks of that language have enough of its n-grams: ``SLACK``
+times what all but the lowest ``LOWEST`` of the labelled snippets have in landmarks other than their own text.
+
 Defined cases: a null text and one without a letter are ``und`` with score 0, as is every text when there is nothing to
 learn from; a row without doc_id is not held out and not learned from; a very long text is read in pieces that overlap,
 so no n-gram is missed; equal texts get equal predictions; an empty table gives no rows; other columns are not read.
@@ -35,6 +39,7 @@ SAMPLE = 240
 LANDMARKS = 40
 SNIPPETS = (4, 12)
 RIDGE = 1e-2
+SLACK, LOWEST = 0.85, 0.01
 SEED = 5
 UNKNOWN = "und"
 #: Code points and texts in a block.
@@ -115,7 +120,7 @@ def sample(docs: DataFrame, key: str, text: str, lang: str, most: int) -> list[t
 class Model:
     """Languages, the landmarks' n-grams (``index`` by n-gram, ``marks`` by n-gram and landmark) and weights."""
 
-    def __init__(self, rows: list[tuple[str, int, np.ndarray]], landmarks: int = LANDMARKS, ridge: float = RIDGE):
+    def __init__(self, rows: list[tuple[str, int, np.ndarray]], landmarks: int = LANDMARKS, ridge: float = RIDGE, most: int = SAMPLE):
         self.langs = sorted({lang for lang, _, _ in rows})
         if not rows:
             return
@@ -137,6 +142,29 @@ class Model:
         solved = np.linalg.solve(left @ features + ridge * len(rows) / len(root) * np.eye(features.shape[1]), left @ goal)
         self.weights = (root @ solved[:-1]).astype(np.float32)
         self.bias = solved[-1].astype(np.float32)
+        self._set_floors(rows, landmarks, most)
+
+    def _set_floors(self, rows: list[tuple[str, int, np.ndarray]], landmarks: int, most: int) -> None:
+        """``own``: which n-grams a language's landmarks have (the last place is for unknown ones); ``floors``: see above."""
+        self.own = np.zeros((len(self.langs), self.index.max() + 1), bool)
+        self.floors = np.zeros(len(self.langs))
+        for k, lang in enumerate(self.langs):
+            mine = [((place - 1) % most, place, self.index[g]) for name, place, g in rows if name == lang]
+            count = np.zeros(self.own.shape[1], np.int32)
+            marks: dict[int, list[np.ndarray]] = {}
+            for text, place, found in mine:
+                if place <= landmarks:
+                    count[found] += 1
+                    marks.setdefault(text, []).append(found)
+            count[-1] = 0
+            self.own[k] = count > 0
+            shares = []
+            for text, place, found in [m for m in mine if m[1] > most] or mine:
+                others = count.copy()
+                for same in marks.get(text, []):
+                    others[same] -= 1
+                shares.append((others[found] > 0).mean())
+            self.floors[k] = SLACK * np.quantile(shares, LOWEST)
 
     def _table(self, rows: list[np.ndarray]) -> np.ndarray:
         table = np.zeros((len(rows), self.index.max() + 1), np.float32)
@@ -147,28 +175,38 @@ class Model:
     def _kernels(self, table: np.ndarray) -> np.ndarray:
         return (table @ self.marks) / np.sqrt(np.maximum(table.sum(1, keepdims=True), 1))
 
-    def score(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
-        """Language and score of each text, in order."""
+    def score(self, texts: list[str | None], fitting: bool = False) -> Iterator[tuple[str, float]]:
+        """Language and score of each text, in order; if ``fitting``, a text that doesn't fit its language has none."""
         for at in range(0, len(texts), ROWS):
-            yield from self._score_rows(texts[at : at + ROWS])
+            yield from self._score_rows(texts[at : at + ROWS], fitting)
 
-    def _score_rows(self, texts: list[str | None]) -> list[tuple[str, float]]:
+    def _score_rows(self, texts: list[str | None], fitting: bool = False) -> list[tuple[str, float]]:
         if not self.langs:
             return [(UNKNOWN, 0.0)] * len(texts)
         seen = np.zeros((len(texts), self.index.max() + 1), bool)
         letter = np.zeros(len(texts), bool)
+        # places where an n-gram with a letter begins, and how many of them each language's landmarks know
+        places, known = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(self.langs)), np.int64)
         block: list[tuple[int, str]] = []
         size = 0
 
         def flush() -> None:
             chars = points("".join(p for _, p in block))
             found = [self.index[g] for g in grams(chars)]
+            some = [chars != 32]
+            for n in range(1, SPECTRUM if fitting else 1):
+                some.append(some[-1][: len(found[n])] | some[0][n:])
             at = 0
             for row, piece in block:
                 end = at + len(piece)
                 letter[row] |= bool((chars[at:end] != 32).any())
                 for n, g in enumerate(found):
-                    seen[row, g[at : max(at, end - n)]] = True
+                    here = g[at : max(at, end - n)]
+                    seen[row, here] = True
+                    if fitting:
+                        here = here[some[n][at : max(at, end - n)]]
+                        places[row] += len(here)
+                        known[row] += [np.count_nonzero(own[here]) for own in self.own]
                 at = end
             block.clear()
 
@@ -182,23 +220,25 @@ class Model:
         flush()
         scores = self._kernels(seen[:, :-1].astype(np.float32)) @ self.weights + self.bias
         best = scores.argmax(1)
+        if fitting:
+            letter &= known[np.arange(len(texts)), best] >= self.floors[best] * places
         top = np.clip((1 + scores[np.arange(len(texts)), best]) / 2, 0, 1)
         return [(self.langs[b], float(s)) if ok else (UNKNOWN, 0.0) for b, s, ok in zip(best, top, letter)]
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = SAMPLE, landmarks: int = LANDMARKS) -> Model:
-    return Model(sample(docs, key, text, lang, most), landmarks)
+    return Model(sample(docs, key, text, lang, most), landmarks, most=most)
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``__lang_pred`` and ``__score``."""
+def predict(docs: DataFrame, model: Model, text: str = "text", fitting: bool = False) -> DataFrame:
+    """``docs`` with ``__lang_pred`` and ``__score``; if ``fitting``, ``und`` and 0 for texts that no learned language fits."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     schema = T.StructType([*docs.schema.fields, T.StructField("__lang_pred", T.StringType()), T.StructField("__score", T.DoubleType())])
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(shared.value.score(batch.column(at).to_pylist()))
+            found = list(shared.value.score(batch.column(at).to_pylist(), fitting))
             pred, score = [f[0] for f in found], [f[1] for f in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "__lang_pred", "__score"])
 

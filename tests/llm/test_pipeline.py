@@ -36,3 +36,27 @@ def test_run_against_the_operators(spark, small):
     same = [r for r in got if "@" not in texts[r.doc_id] and not any(c.isdigit() for c in texts[r.doc_id])]
     assert same and all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in same)
     assert all(r.n_tokens == len(r.ids) for r in got)
+
+
+def test_language_stage_rejects_unlearned_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL")
+    unlearned = [
+        "Wczoraj wieczorem w naszym mieście odbyło się spotkanie mieszkańców z burmistrzem.",
+        "Eilen illalla kaupungissamme pidettiin asukkaiden kokous.",
+        "Dün akşam şehrimizde belediye başkanı ile bir toplantı yapıldı.",
+        "Gisteravond vond er in onze stad een bijeenkomst plaats met de burgemeester.",
+        "Вчера вечером в нашем городе состоялась встреча жителей. " * 40,
+        "昨天晚上在我们的城市举行了居民会议",
+        "xq zkvw bnmtr qwpfg zxcvb hjklp wqrtz",
+        "12 345 --- 67 Привет 8 9 ... " * 9,
+    ]
+    clean = [(r.lang, " ".join(r.text.split()[3:9])) for r in docs.where("n_chars > 200").orderBy("doc_id").limit(200).collect()]
+    clean = [t for _, t in clean if all(c.isalpha() or c in " .," for c in t)]
+    assert len(clean) > 100
+    rows = [(-1 - i, t, None, "x", len(t)) for i, t in enumerate(unlearned + clean)]
+    more = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.language(spark, docs.select(*more.columns).unionByName(more), SF)
+    ids = {r.doc_id for r in kept.where("doc_id < 0").collect()}
+    assert not ids & {-1 - i for i in range(len(unlearned))}
+    assert len(ids) >= 0.99 * len(clean)
+    assert kept.where("doc_id >= 0").count() >= 0.99 * docs.count()
