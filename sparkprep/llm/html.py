@@ -4,6 +4,9 @@ Each page's containers are scored and its best one votes for its generalised pat
 numbers taken out). The votes of a host are counted in Spark, and every page is read again: the containers on its
 host's winning path give its text, or, where it has none, its own best container.
 
+The article is never cut: the best container is the outermost one that is marked as content, if all that counts
+outside it stands in boxes that are not so marked, or else the smallest one with all that counts.
+
 What is no content is left out wherever it stands: by tag (menus, headers, footers, sidebars, forms, scripts, styles)
 and by class, id or role (the same, and adverts, notices and reader comments).
 
@@ -45,15 +48,15 @@ NO_CONTENT = re.compile(
 CONTENT = re.compile(r"(?:^|[^a-z])(?:article|content|post|entry|story|main|body|text)(?:$|[^a-z])")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 MARKS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-#: A container that is not marked as content must keep this share of its parent's text to be preferred to it.
-KEEPS, KEEPS_MARKED = 0.9, 0.5
+#: Containers marked as content must have this share of a page's text to be its article by the page alone.
+KEEPS_MARKED = 0.5
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "marked", "skipped", "chars", "first", "last")
+    __slots__ = ("tag", "path", "parent", "marked", "skipped", "chars", "first", "last", "own")
 
     def __init__(self, tag: str, marks: str, classes: str, parent: "Node | None", first: int):
-        self.tag, self.parent, self.first, self.last, self.chars = tag, parent, first, -1, 0
+        self.tag, self.parent, self.first, self.last, self.chars, self.own = tag, parent, first, -1, 0, 0
         name = tag + "".join("." + re.sub(r"\d+", "#", c) for c in sorted(set(classes.lower().split())))
         self.path = f"{parent.path}/{name}" if parent else name
         self.marked = tag in ("article", "main") or bool(marks and CONTENT.search(marks))
@@ -120,8 +123,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node | None, str]]]:
     return [root, *nodes], runs
 
 
-def best(nodes: list[Node], runs: list[tuple[Node | None, str]]) -> Node | None:
-    """The deepest container that keeps its parent's text, or most of it if it is marked as content."""
+def count(runs: list[tuple[Node | None, str]]) -> None:
+    """Sets what counts: ``chars`` of each node with all below it, and ``own`` of a container without those below it."""
     for node, run in runs:
         if node is None or node.skipped:
             continue
@@ -130,28 +133,62 @@ def best(nodes: list[Node], runs: list[tuple[Node | None, str]]) -> Node | None:
             above.append(above[-1].parent)
         if any(up.tag == "a" for up in above):  # the text of links counts for no container
             continue
+        size = len(run) - run.count(" ") - run.count("\n")
         for up in above:
-            up.chars += len(run) - run.count(" ") - run.count("\n")
-    inside: dict[int, list[Node]] = {}
-    for node in nodes[1:]:
+            up.chars += size
+        next(up for up in above if up.tag in CONTAINERS or up.parent is None).own += size
+
+
+def on_path(nodes: list[Node], path: str) -> list[Node]:
+    return [n for n in nodes if n.path == path and not n.skipped]
+
+
+def outermost(nodes: list[Node]) -> list[Node]:
+    """The containers marked as content that stand in no other one."""
+    out = []
+    for node in nodes:
         up = node.parent
-        while up.tag not in CONTAINERS and up.parent is not None:
+        while up is not None and not up.marked:
             up = up.parent
-        if not node.skipped:
-            inside.setdefault(id(up), []).append(node)
-    now = nodes[0]
-    if not now.chars:
+        if node.marked and up is None and not node.skipped:
+            out.append(node)
+    return out
+
+
+def whole(chosen: list[Node], nodes: list[Node]) -> bool:
+    """Whether these containers have the article: all that counts outside them is in boxes not marked as content."""
+    if sum(n.chars for n in chosen) == nodes[0].chars:
+        return True
+    tops = outermost(nodes)
+    ids = {id(n) for n in chosen}
+    if not ids <= {id(n) for n in tops} or any(n.chars for n in tops if id(n) not in ids):
+        return False
+    if chosen[0].tag in ("article", "main"):
+        return True
+    above = {id(up): up for n in chosen for up in ancestors(n)}
+    return not any(up.own for up in above.values())
+
+
+def ancestors(node: Node) -> Iterator[Node]:
+    while node.parent is not None:
+        node = node.parent
+        yield node
+
+
+def best(nodes: list[Node], runs: list[tuple[Node | None, str]]) -> Node | None:
+    """A container whose path has the article; see above. Alike containers stand together: their path selects all."""
+    root = nodes[0]
+    if not root.chars:
         return None
-    while below := inside.get(id(now)):
-        # alike containers side by side stand together: their path selects all of them
-        sums: dict[str, int] = {}
-        for node in below:
-            sums[node.path] = sums.get(node.path, 0) + node.chars
-        top = max(below, key=lambda n: (sums[n.path] * (2 if n.marked else 1), n.chars))
-        if sums[top.path] < (KEEPS_MARKED if top.marked else KEEPS) * now.chars:
-            break
-        now = top
-    return now
+    sums: dict[str, int] = {}
+    for node in (tops := outermost(nodes)):
+        sums[node.path] = sums.get(node.path, 0) + node.chars
+    if tops:
+        top = max(tops, key=lambda n: (sums[n.path], n.chars))
+        if sums[top.path] >= KEEPS_MARKED * root.chars and whole([n for n in tops if n.path == top.path], nodes):
+            return top
+    # nodes are in page order, so the last one with everything is the deepest
+    return [n for n in nodes if n.chars == root.chars and not n.skipped][-1]
 
 
 def gather(chosen: list[Node], runs: list[tuple[Node | None, str]]) -> str:
@@ -175,12 +212,14 @@ def gather(chosen: list[Node], runs: list[tuple[Node | None, str]]) -> str:
 def vote(page: str | None) -> tuple[str | None, int]:
     """The path that a page votes for, and its score."""
     nodes, runs = parse(page or "")
+    count(runs)
     top = best(nodes, runs)
     return (None, 0) if top is None else (top.path, top.chars)
 
 
 def extract(page: str | None, path: str | None) -> str:
     nodes, runs = parse(page or "")
+    count(runs)
     chosen = [n for n in nodes if n.path == path and not n.skipped] if path else []
     text = gather(chosen, runs)
     if not text:

@@ -109,3 +109,19 @@ def test_a_host_overrules_a_page(spark):
     assert got[2] == "the tale"
     alone = html.texts(spark.createDataFrame([(2, "http://h.org/x", odd)], "page_id long, url string, html string")).first().text
     assert alone.startswith("much longer box")
+
+
+def test_an_article_is_not_cut_to_an_inner_container():
+    inner = "<p>body words</p>" * 40
+    for page in (
+        f"<article><h1>Title</h1><p>lead</p><div>{inner}</div></article>",
+        f"<article><h1>Title</h1><p>lead</p><div class='article-body'>{inner}</div></article>",
+        f"<div class='post'><h1>Title</h1><p>lead</p><section><div class='text'>{inner}</div></section></div>",
+        f"<body><h1>Title</h1><p>lead</p><div class='content'>{inner}</div>",
+        f"<div><h1>Title</h1><p>lead</p><table><tr><td>{inner}</td><td></td></tr></table></div>",
+    ):
+        path, _ = html.vote(f"<body><nav>menu</nav>{page}<footer>f</footer></body>")
+        for text in (html.extract(page, None), html.extract(f"<body><nav>menu</nav>{page}<footer>f</footer></body>", path)):
+            assert text == "Title lead " + " ".join(["body words"] * 40), page
+    # boxes that are not marked as content stay outside a marked article
+    assert html.extract(f"<body><div>box</div><div><article>{inner}</article></div>", None) == " ".join(["body words"] * 40)
