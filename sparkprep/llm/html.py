@@ -2,7 +2,7 @@
 
 Each page's containers are scored and its best one votes for its generalised path (tags and classes from the root,
 numbers taken out). The votes of a host are counted in Spark, and every page is read again: the containers on its
-host's winning path give its text, or, where it has none, its own best container.
+host's winning path give its text, or, where they would miss some of the page's article, its own best container.
 
 The article is never cut: the best container is the outermost one that is marked as content, if all that counts
 outside it stands in boxes that are not so marked, or else the smallest one with all that counts.
@@ -220,12 +220,19 @@ def vote(page: str | None) -> tuple[str | None, int]:
 def extract(page: str | None, path: str | None) -> str:
     nodes, runs = parse(page or "")
     count(runs)
-    chosen = [n for n in nodes if n.path == path and not n.skipped] if path else []
-    text = gather(chosen, runs)
-    if not text:
-        top = best(nodes, runs)
-        text = gather([n for n in nodes if n.path == top.path and not n.skipped], runs) if top else ""
-    return text
+    top = best(nodes, runs)
+    if top is None:
+        return ""
+    chosen = on_path(nodes, path) if path else []
+    if not chosen or not sum(n.chars for n in chosen) or not (whole(chosen, nodes) or covers(chosen, on_path(nodes, top.path))):
+        chosen = on_path(nodes, top.path)
+    return gather(chosen, runs)
+
+
+def covers(chosen: list[Node], article: list[Node]) -> bool:
+    """Whether each container of the article that has text is, or is in, a chosen one."""
+    ids = {id(n) for n in chosen}
+    return all(id(n) in ids or any(id(up) in ids for up in ancestors(n)) for n in article if n.chars)
 
 
 def consensus(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:

@@ -125,3 +125,21 @@ def test_an_article_is_not_cut_to_an_inner_container():
             assert text == "Title lead " + " ".join(["body words"] * 40), page
     # boxes that are not marked as content stay outside a marked article
     assert html.extract(f"<body><div>box</div><div><article>{inner}</article></div>", None) == " ".join(["body words"] * 40)
+
+
+def test_a_host_does_not_cut_a_page(spark):
+    usual = "<body><div class='box'>short box</div><div class='story'>" + "<p>some story text here</p>" * 9 + "</div>"
+    rest = "<p>words of the article</p>" * 9
+    want = " ".join(["words of the article"] * 9)
+    others = [
+        f"<body><div class='box'>b</div><article>{rest}</article><div class='story'>teaser</div>",
+        f"<body><article>{rest}<div class='story'>inset</div></article>",
+        f"<body>{rest}<div class='story'>quote</div>",
+        f"<body><div class='box'>{rest}</div>",
+    ]
+    rows = [(i, "http://h.org/x", p) for i, p in enumerate([usual] * 5 + others)]
+    got = {r.page_id: r.text for r in html.texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == " ".join(["some story text here"] * 9)
+    assert all(want in got[5 + i] for i in range(len(others)))
+    page = f"<body><article>{rest}<div>inset</div></article>"
+    assert html.extract(page, "#/body/article/div") == want + " inset"
