@@ -8,7 +8,9 @@ The article is never cut: the best container is the outermost one that is marked
 outside it stands in boxes that are not so marked, or else the smallest one with all that counts.
 
 What is no content is left out wherever it stands: by tag (menus, headers, footers, sidebars, forms, scripts, styles)
-and by class, id or role (the same, and adverts, notices and reader comments).
+and by a whole class, id or role (the same, and adverts, notices and reader comments). Never by class, id or role:
+article, main, and a container with most of the page's text, unless one that is marked as content stands outside it. A
+heading (header) and the captions inside an article are its text.
 
 Defined cases: a null or empty page, or one without content, has the empty text and no vote; a null url or one without a
 host belongs to the host "", which has no consensus, so its pages use their own best container; ties of votes go to the
@@ -33,15 +35,21 @@ from .urls import host_of
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe xmp noframes".split())
-SKIPPED = frozenset("head nav header footer aside form button select option svg math canvas object audio video menu dialog figcaption".split()) | RAW
+SKIPPED = frozenset("head nav header footer aside form button select option svg canvas object audio video menu dialog".split()) | RAW
 BLOCKS = frozenset(
-    "address article blockquote body br center dd details div dl dt fieldset figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
-) | (SKIPPED - {"button", "select", "option", "svg", "math", "canvas", "object", "audio", "video"})
+    "address article blockquote body br center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
+) | (SKIPPED - {"button", "select", "option", "svg", "canvas", "object", "audio", "video"})
 CONTAINERS = frozenset("article main section div td body html center".split())
 #: Start tags that close an open element of the named ones.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-#: Words in class, id or role that mark what is no content.
+#: Names in class, id or role that mark what is no content, as a whole or with a usual word before or behind.
 NO_CONTENT = re.compile(
+    r"(?:(?:site|global|main|primary|secondary|top|bottom)[-_])?"
+    r"(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|side-bar|aside|complementary|contentinfo"
+    r"|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|comments?|respond|disqus|replies|reply|share|sharing|social|related|recommended|widget|toolbar|pagination|pager|hidden)"
+    r"(?:[-_]*(?:\d+|lists?|box|bar|block|container|wrapper|area|section|form|links?|buttons?|slot|unit|menu|banner|notice|consent|popup|modal|widget|thread|posts|articles|stories))?"
+)
+CONTENT = re.compile(
     r"(?:^|[^a-z])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|side-bar|aside|complementary|contentinfo"
     r"|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|comments?|respond|disqus|replies|reply|share|sharing|social|related|recommended|widget|toolbar|pagination|pager|hidden)(?:$|[^a-z])"
 )
@@ -53,19 +61,46 @@ KEEPS_MARKED = 0.5
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "marked", "skipped", "chars", "first", "last", "own")
+    __slots__ = ("tag", "path", "parent", "marked", "skipped", "chars", "first", "last", "own", "inside", "hard", "doubt")
 
     def __init__(self, tag: str, marks: str, classes: str, parent: "Node | None", first: int):
         self.tag, self.parent, self.first, self.last, self.chars, self.own = tag, parent, first, -1, 0, 0
         name = tag + "".join("." + re.sub(r"\d+", "#", c) for c in sorted(set(classes.lower().split())))
         self.path = f"{parent.path}/{name}" if parent else name
         self.marked = tag in ("article", "main") or bool(marks and CONTENT.search(marks))
-        self.skipped = bool(parent and parent.skipped) or tag in SKIPPED or (tag not in ("body", "html") and bool(marks and NO_CONTENT.search(marks)))
+        self.inside = bool(parent and (parent.inside or parent.tag in ("article", "main")))
+        self.hard = bool(parent and parent.hard) or tag in SKIPPED and not (tag == "header" and self.inside)
+        self.skipped = self.hard
+        self.doubt = tag not in ("body", "html", "article", "main") and any(NO_CONTENT.fullmatch(m) and not (m == "header" and self.inside) for m in marks.split())
+
+
+def skip(every: list[Node], runs: list[tuple[Node | None, str]]) -> None:
+    """Sets ``skipped``; ``every`` has each element after the one it stands in."""
+    if not any(n.doubt for n in every):
+        return
+    count(runs)
+    total = every[0].chars
+    sure: list[Node] = []  # marked as content, and in nothing doubtful
+    doubtful: set[int] = set()
+    for node in every:
+        if node.doubt or id(node.parent) in doubtful:
+            doubtful.add(id(node))
+        elif node.marked and node.chars:
+            sure.append(node)
+    # what is in a doubtful element is itself in doubt, so an outer ``sure`` one is outside it unless it holds it
+    for node in every:
+        if node.doubt and 2 * node.chars > total:
+            above = {id(up) for up in ancestors(node)}
+            node.doubt = any(id(n) not in above for n in sure)
+        node.skipped = node.skipped or node.doubt or bool(node.parent and node.parent.skipped)
+    for node in every:
+        node.chars = node.own = 0
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[Node | None, str]]]:
     """The containers in page order, and the runs: text with its element, or (None, "") where a block begins or ends."""
     nodes: list[Node] = []
+    every: list[Node] = []
     runs: list[tuple[Node | None, str]] = []
     root = Node("#", "", "", None, 0)
     stack = [root]
@@ -117,9 +152,11 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node | None, str]]]:
         if found[3].endswith("/") and tag not in BLOCKS:
             continue
         stack.append(node)
+        every.append(node)
         if tag in CONTAINERS:
             nodes.append(node)
     pop(0)
+    skip([root, *every], runs)
     return [root, *nodes], runs
 
 

@@ -143,3 +143,15 @@ def test_a_host_does_not_cut_a_page(spark):
     assert all(want in got[5 + i] for i in range(len(others)))
     page = f"<body><article>{rest}<div>inset</div></article>"
     assert html.extract(page, "#/body/article/div") == want + " inset"
+
+
+def test_compound_names_skip_no_article():
+    rest = "<p>words of the article</p>" * 9
+    want = " ".join(["words of the article"] * 9)
+    for name in ("content no-sidebar", "main has-comments", "post with-sidebar", "article-share-open", "widget"):
+        for tag in ("div", "article", "section"):
+            assert html.extract(f"<body><div class='ads'>buy</div><{tag} class='{name}'>{rest}</{tag}><div id='comments'>I say</div></body>", None) == want, name
+    assert html.extract(f"<body><article class='post sidebar'>{rest}</article><div class='comments'>" + "long comment " * 99 + "</div>", None) == want
+    assert html.extract(f"<body><div class='site-footer'>f</div><div class='comment-list'>c</div><div class='cookie-banner'>k</div>{rest}", None) == want
+    page = f"<header>site</header><article><header class='header'><h1>Title</h1></header>{rest}<figure><img><figcaption>caption</figcaption></figure><p>so <math><mi>x</mi></math> is</p></article>"
+    assert html.extract(page, None) == f"Title {want} caption so x is"
