@@ -1,8 +1,11 @@
 """URL filters: rules by host and path, and a naive Bayes verdict on segmented names for the rest.
 
 Names in hosts and paths are often words run together. A unigram model splits each by Viterbi into known words and
-unknown rests, and a multinomial naive Bayes model scores the known words. Both know the words of a small labelled table
-(:data:`LABELLED`); how frequent a word is comes from that table and, in equal parts, from its occurrences in all urls.
+unknown rests, and a multinomial naive Bayes model scores the known words. Classes are learned from a small labelled table
+(:data:`LABELLED`). The words are those of the table and the names that stand by themselves on several hosts of the
+corpus, the most frequent ``VOCABULARY`` of them; how frequent a word is comes in equal parts from the table and from all
+urls. A name that is a word is not split. Short words count only where they are unlikely to be there by chance
+(:meth:`Judge.of_name`), and one word of :data:`CLEAR` is enough to block.
 
 Defined cases: a null url and one without "://" have the host "" and the path ""; no rule fits an empty host, and a name
 without a known word is allowed; equal urls get equal verdicts; a very long url is split name by name, each in time
@@ -43,6 +46,14 @@ LABELLED = {
         math-course/lecture street-map/city race-track/results order-track/status free-time/hobby
     """,
 }
+#: Words of the table that block by themselves, and beside one allowed word too.
+CLEAR = frozenset("casino slots poker jackpot viagra porn xxx escort phishing malware keygen warez".split())
+#: Bounds of what the corpus adds to the vocabulary: words, and UTF-8 bytes of a word.
+VOCABULARY, LONGEST = 100_000, 24
+#: A corpus name that contains a word of the table of this many letters is split and no word itself.
+TELLING = 6
+#: With words of the corpus known, each letter of an unknown name is as likely as this.
+LETTER = 1 / 3
 #: Probability that an unknown name has one letter more, and share of the labelled table in a word's frequency.
 UNKNOWN = 0.4
 TABLE_SHARE = 0.5
@@ -75,18 +86,20 @@ class Words:
 
     def __init__(self, seen: dict[str, int]):
         table = Counter(w for _, words in labelled() for w in words)
+        self.table = frozenset(table)
         every, found = sum(table.values()), sum(seen.values())
         share = 1.0 if not found else TABLE_SHARE
-        self.log = {w: math.log(share * n / every + (1 - share) * seen.get(w, 0) / max(1, found)) for w, n in table.items()}
+        self.log = {w: math.log(share * n / every + (1 - share) * seen.get(w, 0) / max(1, found)) for w in [*table, *(seen.keys() - table.keys())] if (n := table[w]) or seen[w]}
         self.rare = math.log(share / every)
-        self.longest = max(map(len, table))
+        self.longest = max(map(len, self.log))
+        self.step = math.log(UNKNOWN if self.log.keys() == table.keys() else UNKNOWN * LETTER)
 
     def split(self, name: str) -> list[str]:
         """The most probable split; a run of unknown letters is one word and gives none."""
         # best[i][k]: score up to i, where k says whether an unknown word ends there (1) or a known one (0)
         best = [(0.0, float("-inf"))]
         back: list[tuple[tuple[int, int], tuple[int, int]]] = [((0, 0), (0, 0))]
-        step = math.log(UNKNOWN)
+        step = self.step
         for end in range(1, len(name) + 1):
             known, of_known = float("-inf"), (0, 0)
             for start in range(max(0, end - self.longest), end):
@@ -114,29 +127,50 @@ class Judge:
         self.words = Words(seen)
         rows = labelled()
         counts = {label: Counter(w for own, words in rows if own == label for w in words) for label in LABELLED}
-        sums = {label: sum(c.values()) + len(self.words.log) for label, c in counts.items()}
-        self.odds = {w: math.log((counts["block"][w] + 1) / sums["block"]) - math.log((counts["allow"][w] + 1) / sums["allow"]) for w in self.words.log}
+        sums = {label: sum(c.values()) + len(self.words.table) for label, c in counts.items()}
+        self.odds = {w: math.log((counts["block"][w] + 1) / sums["block"]) - math.log((counts["allow"][w] + 1) / sums["allow"]) for w in self.words.table}
         share = {label: sum(own == label for own, _ in rows) for label in LABELLED}
         self.prior = math.log(share["block"] / share["allow"])
+        enough = BLOCKED_FROM + abs(self.prior) - min(self.odds.values())  # beside one allowed word too
+        self.odds |= {w: max(self.odds[w], enough) for w in CLEAR}
         self.known: dict[str, float] = {}
 
     def of_name(self, name: str) -> float:
+        """Log-odds of a name. With words of the corpus known, a word of the table counts inside a longer name if it has
+        five letters, or four and no letter is unknown, or if all other words are of the table too."""
         if name not in self.known:
             if len(self.known) >= 100_000:
                 self.known.clear()
-            self.known[name] = sum(self.odds[w] for w in self.words.split(name))
+            self.known[name] = self._odds_of(name)
         return self.known[name]
 
+    def _odds_of(self, name: str) -> float:
+        words = self.words
+        parts = [name] if name in words.log else words.split(name)
+        known = sum(map(len, parts)) == len(name)
+        least = 1 if len(words.log) == len(words.table) or known and words.table.issuperset(parts) else 4 if known else 5
+        return sum(self.odds.get(w, 0.0) for w in parts if len(w) >= least)
+
     def score(self, host: str, path: str) -> float:
         return self.prior + sum(map(self.of_name, names(host))) + sum(map(self.of_name, names(path)))
 
 
 def occurrences(urls: DataFrame) -> dict[str, int]:
-    """How often each word of the labelled table stands by itself in a host or path: as many rows as the table has words."""
-    known = sorted({w for _, words in labelled() for w in words})
-    name = F.explode(F.split(F.concat_ws("/", "host", "path"), r"[^\p{L}]+")).alias("name")
-    found = urls.select(name).select(F.translate("name", UPPER, LOWER).alias("name")).where(F.col("name").isin(known))
-    return {r["name"]: r["count"] for r in found.groupBy("name").count().collect()}
+    """How often each word stands by itself in a host or path: those of the table, and up to ``VOCABULARY`` of the corpus.
+
+    A word of the corpus stands on two hosts at least, not counting www and m before a host; a host's last label is none.
+    """
+    table = sorted({w for _, words in labelled() for w in words})
+    site = F.regexp_replace("host", r"^(?:www|m)\.", "")
+    text = F.concat_ws("/", F.regexp_replace("host", r"\.[^.]*$", ""), "path")
+    found = urls.select(site.alias("site"), F.explode(F.split(text, r"[^\p{L}]+")).alias("name")).select("site", F.translate("name", UPPER, LOWER).alias("name"))
+    found = found.where(F.col("name").isin(table) | (F.length("name") > 1) & (F.octet_length("name") <= LONGEST))
+    counts = found.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("site").alias("least"), F.max("site").alias("most"))
+    listed = F.col("name").isin(table)
+    telling = F.col("name").rlike("|".join(w for w in table if len(w) >= TELLING))
+    known = counts.where(listed | (F.col("least") != F.col("most")) & ~telling)
+    rows = known.select("name", "n").orderBy(F.desc(listed), F.desc("n"), "name").limit(len(table) + VOCABULARY).collect()
+    return {r["name"]: r["n"] for r in rows}
 
 
 def rule_of(host: Column, path: Column, rules) -> tuple[Column, Column]:

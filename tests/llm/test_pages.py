@@ -155,3 +155,16 @@ def test_compound_names_skip_no_article():
     assert html.extract(f"<body><div class='site-footer'>f</div><div class='comment-list'>c</div><div class='cookie-banner'>k</div>{rest}", None) == want
     page = f"<header>site</header><article><header class='header'><h1>Title</h1></header>{rest}<figure><img><figcaption>caption</figcaption></figure><p>so <math><mi>x</mi></math> is</p></article>"
     assert html.extract(page, None) == f"Title {want} caption so x is"
+
+
+def test_blocked_words_inside_longer_names(spark):
+    plain = ["my", "hub", "hd", "mega", "big", "vip", "paris", "es", "gr", "essex", "river", "stone", "garden"]
+    rows = [f"http://{a}.site.net/{b}/{c}" for a in plain for b in plain for c in plain[:3]]
+    blocked = ["mycasinohub", "bestcasinohub", "hotpornhd", "megapornhub", "bigviagrashop", "vipescortparis", "viagra", "poker", "phishing", "malware", "escort"]
+    allowed = ["riverstone", "essex", "grads", "mail", "online", "gardenhub", "vipparis", "sussexriver", "gmail", "wxyzk"]
+    rows += [f"http://www.{name}.net/" for name in blocked + allowed] + [f"http://m.{name}.net/" for name in blocked]
+    got = {r.host.split(".")[-2]: r for r in urls.verdicts(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")).collect()}
+    assert [n for n in blocked if got[n].verdict != "block"] == []
+    assert [n for n in allowed if got[n].verdict != "allow"] == []
+    seen = urls.occurrences(spark.createDataFrame([("a.net", "/moon/mycasino"), ("b.net", "/moon/x/mycasino"), ("b.net", "/alone/alone/casino")], "host string, path string"))
+    assert seen == {"moon": 2, "casino": 1, "x": 1}
