@@ -4,15 +4,19 @@ A paragraph (a piece between line feeds) is hashed to a wide vector, and a docum
 paragraphs' vectors, each lane modulo 2 ** 32. So the order of paragraphs doesn't matter, and a paragraph is inserted or
 deleted by adding or subtracting its vector (:func:`add`, :func:`remove`), without the rest of the text.
 
-A vector has ``IDENTITY`` lanes with 32 bits hashed from the whole paragraph each, a lane that counts its sentences, and
-64 lanes that count the sentences whose hash has the lane's bit. The identity lanes decide equality. Counts less half of
-the sentences are a random projection of the bag of sentences, so the cosine of two fingerprints estimates how much two
-texts share, whatever their lengths; likeness is that cosine, at least 0, and 1 for equal fingerprints.
+A vector has ``IDENTITY`` lanes with 32 bits hashed from the whole paragraph each, a lane that counts its pieces, and
+64 lanes that count the pieces whose hash has the lane's bit. The identity lanes decide equality. Counts less half of the
+pieces are a random projection of the bag of pieces, so the cosine of two fingerprints estimates how much two texts
+share, whatever their lengths; likeness is that cosine, at least 0, and 1 for equal fingerprints.
+
+A piece is a word or a few: it ends with a sentence or a separator, with a word of ``LONG`` characters, with the second
+of two shorter words, and with every character of a script that is written without spaces. So a text needs no
+punctuation to be like its own edit, and short words, which all texts have, stand in pieces with others.
 
 Counting lanes are kept two to a long (bits k and k + 32), so a vector is an array of ``IDENTITY + 1 + 32`` longs. Only
 column functions are used.
 
-Defined cases: a null text is the empty text, which is one empty paragraph; a fingerprint without a sentence is like
+Defined cases: a null text is the empty text, which is one empty paragraph; a fingerprint without a piece is like
 equal ones only; documents are ordered by doc_id, null last, then by a hash of the text; rows that agree in both are one
 document, so each of them has the same next document; the only document is its own next; an empty table gives no rows.
 """
@@ -28,14 +32,23 @@ from .common import cut, text_of
 IDENTITY = 8
 LANES = 32
 LOW = (1 << 32) - 1
-#: Where a sentence ends inside a paragraph.
-SENTENCE = r"[.!?…。！？]+\s*"
+#: A word of so many characters ends a piece.
+LONG = 4
+_SPACE, _OTHER = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+_TWO_SHORT = [f"(?<={_SPACE}{_OTHER}{{{i}}}{_SPACE}{_OTHER}{{{j}}}{_SPACE})" for i in range(1, LONG) for j in range(1, LONG)]
+#: Where a piece ends inside a paragraph: marks and separators; spaces behind a long word or two short ones; Thai to Lao,
+#: Burmese, Khmer, kana and Chinese characters. Lookbehinds have fixed widths, for which regular expressions agree.
+SENTENCE = (
+    rf"[.!?…。！？।॥؟۔,;:|/、，；：•»]+{_SPACE}*"
+    rf"|{_SPACE}(?:(?<={_OTHER}{{{LONG}}}{_SPACE})|{'|'.join(_TWO_SHORT)})"
+    rf"|(?<=[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF]){_SPACE}*"
+)
 
 
 def vector(text: Column) -> Column:
     """The fingerprint as an array of longs."""
     paragraphs = F.split(text, "\n", -1)
-    sentences = F.transform(F.filter(F.flatten(F.transform(paragraphs, lambda p: F.split(p, SENTENCE))), lambda s: s != ""), lambda s: F.xxhash64(s))
+    pieces = F.transform(F.filter(F.flatten(F.transform(paragraphs, lambda p: F.split(p, SENTENCE))), lambda s: s != ""), lambda s: F.xxhash64(s))
     pair = F.lit((1 << 32) | 1)
     identity = F.aggregate(
         paragraphs,
@@ -43,11 +56,11 @@ def vector(text: Column) -> Column:
         lambda total, p: F.array(*[(total[i] + F.xxhash64(F.lit(i), p).bitwiseAND(F.lit(LOW))).bitwiseAND(F.lit(LOW)) for i in range(IDENTITY)]),
     )
     counts = F.aggregate(
-        sentences,
+        pieces,
         F.array(*[F.lit(0).cast("long")] * LANES),
         lambda total, h: F.array(*[total[i] + F.shiftrightunsigned(h, i).bitwiseAND(pair) for i in range(LANES)]),
     )
-    return F.concat(identity, F.array(F.size(sentences).cast("long")), counts)
+    return F.concat(identity, F.array(F.size(pieces).cast("long")), counts)
 
 
 def _lanes(x: Column, y: Column, sign: int) -> Column:

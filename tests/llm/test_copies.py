@@ -168,3 +168,27 @@ def test_edited_texts_are_nearer_than_the_next(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars > 300")
     near, other = multiset.edits(docs).agg(F.avg("near_edited"), F.avg("near_next")).first()
     assert near > 0.5 > 0.2 > other
+
+
+def test_each_edited_text_is_nearer_than_the_next(spark):
+    import random
+
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghijklmnoprstuvz", k=rng.randint(2, 9))) for _ in range(4000)]
+    hindi = ["".join(chr(rng.randint(0x0915, 0x0939)) for _ in range(rng.randint(2, 6))) for _ in range(2000)]
+    texts = []
+    for _ in range(6):
+        texts.append(" ".join(rng.choices(words, k=400)))
+        texts.append("|".join(rng.choices(words, k=400)))
+        texts.append(", ".join(rng.choices(words, k=400)))
+        texts.append(" ".join(str(rng.randint(0, 999)) for _ in range(400)))
+        texts.append(" ".join(w + "।" * (i % 9 == 8) for i, w in enumerate(rng.choices(hindi, k=400))))
+        texts.append("".join(chr(rng.randint(0x4E00, 0x9FA0)) for _ in range(800)))
+    texts = [t for kind in range(6) for t in texts[kind::6]]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in multiset.edits(made).where("doc_id % 6 <> 5").collect():  # the next is of the same kind
+        assert r.near_edited > 0.5 and r.near_edited > r.near_next, texts[r.doc_id][:60]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars > 300")
+    found = multiset.edits(docs)
+    wrong = [(r.doc_id, r.n_chars) for r in found.where("near_edited <= near_next").collect()]
+    assert len(wrong) <= 0.004 * docs.count(), wrong
