@@ -261,10 +261,10 @@ class Field:
         order = sorted((i for i in range(len(lines)) if lines[i]), key=lambda i: len(lines[i]))
         at = 0
         while at < len(order):
-            rows, words = [], 0
-            while at < len(order) and (not rows or words + len(lines[order[at]]) <= BLOCK):
+            # shorter lines are padded to the longest of the block, which is the last
+            rows: list[int] = []
+            while at < len(order) and (not rows or (len(rows) + 1) * len(lines[order[at]]) <= BLOCK):
                 rows.append(order[at])
-                words += len(lines[order[at]])
                 at += 1
             most = len(lines[rows[-1]])
             scores, there = np.zeros((len(rows), most, len(self.moves))), np.zeros((len(rows), most), bool)

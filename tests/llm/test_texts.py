@@ -172,6 +172,20 @@ def test_viterbi_against_all_labellings():
         assert tuple(field.decode([words])[0]) == best
 
 
+def test_one_long_line_pads_no_others():
+    import tracemalloc
+
+    field = pii.trained()
+    lines_ = [["7"]] * 3000 + [["a", "12"] * 2500]
+    tracemalloc.start()
+    got = field.decode(lines_)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100_000_000
+    alone = [field.decode([x])[0] for x in (lines_[0], lines_[-1])]
+    assert np.array_equal(got[0], alone[0]) and np.array_equal(got[-1], alone[1]) and [len(x) for x in got] == [len(x) for x in lines_]
+
+
 def test_span_digest_and_redaction(clashing, none):
     rows = {r.doc_id: r for r in pii.found_spans(clashing).collect()}
     assert (rows[9].n_email, rows[9].n_ip, rows[9].n_card, rows[9].n_phone) == (1, 1, 1, 1)
