@@ -41,15 +41,14 @@ TIMES = 10
 #: The levels of the trie. Letters not named (accents) are dealt to them by code point.
 LEVELS = ("e", "a", "i", "n", "r", "t", "o", "s", "l", "u", "d", "c", "m", "h", "gp", "bf", "kv", "wy", "xz", "jq")
 #: Most words in a node of the upper trie, while it can be made deeper.
-NODE = 4000
+NODE = 50_000
 #: The upper levels to begin with.
-DEPTH = 4
+DEPTH = 1
 #: Rows of a shard of the search (words that lie and words that ask).
-SHARD = 100_000
-#: Pairs compared at a time.
+SHARD = 150_000
+#: Words that ask at a time, and pairs compared at a time.
+ASKING = 1 << 14
 PAIRS = 1 << 17
-#: A node where this many pairs are left is not searched deeper.
-SMALL = 2048
 #: Words up to this long are compared in one matrix, longer ones one by one.
 WIDTH = 48
 
@@ -147,21 +146,40 @@ def spread(depth: int):
     return run
 
 
-def near(words: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which of the pairs of different words are one edit apart."""
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    out = np.zeros(len(a), bool)
-    short = (size[a] <= WIDTH) & (size[b] <= WIDTH)
-    wide = min(int(size[size <= WIDTH].max(initial=1)), WIDTH)
-    left, right = (np.frombuffer(b"".join(pad(w[:wide], wide, b"\0") for w in words), np.uint8).reshape(-1, wide) for pad in (bytes.ljust, bytes.rjust))
-    x, y = a[short], b[short]
-    before = np.logical_and.accumulate(left[x] == left[y], axis=1).sum(1)
-    after = np.logical_and.accumulate((right[x] == right[y])[:, ::-1], axis=1).sum(1)
-    longer, gap = np.maximum(size[x], size[y]), np.abs(size[x] - size[y])
-    out[short] = (gap <= 1) & (before + after >= longer - 1)
-    for i in np.flatnonzero(~short):
-        out[i] = one_edit(words[a[i]], words[b[i]])
-    return out
+class Words:
+    """Words as rows of letters, aligned at their starts and at their ends, to compare many pairs at once."""
+
+    def __init__(self, words: list[bytes]):
+        self.words = words
+        self.size = np.fromiter(map(len, words), np.int64, len(words))
+        self.wide = int(self.size[self.size <= WIDTH].max(initial=1))
+        letters = np.frombuffer(b"".join(words), np.uint8)
+        row = np.repeat(np.arange(len(words)), self.size)
+        column = np.arange(len(letters)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        self.left, self.right = np.zeros((2, len(words), self.wide), np.uint8)
+        fits = self.size[row] <= self.wide
+        row, column, letters = row[fits], column[fits], letters[fits]
+        self.left[row, column] = letters
+        self.right[row, self.size[row] - column - 1] = letters  # from the last letter on
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of the pairs of different words are one edit apart."""
+        out = np.abs(self.size[a] - self.size[b]) <= 1
+        out &= (self.left[a, 0] == self.left[b, 0]) | (self.right[a, 0] == self.right[b, 0])  # one end stays
+        rows = np.flatnonzero(out)
+        short = np.maximum(self.size[a[rows]], self.size[b[rows]]) <= self.wide
+        for i in rows[~short]:
+            out[i] = one_edit(self.words[a[i]], self.words[b[i]])
+        rows = rows[short]
+        x, y = a[rows], b[rows]
+        same = (common(m[x], m[y]) for m in (self.left, self.right))
+        out[rows] = sum(same) >= np.maximum(self.size[x], self.size[y]) - 1
+        return out
+
+
+def common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many letters two rows have in common before the first that differs."""
+    return (x != y).argmax(1)
 
 
 def one_edit(a: bytes, b: bytes) -> bool:
@@ -173,64 +191,97 @@ def one_edit(a: bytes, b: bytes) -> bool:
     return a[at + (len(a) == len(b)) :] == b[at + 1 :]
 
 
-def search(words: list[bytes], path: np.ndarray, lie: np.ndarray, ask: np.ndarray, level: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Near pairs between the words that ``lie`` in one node and those that ``ask`` there, given as positions in ``words``.
-
-    Levels before ``level`` are the node's own; what they take from the budget of the words that ask is taken first.
-    """
-    if not len(lie) or not len(ask):
+class Children:
+    """The child of a node for a count: looked up in a table, or by binary search where a table would be mostly empty."""
+
+    def __init__(self, node: np.ndarray, count: np.ndarray):
+        self.base, self.keys, self.table = int(count.max(initial=0)) + 1, None, None
+        keys = node.astype(np.int64) * self.base + count
+        cells = (int(node.max(initial=0)) + 1) * self.base
+        if cells <= 64 * len(keys):
+            self.table = np.full(cells, -1, np.int32)
+            self.table[keys] = np.arange(len(keys))
+        else:
+            self.keys = keys
+
+    def of(self, node: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """The children, -1 where there is none."""
+        good = (count >= 0) & (count < self.base)
+        wanted = np.where(good, node.astype(np.int64) * self.base + count, 0)
+        if self.table is not None:
+            return np.where(good, self.table[wanted], -1)
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(good & (self.keys[at] == wanted), at, -1)
+
+
+class Trie:
+    """Paths (rows of counts) from level ``depth`` on. ``roots`` names the node that each path has at that level."""
+
+    def __init__(self, path: np.ndarray, roots: np.ndarray, depth: int):
+        self.order = np.lexsort((*path[:, : depth - path.shape[1] - 1 : -1].T, roots)) if depth < path.shape[1] else np.argsort(roots, kind="stable")
+        path, roots = path[self.order], roots[self.order]
+        new = np.r_[True, roots[1:] != roots[:-1]]
+        self.first = roots[new]  # the trie's roots, in order
+        node = np.cumsum(new) - 1
+        self.children = []
+        for level in range(depth, path.shape[1]):
+            new[1:] |= path[1:, level] != path[:-1, level]
+            self.children.append(Children(node[new], path[new, level]))
+            node = np.cumsum(new) - 1
+        starts = np.flatnonzero(new)
+        self.starts, self.sizes = starts, np.diff(np.r_[starts, len(path)])
+
+    def reach(self, path: np.ndarray, who: np.ndarray, root: np.ndarray, surplus: np.ndarray, deficit: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a word that asks (a row of ``path``) and a word in a leaf within its budget, as positions."""
+        at = np.minimum(np.searchsorted(self.first, root), len(self.first) - 1)
+        here = self.first[at] == root
+        who, node, surplus, deficit = who[here], at[here], surplus[here], deficit[here]
+        for level, children in enumerate(self.children, level):
+            count, parts = path[who, level], []
+            for gap, may in ((0, None), (1, surplus > 0), (-1, deficit > 0)):
+                rows = np.arange(len(who)) if may is None else np.flatnonzero(may)
+                child = children.of(node[rows], count[rows] - gap)
+                rows, child = rows[child >= 0], child[child >= 0]
+                parts.append((who[rows], child, surplus[rows] - (gap > 0), deficit[rows] - (gap < 0)))
+            who, node, surplus, deficit = (np.concatenate(p) for p in zip(*parts))
+        sizes = self.sizes[node]
+        within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return np.repeat(who, sizes), self.order[np.repeat(self.starts[node], sizes) + within]
+
+
+def search(words: list[bytes], nodes: list[bytes], asks: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Near pairs, each once, between the words that lie in a node and those that ask there, as positions in ``words``."""
+    path = counts(words).astype(np.int32)
+    lie = np.flatnonzero(~asks)
+    if not len(lie):
         return
-    gap = path[ask, :level] - path[lie[0], :level]
-    stack = [(lie, ask, 1 - np.maximum(gap, 0).sum(1), 1 - np.maximum(-gap, 0).sum(1), level)]
-    while stack:
-        lie, ask, surplus, deficit, level = stack.pop()
-        if level == path.shape[1] or len(lie) * len(ask) <= SMALL:
-            for at in range(0, len(ask), max(1, PAIRS // len(lie))):
-                some = slice(at, at + max(1, PAIRS // len(lie)))
-                gap = path[ask[some], None, level:] - path[None, lie, level:]
-                fit = (np.maximum(gap, 0).sum(2) <= surplus[some, None]) & (np.maximum(-gap, 0).sum(2) <= deficit[some, None])
-                i, j = np.nonzero(fit)
-                a, b = ask[some][i], lie[j]
-                other = a != b
-                a, b = a[other], b[other]
-                good = near(words, a, b) if len(a) else np.zeros(0, bool)
-                yield a[good], b[good]
-            continue
-        here = path[lie, level]
-        for count in np.unique(here):
-            gap = path[ask, level] - count
-            s, d = surplus - np.maximum(gap, 0), deficit - np.maximum(-gap, 0)
-            go = (s >= 0) & (d >= 0)
-            if go.any():
-                stack.append((lie[here == count], ask[go], s[go], d[go], level + 1))
+    number = {n: i for i, n in enumerate(dict.fromkeys(nodes))}
+    root = np.fromiter((number[n] for n in nodes), np.int64, len(nodes))
+    trie = Trie(path[lie], root[lie], depth)
+    letters = Words(words)
+    there = np.frombuffer(b"".join(number), ">u2").reshape(len(number), depth).astype(np.int64)
+    for at in range(0, len(words), ASKING):
+        who = np.arange(at, min(at + ASKING, len(words)))
+        gap = path[who, :depth] - there[root[who]]
+        a, b = trie.reach(path, who, root[who], 1 - np.maximum(gap, 0).sum(1), 1 - np.maximum(-gap, 0).sum(1), depth)
+        b = lie[b]
+        once = asks[a] | (a < b)
+        a, b = a[once], b[once]
+        for some in range(0, len(a), PAIRS):
+            x, y = a[some : some + PAIRS], b[some : some + PAIRS]
+            good = letters.near(x, y)
+            yield x[good], y[good]
 
 
 def pairs_of(depth: int):
     """All near pairs of a shard's nodes, in both directions."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        text = table.column("word").to_pylist()
-        n, asks = table.column("n").to_numpy(), table.column("asks").to_numpy(zero_copy_only=False)
-        nodes = np.array(table.column("node").to_pylist(), object)
-        order = np.argsort(nodes, kind="stable")
-        sorted_nodes = nodes[order]
-        starts = np.flatnonzero(np.r_[True, sorted_nodes[1:] != sorted_nodes[:-1]])
-        left, right = [], []
-        for rows in np.split(order, starts[1:]):
-            words = [text[i].encode("latin-1") for i in rows]
-            path = counts(words).astype(np.int64)
-            asking = asks[rows]
-            lie, ask = np.flatnonzero(~asking), np.flatnonzero(asking)
-            for who, own in ((lie, True), (ask, False)):
-                for a, b in search(words, path, lie, who, depth):
-                    once = a < b if own else slice(None)
-                    left.append(rows[a[once]])
-                    right.append(rows[b[once]])
-        a = np.concatenate(left) if left else np.zeros(0, np.int64)
-        b = np.concatenate(right) if right else a
+        names, n = table.column("word"), table.column("n").to_numpy()
+        words = [w.encode("latin-1") for w in names.to_pylist()]
+        found = list(search(words, table.column("node").to_pylist(), table.column("asks").to_numpy(), depth))
+        a, b = (np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in (0, 1))
         one, two = np.concatenate([a, b]), np.concatenate([b, a])
-        names = table.column("word")
         return pa.table({"word": names.take(pa.array(one)), "other": names.take(pa.array(two)), "other_n": pa.array(n[two], pa.int64())})
 
     return run

@@ -101,7 +101,7 @@ def test_one_edit():
     a, b = (x.ravel() for x in np.meshgrid(range(len(words)), range(len(words))))
     other = np.array([words[i] != words[j] for i, j in zip(a, b)])
     a, b = a[other], b[other]
-    assert spelling.near(words, a, b).tolist() == [one_apart(words[i], words[j]) for i, j in zip(a, b)]
+    assert spelling.Words(words).near(a, b).tolist() == [one_apart(words[i], words[j]) for i, j in zip(a, b)]
 
 
 def test_words_that_share_a_path_count(spark):
