@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, conversations, html, langid, lines, mixing, multiset, pii, sharding, simhash, spelling, urls
+from . import bpe, conversations, html, langid, lines, mixing, multiset, pii, repeats, sharding, simhash, spelling, urls
 from .common import read
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_line_rules": lambda spark, d: lines.verdicts(read(spark, d, "documents")),
     "op9_simhash_groups": lambda spark, d: simhash.groups_of(read(spark, d, "documents")),
     "op10_multiset_fingerprints": lambda spark, d: multiset.edits(read(spark, d, "documents")),
+    "op11_suffix_array_dedup": lambda spark, d: repeats.digests(read(spark, d, "documents")),
     "op12_block_table_repair": lambda spark, d: conversations.repaired(read(spark, d, "conversations")),
     "op13_spelling_variants": lambda spark, d: spelling.variants(read(spark, d, "documents")),
 }
