@@ -27,10 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, text_of
+from .common import cut, let, text_of
 
 IDENTITY = 8
 LANES = 32
+#: Hashes that a counter of one byte holds, its sign left free.
+BYTES = 127
 LOW = (1 << 32) - 1
 #: A word of so many characters ends a piece.
 LONG = 4
@@ -49,18 +51,34 @@ def vector(text: Column) -> Column:
     """The fingerprint as an array of longs."""
     paragraphs = F.split(text, "\n", -1)
     pieces = F.transform(F.filter(F.flatten(F.transform(paragraphs, lambda p: F.split(p, SENTENCE))), lambda s: s != ""), lambda s: F.xxhash64(s))
-    pair = F.lit((1 << 32) | 1)
     identity = F.aggregate(
         paragraphs,
         F.array(*[F.lit(0).cast("long")] * IDENTITY),
         lambda total, p: F.array(*[(total[i] + F.xxhash64(F.lit(i), p).bitwiseAND(F.lit(LOW))).bitwiseAND(F.lit(LOW)) for i in range(IDENTITY)]),
     )
-    counts = F.aggregate(
-        pieces,
+    return let(pieces, lambda hashes: F.concat(identity, F.array(F.size(hashes).cast("long")), bit_counts(hashes)))
+
+
+def bit_counts(hashes: Column) -> Column:
+    """How many hashes have each bit, bits k and k + 32 in one long.
+
+    Hashes are added ``BYTES`` at a time to eight longs of eight counters of one byte, which hold so many without a carry.
+    """
+    bytes_ = F.lit(0x0101010101010101)
+    pair = F.lit(0xFF | 0xFF << 32)
+
+    def added(at: int, some: Column) -> Column:
+        return F.aggregate(some, F.lit(0).cast("long"), lambda total, h: total + F.shiftrightunsigned(h, at).bitwiseAND(bytes_))
+
+    blocks = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(hashes), F.lit(1)), F.lit(BYTES)),
+        lambda at: let(F.slice(hashes, at, BYTES), lambda some: F.array(*[added(i, some) for i in range(8)])),
+    )
+    return F.aggregate(
+        blocks,
         F.array(*[F.lit(0).cast("long")] * LANES),
-        lambda total, h: F.array(*[total[i] + F.shiftrightunsigned(h, i).bitwiseAND(pair) for i in range(LANES)]),
+        lambda total, block: F.array(*[total[k] + F.shiftrightunsigned(block[k % 8], 8 * (k // 8)).bitwiseAND(pair) for k in range(LANES)]),
     )
-    return F.concat(identity, F.array(F.size(pieces).cast("long")), counts)
 
 
 def _lanes(x: Column, y: Column, sign: int) -> Column:
@@ -91,17 +109,24 @@ def text_form(vec: Column) -> Column:
 
 
 def likeness(x: Column, y: Column) -> Column:
-    n, m = F.element_at(x, IDENTITY + 1).cast("double"), F.element_at(y, IDENTITY + 1).cast("double")
+    """The cosine of the centred counts. Both fingerprints are bound, so that a pushed-down filter works them out once."""
+
+    def lanes(v: Column) -> Column:
+        n, rest = F.element_at(v, IDENTITY + 1).cast("double"), F.slice(v, IDENTITY + 2, LANES)
+        centred = lambda c: 2 * c.cast("double") - n
+        return F.concat(F.transform(rest, lambda c: centred(c.bitwiseAND(F.lit(LOW)))), F.transform(rest, lambda c: centred(F.shiftrightunsigned(c, 32))))
+
+    def dot(a: Column, b: Column) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda total, v: total + v)
 
-    def lanes(v):
-        rest = F.slice(v, IDENTITY + 2, LANES)
-        return F.concat(F.transform(rest, lambda c: c.bitwiseAND(F.lit(LOW)).cast("double")), F.transform(rest, lambda c: F.shiftrightunsigned(c, 32).cast("double")))
+    def compared(v: Column) -> Column:
+        size = F.sqrt(dot(v["a"], v["a"])) * F.sqrt(dot(v["b"], v["b"]))
+        return F.when(size == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(v["a"], v["b"]) / size)))
 
-    def dot(a, b, s, t):
-        return F.aggregate(F.zip_with(a, b, lambda p, q: (2 * p - s) * (2 * q - t)), F.lit(0.0), lambda total, v: total + v)
+    def judged(v: Column) -> Column:
+        return F.when(v["x"] == v["y"], 1.0).otherwise(let(F.struct(lanes(v["x"]).alias("a"), lanes(v["y"]).alias("b")), compared))
 
-    size = F.sqrt(dot(lanes(x), lanes(x), n, n)) * F.sqrt(dot(lanes(y), lanes(y), m, m))
-    return F.when(x == y, 1.0).when(size == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(lanes(x), lanes(y), n, m) / size)))
+    return let(F.struct(x.alias("x"), y.alias("y")), judged)
 
 
 def following(ids: DataFrame) -> DataFrame:
