@@ -227,6 +227,10 @@ class Decoder:
         return "�" if state[0] else ""
 
 
+#: Ids of a batch of results, in bytes: about so much is held at a time, whatever the batch of texts.
+OUTPUT_BYTES = 1 << 21
+
+
 class Coder(dict):
     """Encodes and decodes texts; as a dict it remembers the ids of parts."""
 
@@ -284,13 +288,22 @@ def round_trips(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path, pattern)
         for batch in batches:
-            found = [own.round_trip(t.as_py(), ids) for t in batch.column(1)]
-            n, a, b, raw = zip(*found) if found else ((), (), (), ())
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
-            if ids:
-                ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)]).astype(np.int32)
-                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int32))))
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            at, size, found = 0, 0, []
+            for i, value in enumerate(batch.column(1)):
+                found.append(own.round_trip(value.as_py(), ids))
+                size += 4 * found[-1][0] if ids else 0
+                if size >= OUTPUT_BYTES or i + 1 == batch.num_rows:
+                    yield told(batch.column(0).slice(at, len(found)), found)
+                    at, size, found = i + 1, 0, []
+        pa.default_memory_pool().release_unused()
+
+    def told(keys: pa.Array, found: list) -> pa.RecordBatch:
+        n, a, b, raw = zip(*found)
+        columns = [keys, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+        if ids:
+            ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)]).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), "<i4"))))
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.select(key, text).mapInArrow(run, schema)
 
