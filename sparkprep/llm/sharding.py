@@ -9,7 +9,8 @@ With ``load`` 1 (the query's value) the capacities are the two whole numbers aro
 rows, so counts are at most one apart: the law ``rows``. A larger ``load`` leaves shards room and moves fewer rows.
 
 Defined cases: a null text counts no bytes and has the CRC of the empty text; a null key is a key like any other; equal
-rows are ranked among themselves in any order and are interchangeable; an empty table gives no rows.
+rows are ranked among themselves in any order and are interchangeable; a very long text counts by its size only; columns
+beside doc_id and text are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ def cell_of(*cols) -> F.Column:
 def ring(spark: SparkSession, shards: int, nodes: int) -> list[int]:
     """The shards met clockwise, as the owner of each virtual node with its cell: (cell, shard), in ring order."""
     node = spark.range(shards * nodes).select((F.col("id") / nodes).cast("int").alias("shard"), cell_of(F.lit("node"), "id").alias("cell"))
-    return [(r.cell, r.shard) for r in sorted(node.collect())]  # shards * nodes rows
+    return sorted((r.cell, r.shard) for r in node.collect())  # shards * nodes rows
 
 
 def capacities(rows: int, shards: int, load: float) -> list[int]:
@@ -75,18 +76,19 @@ def allot(counts: dict[tuple[int, int], int], nodes: list[tuple[int, int]], room
 def shard(rows: DataFrame, keys: list[str], shards: int = SHARDS, nodes: int = NODES, load: float = 1.0) -> DataFrame:
     """``rows`` with ``shard`` and ``slot`` (gapless from 0 in each shard). ``rows`` should be narrow: it is written once.
 
-    A cell's rows are ranked in ``SALTS`` parts, by where they were read, so that a hot key is split.
+    A cell's rows are ranked in ``SALTS`` parts, by a hash of all their columns, so that a hot key is split unless its
+    rows are equal in every column, and no row's place depends on where it was read.
     """
     spark = rows.sparkSession
     names = rows.columns
     kept = cut(
         rows.withColumn("__cell", cell_of(F.lit("key"), *[F.coalesce(F.col(k).cast("string"), F.lit("\\N")) for k in keys]))
-        .withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+        .withColumn("__salt", F.pmod(F.xxhash64(F.lit("salt"), *names), F.lit(SALTS)).cast("int"))
     )
     counts = {(r["__cell"], r["__salt"]): r["count"] for r in kept.groupBy("__cell", "__salt").count().collect()}  # at most CELLS * SALTS
     runs = allot(counts, ring(spark, shards, nodes), capacities(sum(counts.values()), shards, load))
     table = spark.createDataFrame(runs, "c int, s int, lo long, hi long, shard int, at long")
-    place = Window.partitionBy("__cell", "__salt").orderBy(*[F.col(k) for k in keys])
+    place = Window.partitionBy("__cell", "__salt").orderBy(*keys, *[n for n in names if n not in keys])
     ranked = kept.withColumn("__rank", F.row_number().over(place) - 1)
     # a run for each cell and salt and a few more at the cuts: bounded as counts is
     at = (F.col("__cell") == F.col("c")) & (F.col("__salt") == F.col("s")) & F.col("__rank").between(F.col("lo"), F.col("hi") - 1)

@@ -123,6 +123,27 @@ def test_a_shard_more_moves_few_rows_where_loads_leave_room(spark):
     assert sum(a[k] != b[k] for k in a) < 0.2 * len(a)
 
 
+def test_the_ring_is_in_order_of_cells_and_every_shard_is_a_home(spark):
+    nodes = sharding.ring(spark, sharding.SHARDS, sharding.NODES)
+    cells = [c for c, _ in nodes]
+    assert cells == sorted(cells) and Counter(s for _, s in nodes) == dict.fromkeys(range(sharding.SHARDS), sharding.NODES)
+    homes = {next((s for c, s in nodes if c >= cell), nodes[0][1]) for cell in range(sharding.CELLS)}
+    assert homes == set(range(sharding.SHARDS))
+
+
+def test_a_new_shard_takes_most_of_what_moves(spark):
+    rows = spark.range(10_000).withColumnRenamed("id", "doc_id")
+    a, b = ({r.doc_id: r["shard"] for r in sharding.shard(rows, ["doc_id"], shards=n, load=1.25).collect()} for n in (24, 25))
+    assert set(a.values()) == set(range(24))
+    moved = [k for k in a if a[k] != b[k]]
+    assert len(moved) < 0.06 * len(a) and sum(b[k] == 24 for k in moved) >= 0.8 * len(moved)
+
+
+def test_the_shard_does_not_depend_on_where_a_row_was_read(small):
+    a, b = ({(r.doc_id, r.text_crc32): (r["shard"], r.slot) for r in sharding.shards(d).collect()} for d in (small, small.repartition(7, "text")))
+    assert a == b
+
+
 def test_one_key_with_a_third_of_the_rows(spark):
     rows = spark.range(3000).selectExpr("if(id % 3 = 0, 7, id) AS doc_id")
     got = Counter(r["shard"] for r in sharding.shard(rows, ["doc_id"]).collect())
