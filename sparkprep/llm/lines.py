@@ -4,7 +4,9 @@ Every line is judged by itself on its punctuation, as navigation and as boilerpl
 that loses too much of its text that way is rejected. Only column functions are used.
 
 Defined cases: a null or empty text has no words and fails; a line without a word is neutral: it neither stays in the
-clean text nor counts as lost; equal documents get equal results; an empty table gives no rows.
+clean text nor counts as lost; white space at the end of a line (of CRLF too) says nothing of how it ends; equal documents
+get equal results; very long texts are read whole; other columns are kept by ``clean`` and ignored by the query; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,7 +17,8 @@ from pyspark.sql import functions as F
 from .common import WORD, let, text_of
 
 #: The rules of a line.
-END = tuple(".!?:;…\"”»')]。！？")
+END = tuple(".!?:;…\"”»')]。！？।॥؟۔؛։")
+SPACE = " \t\n\x0b\x0c\r\u00a0"
 SYMBOLS = r"[^#*$%&|<>{}~^=_\\]+"
 SEPARATOR = r"[^|»>•]+"
 NAVIGATION = r"^\W*(home|menu|next|previous|prev|back|top|login|log in|sign in|sign up|register|search|share|contact|contact us|about|about us|help|faq|sitemap|read more|more|subscribe|skip to content)\W*$"
@@ -58,7 +61,7 @@ def fails(line: Column) -> Column:
         breaks = F.length(F.regexp_replace(line, SEPARATOR, ""))
         symbols = F.length(F.regexp_replace(line, SYMBOLS, ""))
         navigation = (breaks >= 2) & (breaks > F.lit(SEPARATORS) * gaps) | (F.length(line) <= NAVIGATION_CHARS) & low.rlike(NAVIGATION)
-        punctuation = (symbols > F.lit(SYMBOL_SHARE) * chars) | (gaps >= OPEN_WORDS) & ~F.right(F.rtrim(line), F.lit(1)).isin(*END)
+        punctuation = (symbols > F.lit(SYMBOL_SHARE) * chars) | (gaps >= OPEN_WORDS) & ~F.right(F.rtrim(line, F.lit(SPACE)), F.lit(1)).isin(*END)
         boilerplate = low.contains(BOILERPLATE[0])
         for phrase in BOILERPLATE[1:]:
             boilerplate = boilerplate | low.contains(phrase)

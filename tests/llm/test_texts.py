@@ -30,7 +30,7 @@ def brute_fails(line):
     breaks, symbols = sum(c in "|»>•" for c in line), sum(c in "#*$%&|<>{}~^=_\\" for c in line)
     if breaks >= 2 and breaks > lines.SEPARATORS * gaps or len(line) <= lines.NAVIGATION_CHARS and re.search(lines.NAVIGATION, low):
         return True
-    return symbols > lines.SYMBOL_SHARE * chars or gaps >= lines.OPEN_WORDS and line.rstrip(" ")[-1] not in lines.END or any(p in low for p in lines.BOILERPLATE)
+    return symbols > lines.SYMBOL_SHARE * chars or gaps >= lines.OPEN_WORDS and line.rstrip(lines.SPACE)[-1:] not in lines.END or any(p in low for p in lines.BOILERPLATE)
 
 
 def test_line_rules_against_brute_force(documents, clashing, small, none):
@@ -256,3 +256,13 @@ def test_token_digest(clashing, none):
     assert len(rows) == clashing.count()
     assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in rows)
     assert bpe.encoded(none).count() == 0
+
+
+def test_line_ends_of_other_systems_and_scripts(spark):
+    words = "this line has more than thirty words and ends as it should so that no rule of any line takes it from its text whatever white space may follow the last mark of it here now"
+    hindi = "यह एक लंबी पंक्ति है " * 9
+    texts = [f"{words}.\n{words[::-1]}.", f"{words}.\r\n{words[::-1]}.\r\n", f"{words}.\t\n{words[::-1]}.\u00a0", f"{hindi.strip()} नई।", f"{words}؟"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.lost for r in lines.verdicts(docs).orderBy("doc_id").collect()] == [0.0] * 5
+    kept = {r.doc_id: r.kept for r in lines.verdicts(docs.where("doc_id < 3")).collect()}
+    assert len(set(kept.values())) == 1
