@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: A number as text. Spark's casts also read Java's forms "1D" and "2f", which are text here.
+NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?\s*$|^\s*[+-]?(inf|infinity|nan)\s*$"
+
+
 def qcol(name: str) -> Column:
     """Column by exact name (spaces, dots and hyphens allowed)."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -68,3 +72,22 @@ def numeric_columns(df: DataFrame, exclude: Iterable[str] = ()) -> list[str]:
 def text_columns(df: DataFrame, exclude: Iterable[str] = ()) -> list[str]:
     ex = set(exclude)
     return [f.name for f in df.schema.fields if f.name not in ex and is_text(f.dataType)]
+
+
+def to_double(text: Column) -> Column:
+    """A text as a double, null where it is no number."""
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+
+
+def canonical(value: Column, dt: T.DataType) -> Column:
+    """A key that can be grouped and is equal for equal values of any type: NaN is missing, a map's entries are sorted."""
+    if is_float(dt):
+        return F.when(~F.isnan(value), value)
+    if isinstance(dt, T.ArrayType):
+        return F.transform(value, lambda v: canonical(v, dt.elementType))
+    if isinstance(dt, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[canonical(value[f.name], f.dataType).alias(f"f{i}") for i, f in enumerate(dt.fields)]))
+    if isinstance(dt, T.MapType):
+        entries = F.transform(F.map_entries(value), lambda e: F.struct(canonical(e["key"], dt.keyType).alias("k"), canonical(e["value"], dt.valueType).alias("v")))
+        return F.array_sort(entries)
+    return value

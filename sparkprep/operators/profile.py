@@ -23,6 +23,7 @@ from collections.abc import Iterable, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -826,50 +827,98 @@ def compare(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 # -------------------------------------------------------------- correlation
+#: Co-moments of a pair (x, y) over the rows that have both: count, means, centred sums of squares and of products.
+MOMENTS = ("n", "mx", "my", "sxx", "syy", "sxy")
+#: Parts in which the tasks' co-moments of one column are merged before they meet.
+MOMENT_PARTS = 64
+
+
+def _merge_moments(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The co-moments of both sets of rows, by the pairwise formula. Equal means add exactly nothing."""
+    n = a["n"] + b["n"]
+    share = np.divide(b["n"], n, out=np.zeros_like(n), where=n > 0)
+    dx, dy, weight = b["mx"] - a["mx"], b["my"] - a["my"], a["n"] * share
+    first = a["n"] == 0  # nothing to move from
+    return {
+        "n": n,
+        "mx": np.where(first, b["mx"], a["mx"] + dx * share),
+        "my": np.where(first, b["my"], a["my"] + dy * share),
+        "sxx": a["sxx"] + b["sxx"] + dx * dx * weight,
+        "syy": a["syy"] + b["syy"] + dy * dy * weight,
+        "sxy": a["sxy"] + b["sxy"] + dx * dy * weight,
+    }
+
+
+def _batch_moments(values: np.ndarray) -> dict[str, np.ndarray]:
+    """Co-moments of all pairs of columns over one batch: rows with the same columns missing are centred together."""
+    p = values.shape[1]
+    total = {m: np.zeros((p, p)) for m in MOMENTS}
+    seen = ~np.isnan(values)
+    patterns, of = np.unique(np.packbits(seen, axis=1), axis=0, return_inverse=True)
+    order = np.argsort(of.ravel(), kind="stable")
+    for rows in np.split(order, np.cumsum(np.bincount(of.ravel(), minlength=len(patterns)))[:-1]):
+        here = seen[rows[0]] if len(rows) else np.zeros(p, bool)
+        if not here.any():
+            continue
+        x = values[np.ix_(rows, here)]
+        middle = x[0] + (x - x[0]).mean(0)
+        x = x - middle
+        left = x.mean(0)  # what rounding left of the mean; exactly 0 in a constant column
+        products = x.T @ x - len(rows) * np.outer(left, left)
+        mean, squares = middle + left, np.diag(products)
+        own = {m: np.zeros((p, p)) for m in MOMENTS}
+        both = np.ix_(here, here)
+        own["n"][both] = len(rows)
+        own["mx"][both], own["my"][both] = mean[:, None], mean[None, :]
+        own["sxx"][both], own["syy"][both] = squares[:, None], squares[None, :]
+        own["sxy"][both] = products
+        total = _merge_moments(total, own)
+    return total
+
+
 def corr_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pairwise-complete Pearson correlation of every pair ``i < j`` as
     ``(col_a, col_b, corr)``; null where undefined.
 
-    One scan: every task multiplies its Arrow batches with numpy into four
-    matrices (pair counts, sums, sums of squares, cross products) and gives
-    one row for each pair, so what is shuffled does not grow with the rows.
-    Values are taken from their column's minimum, which keeps a constant
-    column exactly zero."""
+    One scan: every task merges the centred co-moments of its Arrow batches
+    and gives one row of arrays for each column; these rows are merged in
+    parts, then for each column, so neither what is shuffled nor what one
+    task reads grows with the rows. Centring by pair keeps digits where
+    values are large or a row's partner is missing, and gives a constant
+    column exactly zero spread."""
     spark = _spark(df)
     p = len(cols)
     if p < 2:
         return spark.createDataFrame([], "col_a string, col_b string, corr double")
     x = [missing_safe(df, c).cast("double") for c in cols]
-    lows = [v if v is not None else 0.0 for v in df.agg(*[F.min(v).alias(f"c{i}") for i, v in enumerate(x)]).first()]
-    first, second = np.triu_indices(p, 1)
+    schema = "i int, part int, " + ", ".join(f"{m} array<double>" for m in MOMENTS)
 
-    def products(batches):
-        n, sx, sxx, sxy = (np.zeros((p, p)) for _ in range(4))
-        for batch in batches:
-            values = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
-            seen = ~np.isnan(values)
-            near = np.where(seen, values - lows, 0.0)
-            seen = seen.astype(float)
-            n += seen.T @ seen
-            sx += near.T @ seen
-            sxx += (near**2).T @ seen
-            sxy += near.T @ near
-        cells = {"n": n, "sx": sx, "sy": sx.T, "sxx": sxx, "syy": sxx.T, "sxy": sxy}
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(first, pa.int32()), pa.array(second, pa.int32()), *[pa.array(m[first, second]) for m in cells.values()]],
-            names=["i", "j", *cells],
-        )
+    def rows_of(i, parts, moments: list[dict[str, np.ndarray]]):
+        arrays = [pa.array([m[name].tolist() for m in moments], pa.list_(pa.float64())) for name in MOMENTS]
+        return pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(parts, pa.int32()), *arrays], names=["i", "part", *MOMENTS])
 
-    parts = df.select(*[v.alias(f"c{i}") for i, v in enumerate(x)]).mapInArrow(
-        products, "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
+    def moments_of(batches):
+        total = {m: np.zeros((p, p)) for m in MOMENTS}
+        for batch in batches:
+            if batch.num_rows:
+                values = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+                total = _merge_moments(total, _batch_moments(values))
+        part = TaskContext.get().partitionId() % MOMENT_PARTS
+        yield rows_of(range(p), [part] * p, [{m: total[m][i] for m in MOMENTS} for i in range(p)])
+
+    def merge(table: pa.Table) -> pa.Table:
+        total = None
+        for row in zip(*[table.column(m).to_pylist() for m in MOMENTS]):
+            own = dict(zip(MOMENTS, map(np.array, row)))
+            total = own if total is None else _merge_moments(total, own)
+        return pa.Table.from_batches([rows_of([table.column("i")[0].as_py()], [0], [total])])
+
+    parts = df.select(*[v.alias(f"c{i}") for i, v in enumerate(x)]).mapInArrow(moments_of, schema)
+    whole = parts.groupBy("i", "part").applyInArrow(merge, schema).groupBy("i").applyInArrow(merge, schema)
+    corr = F.transform(
+        F.arrays_zip("sxx", "syy", "sxy"),
+        lambda m: F.try_divide(m["sxy"], F.sqrt(F.greatest(m["sxx"], F.lit(0.0))) * F.sqrt(F.greatest(m["syy"], F.lit(0.0)))),
     )
-    sums = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
-
-    def spread(square: str, total: str) -> Column:
-        """The centred sum of squares; what rounding leaves of a constant is 0."""
-        left = F.col(square) - F.try_divide(F.col(total) * F.col(total), F.col("n"))
-        return F.when(left > 1e-12 * F.col(square), left).otherwise(F.lit(0.0))
-
-    corr = F.try_divide(F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), F.col("n")), F.sqrt(spread("sxx", "sx") * spread("syy", "sy")))
+    pairs = whole.select("i", F.posexplode(corr).alias("j", "corr")).where("i < j")
     names = F.array(*[F.lit(c) for c in cols])
-    return sums.select(F.get(names, F.col("i")).alias("col_a"), F.get(names, F.col("j")).alias("col_b"), corr.alias("corr"))
+    return pairs.select(F.get(names, F.col("i")).alias("col_a"), F.get(names, F.col("j")).alias("col_b"), "corr")

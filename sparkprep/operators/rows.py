@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkprep.functions.missing import field_type, is_missing, is_text, missing_safe, qcol
+from sparkprep.functions.missing import canonical, field_type, is_missing, is_text, missing_safe, qcol
 from sparkprep.operators.base import Result, lazy, require_columns
 from sparkprep.operators.profile import atomic_columns
 
@@ -72,12 +72,10 @@ def deduplicate(
     row = F.struct(*[qcol(c) for c in cols]).alias("__row")
 
     if subset is None:
-        same = df.select(*[missing_safe(df, c).alias(c) for c in cols])  # NaN and null are both missing
-        if keep == "none":
-            g = same.groupBy(*[qcol(c) for c in cols]).agg(F.count(F.lit(1)).alias("__n"))
-            out = g.filter(F.col("__n") == 1).select(*[qcol(c) for c in cols])
-        else:
-            out = same.dropDuplicates()
+        whole = [canonical(qcol(c), field_type(df, c)).alias(f"__k{i}") for i, c in enumerate(cols)]
+        # keys are compared, the row comes back as it was
+        g = df.select(*whole, row).groupBy(*[f"__k{i}" for i in range(len(cols))]).agg(F.count(F.lit(1)).alias("__n"), F.any_value("__row").alias("__row"))
+        out = (g.filter(F.col("__n") == 1) if keep == "none" else g).select("__row.*")
         examples = None
     else:
         keys = _key_exprs(df, subset, case_insensitive)

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkprep.functions.missing import field_type, is_text, qcol
+from sparkprep.functions.missing import field_type, is_missing, is_text, qcol
 from sparkprep.functions.text import (
     py_collapse_whitespace,
     py_strip,
@@ -83,7 +83,7 @@ def normalize_text(
     for name in columns:
         if non_string_policy == "skip" and not is_text(field_type(df, name)):
             continue
-        base = qcol(name).cast("string")
+        base = F.when(~is_missing(df, name), qcol(name).cast("string"))  # a missing value stays missing
         stepped, pairs = text_steps(base, ops, replace)
         final = stepped
         if nl:

@@ -589,6 +589,24 @@ def q_corr(spark, sf):
     return profile.corr_long(dirty(spark, sf, "dirty_lineitem"), _CORR_COLS).withColumn("corr", r6("corr"))
 
 
+_PARTNERLESS = {
+    "x": "CASE WHEN l_linenumber = 7 THEN -1000000000 ELSE CAST(l_quantity AS DOUBLE) END",
+    "y": "CASE WHEN l_linenumber <> 7 THEN CAST(l_extendedprice AS DOUBLE) END",
+    "z": "CAST(l_discount AS DOUBLE)",
+}
+
+
+@query(
+    "corr_partnerless_outlier_lineitem",
+    "WITH t AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _PARTNERLESS.items()) + " FROM lineitem)\n"
+    + "\nUNION ALL\n".join(f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr({a}, {b}), 6) AS corr FROM t" for a, b in ("xy", "xz", "yz")),
+)
+def q_corr_partnerless(spark, sf):
+    """O29 where a column's outliers have no partner, and another column stands far from zero."""
+    t = table(spark, sf, "lineitem").selectExpr(*[f"{e} AS {n}" for n, e in _PARTNERLESS.items()]).withColumn("z", F.col("z") + 1e6)
+    return profile.corr_long(t, list(_PARTNERLESS)).withColumn("corr", r6("corr"))
+
+
 # ================================================================ O31-O33
 _MODE_RF = "(SELECT v FROM (SELECT l_returnflag v, count(*) n FROM dirty_lineitem WHERE l_returnflag IS NOT NULL GROUP BY 1) ORDER BY n DESC, v LIMIT 1)"
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkprep.functions.missing import qcol
+from sparkprep.functions.missing import NUMBER, qcol
 
 # pandas' default missing-value markers (keep_default_na=True).
 DEFAULT_NA_VALUES = [
@@ -66,10 +66,6 @@ def read_csv(
     return _infer(cleaned)
 
 
-# Spark's casts also read Java's forms "1D" and "2f", which are text here.
-_NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?\s*$|^\s*[+-]?(inf|infinity|nan)\s*$"
-
-
 def _infer(df: DataFrame) -> DataFrame:
     """Promote string columns to bigint / double / boolean when every
     non-null value parses (one aggregate over the table)."""
@@ -78,7 +74,7 @@ def _infer(df: DataFrame) -> DataFrame:
         x = qcol(c)
         checks += [
             F.count_if(x.isNotNull() & x.try_cast("bigint").isNull()).alias(f"i::{c}"),
-            F.count_if(x.isNotNull() & (x.try_cast("double").isNull() | ~x.rlike(_NUMBER))).alias(f"d::{c}"),
+            F.count_if(x.isNotNull() & (x.try_cast("double").isNull() | ~x.rlike(NUMBER))).alias(f"d::{c}"),
             F.count_if(x.isNotNull() & ~F.lower(x).isin("true", "false")).alias(f"b::{c}"),
             F.count(x).alias(f"n::{c}"),
         ]

@@ -173,3 +173,28 @@ def test_correlations_of_a_wide_table_take_one_scan(spark, tmp_path):
     want = wide.corr()
     for (a, b), r in got.items():
         assert (r is None and np.isnan(want.loc[a, b])) or abs(r - want.loc[a, b]) < 1e-6
+
+
+def test_numbers_are_strict_and_missing_values_stay_missing(spark):
+    from sparkprep.operators.schema import cast_type
+    from sparkprep.operators.text import normalize_text
+
+    df = spark.createDataFrame([("12d", 1.5), ("3f", float("nan")), (" 4.5 ", None), ("1e3", 2.0), ("x", 0.0)], "s string, d double")
+    got = [r.s for r in cast_type(df, ["s"], "float", errors="coerce").df.collect()]
+    assert got == [None, None, 4.5, 1000.0, None]
+    texts = [r.d for r in normalize_text(df, ["d"]).df.collect()]
+    assert texts == ["1.5", None, None, "2.0", "0.0"]
+
+
+def test_whole_rows_of_any_type_are_compared(spark):
+    from pyspark.sql import functions as F
+
+    from sparkprep.operators.rows import deduplicate
+
+    df = spark.createDataFrame([(1, float("nan"), [1.0, None]), (1, float("nan"), [1.0, None]), (2, 0.5, []), (2, 0.5, None)], "i int, d double, a array<double>")
+    df = df.withColumn("m", F.create_map(F.lit("b"), F.lit(1), F.lit("a"), F.col("i")))
+    df = df.unionByName(df.where("i = 2 and a is not null").withColumn("m", F.create_map(F.lit("a"), F.col("i"), F.lit("b"), F.lit(1))))
+    out = deduplicate(df).df.collect()
+    assert sorted((r.i, str(r.d), str(r.a)) for r in out) == [(1, "nan", "[1.0, None]"), (2, "0.5", "None"), (2, "0.5", "[]")]
+    assert [str(r.d) for r in out if r.i == 1] == ["nan"]
+    assert {(r.i, r.a is None) for r in deduplicate(df, keep="none").df.collect()} == {(2, True)}

@@ -99,3 +99,31 @@ def test_hot_key_results_match_pandas(spark):
 
     ov = P.overview(df.select("o", "s")).first()
     assert ov["duplicate_rows"] == int(pdf[["o", "s"]].duplicated().sum())
+
+
+def test_correlation_with_an_outlier_whose_partner_is_missing(spark):
+    from pyspark.sql import functions as F
+
+    from sparkprep.operators.profile import corr_long
+
+    base = spark.range(2000).select((F.hash("id") % 1000 / 997.0).alias("x"))
+    df = base.select("x", (2 * F.col("x") + 0.5).alias("y"), F.lit(0.1).alias("c")).unionByName(spark.createDataFrame([(-1e9, None, 0.1)], "x double, y double, c double"))
+    got = {(r.col_a, r.col_b): r["corr"] for r in corr_long(df.repartition(5), ["x", "y", "c"]).collect()}
+    assert abs(got["x", "y"] - 1.0) < 1e-12 and got["x", "c"] is None and got["y", "c"] is None
+
+
+def test_correlation_keeps_digits_beside_large_offsets(spark):
+    from pyspark.sql import functions as F
+
+    from sparkprep.operators.profile import corr_long
+
+    df = spark.range(5000).select((F.hash("id") % 1000 / 997.0).alias("x"), (F.hash("id", F.lit(1)) % 1000 / 991.0).alias("e"))
+    df = df.select("x", (F.col("x") + F.col("e")).alias("y"))
+    plain = df.agg(F.corr("x", "y")).first()[0]
+    far = df.select((F.col("x") + 1e6).alias("x"), (F.col("y") - 1e6).alias("y"))
+    want = far.agg(F.corr("x", "y")).first()[0]
+    got = corr_long(far, ["x", "y"]).first()["corr"]
+    assert abs(got - plain) < 1e-9 and abs(got - want) < 1e-9
+    some = df.select(F.when(F.hash("y") % 3 != 0, F.col("x")).alias("x"), F.when(F.hash("x") % 4 != 0, F.col("y")).alias("y"), F.lit(None).cast("double").alias("z"))
+    rows = {(r.col_a, r.col_b): r["corr"] for r in corr_long(some, ["x", "y", "z"]).collect()}
+    assert abs(rows["x", "y"] - some.dropna(subset=["x", "y"]).agg(F.corr("x", "y")).first()[0]) < 1e-12 and rows["x", "z"] is None
