@@ -164,4 +164,7 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", **optio
     rows = docs.select(F.struct(*names).alias("__row"), F.struct(F.col(key).alias("k"), F.xxhash64(text).alias("h")).alias("__id"), F.col(text).alias("__text"))
     found = near_duplicates(rows, "__id", "__text", **options)
     firsts = found.where(F.col("key") == F.col("component")).select(F.col("key").alias("__id")).distinct()
-    return rows.select("__id", "__row").dropDuplicates(["__id"]).join(firsts, "__id", "left_semi").select("__row.*")
+    packed = rows.select("__id", "__row")
+    if (rows.groupBy("__id").count().agg(F.max("count")).first()[0] or 0) > 1:  # whole rows are only sorted where some are equal
+        packed = packed.dropDuplicates(["__id"])
+    return packed.join(firsts, "__id", "left_semi").select("__row.*")
