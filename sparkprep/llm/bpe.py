@@ -22,7 +22,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import islice
 from typing import Iterator, Sequence
 
 import numpy as np
@@ -232,7 +232,7 @@ OUTPUT_BYTES = 1 << 21
 
 
 class Coder(dict):
-    """Encodes and decodes texts; as a dict it remembers the ids of parts."""
+    """Encodes and decodes texts; as a dict it remembers the ids of parts, as bytes."""
 
     def __init__(self, path: str, pattern: str):
         super().__init__()
@@ -240,29 +240,29 @@ class Coder(dict):
         self.decoder = Decoder(self.transducer.merges.tokens)
         self.parts = regex.compile(pattern)
 
-    def __missing__(self, part: str) -> tuple[int, ...]:
+    def __missing__(self, part: str) -> bytes:
         data = part.encode()
-        ids = self.transducer.encode(data)
+        ids = np.array(self.transducer.encode(data), "<u4").tobytes()
         if len(data) <= PART_BYTES:
             if len(self) >= PARTS:
                 self.clear()
             self[part] = ids
         return ids
 
-    def blocks(self, text: str) -> Iterator[list[int]]:
-        """The ids of a text, some parts at a time."""
+    def blocks(self, text: str) -> Iterator[bytes]:
+        """The ids of a text as bytes (four each, little-endian), some parts at a time."""
         if len(text) <= BLOCK:
-            yield list(chain.from_iterable(map(self.__getitem__, self.parts.findall(text))))
+            yield b"".join(map(self.__getitem__, self.parts.findall(text)))
             return
         parts = (m.group() for m in self.parts.finditer(text))
         while block := list(islice(parts, BLOCK)):
-            yield list(chain.from_iterable(map(self.__getitem__, block)))
+            yield b"".join(map(self.__getitem__, block))
 
     def round_trip(self, text: str | None, keep: bool = False) -> tuple[int, str, str, bytes | None]:
         """Number of ids, SHA-256 of the ids and of the decoded text, and with ``keep`` the ids."""
         n, ids_sum, text_sum, state, kept = 0, hashlib.sha256(), hashlib.sha256(), (0, b""), []
-        for ids in self.blocks(text or ""):
-            data = np.array(ids, "<u4").tobytes()
+        for data in self.blocks(text or ""):
+            ids = np.frombuffer(data, "<u4").tolist()
             decoded, state = self.decoder.stream(ids, state)
             n += len(ids)
             ids_sum.update(data)
