@@ -31,8 +31,8 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Bounds of the memory of a worker: states of the transducer, remembered parts, and the longest of them.
-STATES = 130_000
-PARTS = 140_000
+STATES = 150_000
+PARTS = 200_000
 PART_BYTES = 64
 #: Parts read at a time.
 BLOCK = 1 << 16
