@@ -7,11 +7,8 @@ Scale notes
   shuffle: the table is unpivoted to ``(column, value)`` and grouped, with a
   map-side partial count, so a value holding a third of all rows collapses
   to one row per map task before the exchange.
-* Quantiles are exact without an unbounded single-task buffer: a direct
-  ``percentile`` only when the input (or its distinct values) is under a
-  fixed bound; otherwise a selection that ranks only the rows in a small
-  value bracket (or range bucket) around each wanted rank, with the rows
-  below it counted by an aggregate.
+* Quantiles are exact without an unbounded buffer or a ranking window, by
+  repeated selection at every size (:mod:`sparkprep.operators.quantiles`).
 * Per-column top-k / mode use ``row_number() <= k`` windows, which Spark
   plans as a map-side ``WindowGroupLimit`` before the shuffle.
 """
@@ -37,6 +34,7 @@ from sparkprep.functions.missing import (
     missing_safe,
     qcol,
 )
+from sparkprep.operators.quantiles import HOLD, CountedValues, RawRows, as_table, select
 
 ATOMIC = (
     T.NumericType,
@@ -124,255 +122,50 @@ def quantiles_long(
     cols: Sequence[str],
     probs: Sequence[float],
     method: str = "exact",
-    buckets: int = 32,
     accuracy: int = 10000,
-    buffer_limit: int | None = None,
-    bracket_limit: int = 5_000_000,
+    hold: int = HOLD,
 ) -> DataFrame:
     """Linear-interpolated quantiles (pandas / ``quantile_cont``) as a long
-    DataFrame ``(column, p_index, prob, value)``; NaN and null are skipped.
+    DataFrame ``(column, p_index, prob, value)``; NaN and null are skipped,
+    columns without a value have no row.
 
-    Exact by default: a direct ``percentile`` aggregate when the table has
-    at most ``buffer_limit`` rows (its buffer is bounded by the row count),
-    otherwise a distributed selection over the raw rows
-    (:func:`_quantiles_by_brackets`); the row count comes from the
-    selection's first aggregate, so neither path pays an extra job. ``method="approx"`` uses
+    Exact by default, by selection over the raw rows (see
+    :mod:`sparkprep.operators.quantiles`); ``hold`` bounds the rows read in
+    its last aggregate and never changes the result. ``method="approx"`` uses
     ``percentile_approx`` (rank error about ``1/accuracy``).
     """
     spark = _spark(df)
-    out_schema = "column string, p_index int, prob double, value double"
     cols = [c for c in cols if is_numeric(field_type(df, c))]
     if not cols or not probs:
-        return spark.createDataFrame([], out_schema)
-    parr = F.array(*[F.lit(float(p)) for p in probs])
-
-    def explode_agg(fn) -> DataFrame:
-        items = [F.struct(F.lit(c).alias("column"), fn(missing_safe(df, c).cast("double")).alias("vals")) for c in cols]
-        return (
-            df.agg(F.array(*items).alias("a"))
-            .select(F.explode("a").alias("s"))
-            .select("s.column", F.posexplode("s.vals").alias("p_index", "value"))
-            .select("column", F.col("p_index").cast("int"), F.element_at(parr, F.col("p_index") + 1).alias("prob"), "value")
-        )
-
-    if method == "approx":
-        return explode_agg(lambda x: F.percentile_approx(x, [float(p) for p in probs], accuracy))
-    limit = EXACT_BUFFER_LIMIT if buffer_limit is None else buffer_limit
-    exact_small = explode_agg(lambda x: F.percentile(x, [float(p) for p in probs]))
-    return _quantiles_by_brackets(df, cols, probs, accuracy, bracket_limit, buckets, limit, exact_small)
-
-
-def _quantiles_by_brackets(
-    df: DataFrame,
-    cols: Sequence[str],
-    probs: Sequence[float],
-    accuracy: int,
-    bracket_limit: int,
-    buckets: int,
-    row_limit: int = -1,
-    small: DataFrame | None = None,
-) -> DataFrame:
-    """Exact selection over raw rows in three scans and one small shuffle.
-
-    1. ``percentile_approx`` at ``p -/+ delta`` gives a value bracket
-       ``[L, U]`` around each wanted rank (plus the non-missing count).
-    2. One aggregate counts the rows below ``L`` and inside ``[L, U]``;
-       if a wanted rank is not provably inside its bracket (or a bracket
-       holds more than ``bracket_limit`` rows) the exact bucket path over
-       distinct values takes over.
-    3. Rows inside the brackets are counted per distinct value (map-side
-       partial aggregation, so a heavy value is one row), ranked per
-       bracket with a window, and only the rows covering a wanted rank are
-       returned to the driver.
-    """
-    spark = _spark(df)
-    out_schema = "column string, p_index int, prob double, value double"
-    xs = {c: missing_safe(df, c).cast("double") for c in cols}
-    delta = 8.0 / accuracy
-    ext = []
-    for p in probs:
-        ext += [max(0.0, float(p) - delta), min(1.0, float(p) + delta)]
-    r1 = df.agg(
-        F.count(F.lit(1)).alias("__rows"),
-        *[F.percentile_approx(xs[c], ext, accuracy).alias(f"br{j}") for j, c in enumerate(cols)],
-        *[F.count(xs[c]).alias(f"n{j}") for j, c in enumerate(cols)],
-    ).first()
-    if small is not None and r1["__rows"] <= row_limit:
-        return small  # buffer bounded by the row count: one direct percentile
-    tg = {}
-    for j, c in enumerate(cols):
-        n = int(r1[f"n{j}"])
-        if n == 0 or r1[f"br{j}"] is None:
-            continue
-        for i, p in enumerate(probs):
-            pos = (n - 1) * float(p)
-            tg[(c, i)] = (r1[f"br{j}"][2 * i], r1[f"br{j}"][2 * i + 1], pos, int(pos // 1), int(-(-pos // 1)))
-    if not tg:
-        return spark.createDataFrame([], out_schema)
-    keys = list(tg)
-    conds = {key: (xs[key[0]] >= F.lit(tg[key][0])) & (xs[key[0]] <= F.lit(tg[key][1])) for key in keys}
-    aggs = []
-    for t, key in enumerate(keys):
-        aggs.append(F.count_if(xs[key[0]] < F.lit(tg[key][0])).alias(f"b{t}"))
-        aggs.append(F.count_if(conds[key]).alias(f"w{t}"))
-    r2 = df.agg(*aggs).first()
-    below = {}
-    for t, key in enumerate(keys):
-        b_, w_ = int(r2[f"b{t}"]), int(r2[f"w{t}"])
-        _, _, _, klo, khi = tg[key]
-        if not (b_ <= klo and khi < b_ + w_) or w_ > bracket_limit:
-            dv = value_counts_long(df, cols).select("column", "num", "cnt")
-            return quantiles_from_counts(dv, probs, buckets=buckets, accuracy=accuracy, buffer_limit=0)
-        below[key] = b_
-
-    any_bracket = F.lit(False)
-    for key in keys:
-        any_bracket = any_bracket | conds[key]
-    items = F.array(*[F.when(conds[key], F.struct(F.lit(t).alias("t"), xs[key[0]].alias("num"))) for t, key in enumerate(keys)])
-    cand = (
-        df.filter(any_bracket)  # plain comparisons first; only bracket rows go further
-        .select(F.explode(items).alias("e"))
-        .filter(F.col("e").isNotNull())
-        .select("e.t", "e.num")
-        .groupBy("t", "num")
-        .agg(F.count(F.lit(1)).alias("cnt"))
+        return as_table(spark, [])
+    values = {c: missing_safe(df, c).cast("double") for c in cols}
+    if method != "approx":
+        return as_table(spark, select(RawRows(df, values, accuracy), probs, hold))
+    at = [float(p) for p in probs]
+    items = [F.struct(F.lit(c).alias("column"), F.percentile_approx(x, at, accuracy).alias("vals")) for c, x in values.items()]
+    parr = F.array(*[F.lit(p) for p in at])
+    return (
+        df.agg(F.array(*items).alias("a"))
+        .select(F.explode("a").alias("s"))
+        .select("s.column", F.posexplode("s.vals").alias("p_index", "value"))
+        .select("column", F.col("p_index").cast("int"), F.element_at(parr, F.col("p_index") + 1).alias("prob"), "value")
     )
-    off = F.lit(0).cast("long")
-    for t, key in enumerate(keys):
-        off = F.when(F.col("t") == t, F.lit(below[key])).otherwise(off)
-    w = Window.partitionBy("t").orderBy("num").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = cand.withColumn("end", off + F.sum("cnt").over(w) - 1).withColumn("start", F.col("end") - F.col("cnt") + 1)
-    need = F.lit(False)
-    for t, key in enumerate(keys):
-        for k in {tg[key][3], tg[key][4]}:
-            need = need | ((F.col("t") == t) & (F.col("start") <= k) & (F.col("end") >= k))
-    found = ranked.filter(need).select("t", "num", "start", "end").collect()
-
-    def value_at(t: int, k: int) -> float:
-        return next(r["num"] for r in found if r["t"] == t and r["start"] <= k <= r["end"])
-
-    rows = []
-    for t, (c, i) in enumerate(keys):
-        _, _, pos, klo, khi = tg[(c, i)]
-        vlo, vhi = value_at(t, klo), value_at(t, khi)
-        rows.append((c, i, float(probs[i]), vlo + (vhi - vlo) * (pos - klo)))
-    return spark.createDataFrame(rows, out_schema)
 
 
-# A column with at most this many distinct values is small enough for the
-# single-task buffer of ``percentile(value, p, frequency)``.
-EXACT_BUFFER_LIMIT = 200_000
-
-
-def _bucket_expr(col: Column, cuts: Sequence[float]) -> Column:
-    """Number of cut points <= ``col`` by binary search (nested CASE, so it
-    compiles into generated code; depth log2(len(cuts)))."""
-
-    def rec(lo: int, hi: int) -> Column:
-        # answer lies in [lo, hi]
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2  # is cuts[mid-1] <= col ?
-        return F.when(col >= F.lit(float(cuts[mid - 1])), rec(mid, hi)).otherwise(rec(lo, mid - 1))
-
-    return rec(0, len(cuts))
-
-
-def quantiles_from_counts(
-    dv: DataFrame,
-    probs: Sequence[float],
-    buckets: int = 32,
-    accuracy: int = 10000,
-    buffer_limit: int = EXACT_BUFFER_LIMIT,
-    n_rows: int | None = None,
-) -> DataFrame:
-    """Exact linear-interpolated quantiles from distinct ``(column, num,
-    cnt)`` rows (used where the value-count table already exists).
-
-    If every column has at most ``buffer_limit`` distinct values, one
-    ``percentile(num, p, cnt)`` aggregate is exact with a bounded buffer.
-    Otherwise distinct values are ranked inside the range buckets that hold
-    the wanted ranks (:func:`_quantiles_by_buckets`). Exact for any number
-    of distinct values and any skew (a heavy value is one distinct row).
-    """
-    spark = _spark(dv)
-    out_schema = "column string, p_index int, prob double, value double"
-    parr = F.array(*[F.lit(float(p)) for p in probs])
-    dv = dv.filter(F.col("num").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
-
-    def bounded() -> DataFrame:
-        return (
-            dv.groupBy("column")
-            .agg(F.percentile("num", [float(p) for p in probs], F.col("cnt")).alias("vals"))
-            .select("column", F.posexplode("vals").alias("p_index", "value"))
-            .select("column", F.col("p_index").cast("int"), F.element_at(parr, F.col("p_index") + 1).alias("prob"), "value")
-        )
-
-    if n_rows is not None and n_rows <= buffer_limit:
-        return bounded()  # distinct values never exceed rows
-    info = dv.groupBy("column").agg(F.count(F.lit(1)).alias("distinct")).collect()
-    if not info:
-        return spark.createDataFrame([], out_schema)
-    if max(r["distinct"] for r in info) <= buffer_limit:
-        return bounded()
-    out = _quantiles_by_buckets(dv, probs, buckets, accuracy, info)
-    dv.unpersist()
-    return out
-
-
-def _quantiles_by_buckets(dv: DataFrame, probs: Sequence[float], buckets: int, accuracy: int, info) -> DataFrame:
-    """Fallback selection: rank distinct values inside the range buckets
-    that hold the wanted ranks (cut points from ``percentile_approx``)."""
-    spark = _spark(dv)
-    b = max(2, int(buckets))
-    cut_rows = dv.groupBy("column").agg(F.percentile_approx("num", [i / b for i in range(1, b)], accuracy).alias("cuts")).collect()
-    cols = [r["column"] for r in cut_rows]
-    cuts = {r["column"]: sorted(set(r["cuts"])) for r in cut_rows}
-    bucket = F.lit(0)
-    for c in cols:
-        bucket = F.when(F.col("column") == c, _bucket_expr(F.col("num"), cuts[c])).otherwise(bucket)
-    dvb = dv.withColumn("bucket", bucket)
-    sizes: dict[str, dict[int, int]] = {c: {} for c in cols}
-    for r in dvb.groupBy("column", "bucket").agg(F.sum("cnt").alias("n")).collect():
-        sizes[r["column"]][int(r["bucket"])] = int(r["n"])
-    wanted: dict[tuple[str, int], list[int]] = {}
-    offsets: dict[tuple[str, int], int] = {}
-    plan = []
-    for c in cols:
-        acc = 0
-        for bk in sorted(sizes[c]):
-            offsets[(c, bk)] = acc
-            acc += sizes[c][bk]
-        for i, p in enumerate(probs):
-            pos = (acc - 1) * float(p)
-            lo, hi = int(pos // 1), int(-(-pos // 1))
-            plan.append((c, i, float(p), pos, lo, hi))
-            for k in {lo, hi}:
-                bk = max(x for x in sizes[c] if offsets[(c, x)] <= k)
-                wanted.setdefault((c, bk), []).append(k)
-    keys = list(wanted)
-    sel = F.lit(False)
-    off_expr = F.lit(0).cast("long")
-    for c, bk in keys:
-        hitb = (F.col("column") == c) & (F.col("bucket") == bk)
-        sel = sel | hitb
-        off_expr = F.when(hitb, F.lit(offsets[(c, bk)])).otherwise(off_expr)
-    w = Window.partitionBy("column", "bucket").orderBy("num").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = dvb.filter(sel).withColumn("end", off_expr + F.sum("cnt").over(w) - 1).withColumn("start", F.col("end") - F.col("cnt") + 1)
-    hit = F.lit(False)
-    for (c, bk), ks in wanted.items():
-        for k in set(ks):
-            hit = hit | ((F.col("column") == c) & (F.col("start") <= k) & (F.col("end") >= k))
-    found = ranked.filter(hit).select("column", "num", "start", "end").collect()
-
-    def value_at(c: str, k: int) -> float:
-        return next(r["num"] for r in found if r["column"] == c and r["start"] <= k <= r["end"])
-
-    rows = []
-    for c, i, p, pos, lo, hi in plan:
-        vlo, vhi = value_at(c, lo), value_at(c, hi)
-        rows.append((c, i, p, vlo + (vhi - vlo) * (pos - lo)))
-    return spark.createDataFrame(rows, "column string, p_index int, prob double, value double")
+def quantiles_from_counts(counts: DataFrame, probs: Sequence[float], accuracy: int = 10000, hold: int = HOLD) -> DataFrame:
+    """The same from ``(column, num, cnt)`` rows of distinct values, where a
+    value-count table already exists. The table is read a few times, and kept
+    for that time unless the caller keeps it."""
+    if not probs:
+        return as_table(_spark(counts), [])
+    held = counts.is_cached
+    if not held:
+        counts.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return as_table(_spark(counts), select(CountedValues(counts, accuracy), probs, hold))
+    finally:
+        if not held:
+            counts.unpersist()
 
 
 def quantiles(
@@ -464,6 +257,13 @@ def numeric_summary_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.agg(F.array(*items).alias("a")).select(F.explode("a").alias("s")).select("s.*")
 
 
+def _column_quantiles(sub: DataFrame, vc: DataFrame, cols: Sequence[str], probs: Sequence[float], method: str) -> DataFrame:
+    """Quantiles for a report that has its value counts at hand."""
+    if method == "approx":
+        return quantiles_long(sub, cols, probs, method="approx")
+    return quantiles_from_counts(vc, probs)
+
+
 def profile(
     df: DataFrame,
     target_column: str | None = None,
@@ -486,13 +286,7 @@ def profile(
     n = F.lit(n_rows)
     vc = value_counts_long(sub, cols).persist(StorageLevel.MEMORY_AND_DISK)
     num_cols = [c for c in cols if is_numeric(field_type(df, c))]
-    # Small inputs: the exact median rides along in the per-column aggregate
-    # (bounded buffer: distinct values <= rows <= EXACT_BUFFER_LIMIT).
-    fused = quantile_method == "exact" and n_rows <= EXACT_BUFFER_LIMIT
-    per_col_aggs = [F.count(F.lit(1)).alias("n_unique"), F.sum("cnt").alias("non_missing")]
-    if fused:
-        per_col_aggs.append(F.round(F.percentile("num", 0.5, F.col("cnt")), 6).alias("num_median"))
-    per_col = vc.groupBy("column").agg(*per_col_aggs)
+    per_col = vc.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"), F.sum("cnt").alias("non_missing"))
     samples = (
         top_values(vc, max_example_values, by_count=False)
         .groupBy("column")
@@ -507,10 +301,8 @@ def profile(
     )
     meta = _schema_frame(sub)
     out = meta.join(per_col, "column", "left").join(samples, "column", "left").join(nums, "column", "left")
-    if not fused:
-        # large inputs: exact bracket selection over the raw rows
-        med = quantiles_long(sub, num_cols, [0.5], method=quantile_method)
-        out = out.join(med.select("column", F.round("value", 6).alias("num_median")), "column", "left")
+    med = _column_quantiles(sub, vc, num_cols, [0.5], quantile_method)
+    out = out.join(med.select("column", F.round("value", 6).alias("num_median")), "column", "left")
     nu = F.coalesce(F.col("n_unique"), F.lit(0))
     missing = n - F.coalesce(F.col("non_missing"), F.lit(0))
     return out.select(
@@ -733,29 +525,16 @@ def describe(df: DataFrame, quantile_method: str = "exact") -> DataFrame:
     sub = df.select(*[qcol(c) for c in cols])
     num_cols = [c for c in cols if is_numeric(field_type(df, c))]
     vc = value_counts_long(sub, cols).persist(StorageLevel.MEMORY_AND_DISK)
-    n_rows = sub.count()
-    # Small inputs: the exact quartiles ride along in the per-column
-    # aggregate (buffer bounded by the row count); large ones use the
-    # raw-row bracket selection.
-    fused = quantile_method == "exact" and n_rows <= EXACT_BUFFER_LIMIT
-    aggs = [F.count(F.lit(1)).alias("unique"), F.sum("cnt").alias("count")]
-    if fused:
-        aggs.append(F.percentile("num", [0.25, 0.5, 0.75], F.col("cnt")).alias("qs"))
-    per_col = vc.groupBy("column").agg(*aggs)
-    if fused:
-        per_col = per_col.select(
-            "column", "unique", "count", *[F.col("qs")[i].alias(nm) for i, nm in enumerate(["q25", "q50", "q75"])]
-        )
+    per_col = vc.groupBy("column").agg(F.count(F.lit(1)).alias("unique"), F.sum("cnt").alias("count"))
     top = modes(vc).select("column", F.col("mode").alias("top"), F.col("mode_count").alias("freq"))
     nums = numeric_summary_long(sub, num_cols).select("column", "mean", "std", "min", "max")
     meta = _schema_frame(sub)
     out = meta.join(per_col, "column", "left").join(top, "column", "left").join(nums, "column", "left")
-    if not fused:
-        ql = quantiles_long(sub, num_cols, [0.25, 0.5, 0.75], method=quantile_method)
-        q = ql.groupBy("column").agg(
-            *[F.max(F.when(F.col("p_index") == i, F.col("value"))).alias(nm) for i, nm in enumerate(["q25", "q50", "q75"])]
-        )
-        out = out.join(q, "column", "left")
+    ql = _column_quantiles(sub, vc, num_cols, [0.25, 0.5, 0.75], quantile_method)
+    q = ql.groupBy("column").agg(
+        *[F.max(F.when(F.col("p_index") == i, F.col("value"))).alias(nm) for i, nm in enumerate(["q25", "q50", "q75"])]
+    )
+    out = out.join(q, "column", "left")
     isnum = F.col("is_numeric")
     return out.select(
         "position",

@@ -513,28 +513,28 @@ def _quant_sql():
 
 @query("quantiles_lineitem", _quant_sql())
 def q_quant(spark, sf):
-    """O26 exact linear quantiles (bounded-buffer path)."""
+    """O26 exact linear quantiles by selection over the raw rows."""
     ql = profile.quantiles_long(dirty(spark, sf, "dirty_lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], _PROBS)
     return ql.withColumn("value", r6("value"))
 
 
 @query("quantiles_bucketed_lineitem", _quant_sql())
 def q_quant_b(spark, sf):
-    """O26 exact quantiles through the range-bucket ranking path over
-    distinct values (the path used when a value-count table exists)."""
+    """O26 exact quantiles by weighted selection over distinct values (the
+    way taken when a value-count table exists)."""
     d = dirty(spark, sf, "dirty_lineitem")
     cols = ["l_quantity", "l_extendedprice", "l_discount"]
     dv = profile.value_counts_long(d, cols).select("column", "num", "cnt")
-    ql = profile.quantiles_from_counts(dv, _PROBS, buckets=16, buffer_limit=0)
+    ql = profile.quantiles_from_counts(dv, _PROBS, hold=64)
     return ql.withColumn("value", r6("value"))
 
 
 @query("quantiles_bracket_lineitem", _quant_sql())
 def q_quant_sel(spark, sf):
-    """O26 exact quantiles through the bracket selection over raw rows
-    (approximate brackets, exact counts, ranking only the bracket rows)."""
+    """O26 exact quantiles by selection in several rounds: the last aggregate
+    may hold 64 rows in all."""
     ql = profile.quantiles_long(
-        dirty(spark, sf, "dirty_lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], _PROBS, buffer_limit=0
+        dirty(spark, sf, "dirty_lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], _PROBS, hold=64
     )
     return ql.withColumn("value", r6("value"))
 

@@ -35,7 +35,7 @@ def test_mode_ties_smallest(spark):
 def test_quantiles_match_linear_interpolation(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (10.0,), (None,), (float("nan"),)], "x double")
     exact = P.quantiles(df, ["x"], [0.25, 0.5, 0.75])["x"]
-    bucketed = P.quantiles(df, ["x"], [0.25, 0.5, 0.75], buffer_limit=0, buckets=3)["x"]
+    bucketed = P.quantiles(df, ["x"], [0.25, 0.5, 0.75], hold=1)["x"]
     assert exact == [1.75, 2.5, 4.75] == bucketed
 
 
@@ -47,7 +47,7 @@ def test_quantiles_bucketed_with_heavy_value(spark):
     df = spark.createDataFrame([(v,) for v in vals], "x double").repartition(7)
     probs = [0.1, 0.33, 0.5, 0.9]
     want = np.quantile(np.array(vals), probs).tolist()
-    got = P.quantiles(df, ["x"], probs, buffer_limit=0, buckets=8)["x"]
+    got = P.quantiles(df, ["x"], probs, hold=1)["x"]
     assert all(math.isclose(a, b) for a, b in zip(got, want))
 
 

@@ -28,9 +28,9 @@ def test_quantile_paths_match_numpy(spark, vals, ps, heavy):
     df = spark.createDataFrame([(v,) for v in vals], "x double").repartition(3)
     want = np.quantile(clean, ps).tolist() if len(clean) else [None] * len(ps)
     direct = P.quantiles(df, ["x"], ps)["x"]
-    bracket = P.quantiles(df, ["x"], ps, buffer_limit=0)["x"]
+    bracket = P.quantiles(df, ["x"], ps, hold=1)["x"]
     dv = P.value_counts_long(df).select("column", "num", "cnt")
-    bucket = {r["p_index"]: r["value"] for r in P.quantiles_from_counts(dv, ps, buckets=4, buffer_limit=0).collect()}
+    bucket = {r["p_index"]: r["value"] for r in P.quantiles_from_counts(dv, ps, hold=1).collect()}
     bucket = [bucket.get(i) for i in range(len(ps))]
     for got in (direct, bracket, bucket):
         if len(clean) == 0:

@@ -44,22 +44,45 @@ def test_streaming_matches_batch(spark, tmp_path):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
-def test_bracket_selection_is_used_and_exact(spark, monkeypatch):
+def test_selection_is_bit_equal_for_any_partitioning_and_hold(spark, monkeypatch):
     import numpy as np
 
     from sparkprep.operators import profile as P
+    from sparkprep.operators import quantiles as Q
 
-    def no_fallback(*a, **k):
-        raise AssertionError("bracket path should have sufficed")
-
-    monkeypatch.setattr(P, "_quantiles_by_buckets", no_fallback)
     rng = np.random.default_rng(11)
-    vals = np.concatenate([np.full(3000, 7.25), rng.normal(0, 5, 6000).round(3)])
-    df = spark.createDataFrame([(float(v),) for v in vals], "x double").repartition(5)
-    probs = [0.05, 0.25, 0.5, 0.75, 0.99]
-    got = P.quantiles(df, ["x"], probs, buffer_limit=0)["x"]
-    want = np.quantile(vals, probs).tolist()
-    assert np.allclose(got, want, rtol=0, atol=1e-9)
+    vals = np.concatenate([np.full(3000, 7.25), rng.normal(0, 5, 6000).round(3), [-0.0, 0.0, np.inf, -np.inf]])
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    probs = [0.0, 0.05, 0.25, 0.5, 0.75, 0.99, 1.0]
+    rounds = []
+    count = Q.RawRows.count
+    monkeypatch.setattr(Q.RawRows, "count", lambda self, *a: rounds.append(1) or count(self, *a))
+    # a coarse sketch and a tiny last aggregate: several rounds
+    runs = [P.quantiles(df.repartition(n), ["x"], probs, hold=h, accuracy=a)["x"] for n, h, a in [(1, 200_000, 10000), (5, 1, 100), (13, 40, 40)]]
+    assert runs[0] == runs[1] == runs[2]
+    assert len(rounds) >= 4
+    assert runs[0][0] == -np.inf and runs[0][-1] == np.inf
+    assert np.allclose(runs[0][1:-1], np.quantile(vals, probs[1:-1]), rtol=0, atol=1e-9)
+    dv = P.value_counts_long(df).select("column", "num", "cnt").repartition(3)
+    for hold in (1, 50, 200_000):
+        got = {r["p_index"]: r["value"] for r in P.quantiles_from_counts(dv, probs, hold=hold).collect()}
+        assert [got[i] for i in range(len(probs))] == runs[0]
+
+
+def test_selection_of_many_columns_and_columns_without_values(spark):
+    import numpy as np
+
+    from sparkprep.operators import profile as P
+
+    df = spark.range(2000).select(
+        F.when(F.col("id") % 3 != 0, F.col("id") * 1.5).alias("a"), F.lit(None).cast("double").alias("b"), F.lit(4).alias("c"), F.lit(float("nan")).alias("d")
+    )
+    a = np.array([i * 1.5 for i in range(2000) if i % 3])
+    for hold in (1, 200_000):
+        got = P.quantiles(df, ["a", "b", "c", "d"], [0.1, 0.9], hold=hold)
+        assert np.allclose(got["a"], np.quantile(a, [0.1, 0.9])) and got["c"] == [4.0, 4.0]
+        assert got["b"] == got["d"] == [None, None]
+    assert P.quantiles(df.limit(0), ["a"], [0.5]) == {"a": [None]}
 
 
 def test_bucket_path_with_heavy_value(spark):
@@ -71,7 +94,7 @@ def test_bucket_path_with_heavy_value(spark):
     df = spark.createDataFrame([(v,) for v in vals], "x double").repartition(7)
     dv = P.value_counts_long(df).select("column", "num", "cnt")
     probs = [0.1, 0.33, 0.5, 0.9]
-    got = {r["p_index"]: r["value"] for r in P.quantiles_from_counts(dv, probs, buckets=8, buffer_limit=0).collect()}
+    got = {r["p_index"]: r["value"] for r in P.quantiles_from_counts(dv, probs, hold=1).collect()}
     assert np.allclose([got[i] for i in range(len(probs))], np.quantile(np.array(vals), probs))
 
 
