@@ -6,11 +6,11 @@ mean initial fill, features visited in ascending order of missing fraction,
 at most ``max_iter`` rounds, early stop when the largest per-row change
 ``max_i sum_j |x_ij - prev_ij|`` falls below ``tol * max|observed|``.
 
-Each regression needs only sufficient statistics, so a feature step is one
-aggregate (``count``, ``avg`` and ``covar_pop`` over the rows where the
-feature is observed) followed by a ``d x d`` solve on the driver; the
-prediction is an affine column expression. Work per step is one scan of the
-``d`` participating columns (Parquet prunes the rest); nothing row-level
+Each regression needs only sufficient statistics, and filled values are
+affine in the observed ones. So one scan groups the rows by missing pattern
+and keeps counts, means and cross products, from which all rounds are solved
+on the driver (``d x d`` problems); a second scan finds the round to stop
+after. Both read the ``d`` participating columns only; nothing row-level
 leaves the executors.
 
 Categorical: most frequent value as a string (ties -> smallest) or a
@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,10 +123,152 @@ def _regress(n, mean, S, j):
     return others, coef, intercept
 
 
+# Doubles of all patterns' cross products that the driver may hold (32 MB);
+# beyond it the regressions are aggregated from the rows, with equal results.
+PATTERN_DOUBLES = 4_000_000
+
+
+class _Patterns:
+    """Rows grouped by which of ``d`` columns are missing: counts, means and
+    centred cross products of the observed ones.
+
+    A filled value is an affine function of the row's observed values, the
+    same function for all rows of a pattern. So the moments of the filled
+    table after any number of regressions follow from these arrays
+    (``fill @ observed + shift``), without the rows.
+    """
+
+    def __init__(self, rows, d: int):
+        rows = sorted(rows, key=lambda r: r["pattern"])  # sums in one order, however they arrive
+        self.missing = np.array([[ch == "1" for ch in r["pattern"]] for r in rows], dtype=bool).reshape(len(rows), d)
+        self.n = np.array([r["n"] for r in rows], dtype=float)
+        self.mean = np.array([[r[f"m{i}"] or 0.0 for i in range(d)] for r in rows]).reshape(len(rows), d)
+        self.cross = np.zeros((len(rows), d, d))
+        for i in range(d):
+            for k in range(i, d):
+                self.cross[:, i, k] = self.cross[:, k, i] = [(r[f"c{i}_{k}"] or 0.0) * r["n"] for r in rows]
+        self.largest = max((r[f"a{i}"] for r in rows for i in range(d) if r[f"a{i}"] is not None), default=0.0)
+
+    def column_means(self) -> list[float | None]:
+        n = (self.n[:, None] * ~self.missing).sum(axis=0)
+        total = (self.n[:, None] * self.mean).sum(axis=0)
+        return [float(t / k) if k else None for t, k in zip(total, n)]
+
+    def missing_counts(self) -> list[int]:
+        return [int(x) for x in (self.n[:, None] * self.missing).sum(axis=0)]
+
+    def start(self, means) -> None:
+        d = self.missing.shape[1]
+        self.fill = np.where(self.missing[:, :, None], 0.0, np.eye(d)[None])
+        self.shift = np.where(self.missing, np.array(means, dtype=float)[None], 0.0)
+
+    def moments(self, j: int):
+        """Rows, means and cross products of the filled columns where ``j``
+        is observed."""
+        use = ~self.missing[:, j]
+        n, fill = self.n[use], self.fill[use]
+        centre = np.einsum("pik,pk->pi", fill, self.mean[use]) + self.shift[use]
+        total = n.sum()
+        mean = (n[:, None] * centre).sum(axis=0) / total
+        off = centre - mean
+        S = np.einsum("pik,pkl,pjl->ij", fill, self.cross[use], fill, optimize=True)
+        return int(total), mean, S + np.einsum("p,pi,pj->ij", n, off, off)
+
+    def regress(self, j: int, others, coef, intercept: float) -> None:
+        """Fill column ``j`` by a regression, where it is missing."""
+        at = self.missing[:, j]
+        self.fill[at, j] = np.einsum("i,pik->pk", coef, self.fill[at][:, others])
+        self.shift[at, j] = intercept + self.shift[at][:, others] @ coef
+
+
+def _patterns(df: DataFrame, cols: list[str]) -> _Patterns | None:
+    """One scan; ``None`` if there are too many patterns for the driver."""
+    d = len(cols)
+    x = [missing_safe(df, c).cast("double") for c in cols]
+    narrow = df.select(
+        F.concat(*[F.when(is_missing(df, c), "1").otherwise("0") for c in cols]).alias("pattern"), *[x[i].alias(f"x{i}") for i in range(d)]
+    )
+    aggs = [F.count(F.lit(1)).alias("n")]
+    aggs += [F.avg(f"x{i}").alias(f"m{i}") for i in range(d)]
+    aggs += [F.max(F.abs(f"x{i}")).alias(f"a{i}") for i in range(d)]
+    aggs += [F.covar_pop(f"x{i}", f"x{k}").alias(f"c{i}_{k}") for i in range(d) for k in range(i, d)]
+    most = max(1, PATTERN_DOUBLES // (d * d))
+    rows = narrow.groupBy("pattern").agg(*aggs).limit(most + 1).collect()
+    return _Patterns(rows, d) if len(rows) <= most else None
+
+
+def _changes(df: DataFrame, cols: list[str], means, steps: list[dict], rounds: int) -> list[float]:
+    """Largest change of a row in each round, ``max_i sum_j |x_ij - prev_ij|``:
+    one scan replays all rounds, a batch of rows at a time, and each task
+    returns one row."""
+    d = len(cols)
+    narrow = df.select(*[missing_safe(df, c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    first = np.array(means, dtype=float)
+    plan = [(st["round"] - 1, st["feature"], st["others"], np.array(st["coef"]), st["intercept"]) for st in steps]
+
+    def task(batches):
+        most = np.zeros(rounds)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            X = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(d)], axis=1)
+            missing = np.isnan(X)
+            some = missing.any(axis=1)
+            X, missing = X[some], missing[some]
+            X = np.where(missing, first, X)
+            rows = [np.flatnonzero(missing[:, j]) for j in range(d)]
+            before, now = X.copy(), 0
+            for r, j, others, coef, intercept in plan:
+                if r != now:
+                    most[now] = max(most[now], np.abs(X - before).sum(axis=1).max(initial=0.0))
+                    before, now = X.copy(), r
+                X[rows[j], j] = intercept + X[rows[j]][:, others] @ coef
+            most[now] = max(most[now], np.abs(X - before).sum(axis=1).max(initial=0.0))
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in most], names=[f"r{r}" for r in range(rounds)])
+
+    per_task = narrow.mapInArrow(task, ", ".join(f"r{r} double" for r in range(rounds)))
+    row = per_task.agg(*[F.max(f"r{r}").alias(f"r{r}") for r in range(rounds)]).first()
+    return [row[f"r{r}"] or 0.0 for r in range(rounds)]
+
+
 def fit_mice(df: DataFrame, columns: Sequence[str], max_iter: int = 10, tol: float = 1e-3, lineage_limit: int = 120) -> dict:
-    """Fit chained regressions; the state replays on any table."""
+    """Fit chained regressions; the state replays on any table.
+
+    Two scans, whatever the number of rounds and columns: the moments of each
+    missing pattern, from which all rounds are solved on the driver
+    (:class:`_Patterns`), and the rows' changes by round, which tell the round
+    to stop after. Only if the patterns are too many for the driver are the
+    regressions aggregated from the rows (:func:`_fit_by_rows`).
+    """
     cols = list(columns)
     d = len(cols)
+    patterns = _patterns(df, cols) if d else None
+    if d and patterns is None:
+        return _fit_by_rows(df, cols, max_iter, tol, lineage_limit)
+    means = patterns.column_means() if d else []
+    nmiss = patterns.missing_counts() if d else []
+    state = {"columns": cols, "means": means, "steps": [], "n_iter": 0}
+    if d <= 1 or max_iter < 1 or all(m == 0 for m in nmiss) or any(m is None for m in means):
+        return state
+    order = sorted(range(d), key=lambda i: (nmiss[i], i))
+    patterns.start(means)
+    steps = []
+    for rnd in range(1, max_iter + 1):
+        for j in order:
+            others, coef, intercept = _regress(*patterns.moments(j), j)
+            steps.append({"round": rnd, "feature": j, "others": others, "coef": coef.tolist(), "intercept": float(intercept)})
+            patterns.regress(j, others, coef, float(intercept))
+    changes = _changes(df, cols, means, steps, max_iter)
+    norm_tol = tol * patterns.largest
+    state["n_iter"] = next((r for r, change in enumerate(changes, 1) if change < norm_tol), max_iter)
+    state["steps"] = [st for st in steps if st["round"] <= state["n_iter"]]
+    return state
+
+
+def _fit_by_rows(df: DataFrame, cols: list[str], max_iter: int, tol: float, lineage_limit: int) -> dict:
+    """The same regressions from the rows, one aggregate for each feature and
+    round, for tables with more missing patterns than the driver may hold."""
+    d = len(cols)
     safe = {c: missing_safe(df, c).cast("double") for c in cols}
     stats = df.agg(
         *[F.avg(safe[c]).alias(f"mean{i}") for i, c in enumerate(cols)],

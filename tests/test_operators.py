@@ -160,6 +160,50 @@ def test_mice_matches_bruteforce(spark):
     assert np.allclose(np.array([tuple(r) for r in got]), want, rtol=1e-6, atol=1e-6)
 
 
+def test_mice_scans_do_not_grow_with_rounds_or_columns(spark, monkeypatch):
+    """All rounds come from the patterns' moments; a large offset costs no
+    digits; the way through the rows gives the same regressions."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n, d = 400, 5
+    X = rng.normal(0, 1, (n, d)) @ rng.normal(0, 1, (d, d)) + np.array([0, 1e6, -5, 3, 100])
+    holes = rng.random((n, d)) < 0.15
+    X[holes] = np.nan
+    X[0] = np.nan  # a row without any value
+    cols = [f"c{i}" for i in range(d)]
+    rows_ = [(i, *[None if np.isnan(v) else float(v) for v in X[i]]) for i in range(n)]
+    df = spark.createDataFrame(rows_, "id int, " + ", ".join(f"{c} double" for c in cols)).repartition(5)
+    scans = []
+    first = type(df).first
+    collect = type(df).collect
+    monkeypatch.setattr(type(df), "first", lambda self: scans.append(1) or first(self))
+    monkeypatch.setattr(type(df), "collect", lambda self: scans.append(1) or collect(self))
+    states = [impute.fit_mice(df, cols, max_iter=m, tol=1e-12) for m in (2, 9)]
+    assert [s["n_iter"] for s in states] == [2, 9]
+    by_fit = len(scans) / 2
+    assert by_fit <= 4  # first() collects: two jobs a fit
+    rows_state = impute._fit_by_rows(df, cols, 2, 1e-12, 120)
+    monkeypatch.undo()
+    for a, b in zip(states[0]["steps"], rows_state["steps"], strict=True):
+        assert (a["round"], a["feature"], a["others"]) == (b["round"], b["feature"], b["others"])
+        assert np.allclose(a["coef"], b["coef"], rtol=1e-6, atol=1e-8)
+    got = impute.apply_mice(df, states[1]).orderBy("id").select(*cols).collect()
+    assert np.allclose(np.array([tuple(r) for r in got]), _numpy_mice(X, 9, 1e-12), rtol=1e-6, atol=1e-5)
+    # more patterns than may be held: the rows' way, the same fills
+    monkeypatch.setattr(impute, "PATTERN_DOUBLES", 25)
+    other = impute.fit_mice(df, cols, max_iter=2, tol=1e-12)
+    assert np.allclose(other["steps"][-1]["coef"], states[0]["steps"][-1]["coef"], rtol=1e-6, atol=1e-8)
+
+
+def test_mice_of_empty_and_complete_tables(spark):
+    empty = spark.createDataFrame([], "a double, b double")
+    assert impute.fit_mice(empty, ["a", "b"])["steps"] == []
+    full = spark.createDataFrame([(1.0, 2.0), (3.0, 4.0)], "a double, b double")
+    assert impute.fit_mice(full, ["a", "b"])["steps"] == []
+    assert impute.fit_mice(full, []) == {"columns": [], "means": [], "steps": [], "n_iter": 0}
+
+
 def test_one_hot_eager_and_topk(spark):
     df = spark.createDataFrame([("a",), ("b",), ("b",), ("c",), (None,)], "c string")
     out = encode.one_hot(df, ["c"]).df
