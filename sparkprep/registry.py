@@ -654,10 +654,95 @@ def q_imp_mice1(spark, sf):
     return out.select("c_custkey", r6("c_acctbal").alias("c_acctbal"))
 
 
-@query("impute_mice_multi_lineitem")
+def _mice_pair_sql():
+    """Chained Bayesian-ridge regressions of two columns as one recursion over
+    the sums of the three missing patterns that have an observed value (``b``
+    both, ``q`` only the quantity, ``p`` only the price). A row of the
+    recursion is a set-up (``it`` -1), an evidence iteration or a finished
+    regression (``done``). Fills: q = aq + bq p, p = ap + bp q, and (uq, up)
+    where both are missing."""
+    # the feature of turn 0 is the one with fewer missing values
+    t = {
+        "y": lambda col: f"CASE WHEN on_q THEN q_{col} ELSE p_{col} END",
+        "fa": "CASE WHEN on_q THEN ap ELSE aq END",
+        "fb": "CASE WHEN on_q THEN bp ELSE bq END",
+    }
+    return (
+        cte("dirty_lineitem").replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
+        + f""",
+x AS (SELECT l_quantity AS q, l_extendedprice AS p FROM dirty_lineitem),
+sums AS (SELECT
+  avg(q) AS mq, avg(p) AS mp, count(*) - count(q) <= count(*) - count(p) AS q_first,
+  0.001 * greatest(max(abs(q)), max(abs(p))) AS tol,
+  count(*) FILTER (q IS NOT NULL AND p IS NOT NULL) AS b_n,
+  avg(q) FILTER (p IS NOT NULL) AS b_q, avg(p) FILTER (q IS NOT NULL) AS b_p,
+  regr_syy(q, p) AS b_qq, regr_sxx(q, p) AS b_pp, regr_sxy(q, p) AS b_qp,
+  count(q) FILTER (p IS NULL) AS q_n, coalesce(avg(q) FILTER (p IS NULL), 0) AS q_m,
+  coalesce(var_pop(q) FILTER (p IS NULL), 0) * q_n AS q_s, coalesce(min(q) FILTER (p IS NULL), 0) AS q_lo, coalesce(max(q) FILTER (p IS NULL), 0) AS q_hi,
+  count(p) FILTER (q IS NULL) AS p_n, coalesce(avg(p) FILTER (q IS NULL), 0) AS p_m,
+  coalesce(var_pop(p) FILTER (q IS NULL), 0) * p_n AS p_s, coalesce(min(p) FILTER (q IS NULL), 0) AS p_lo, coalesce(max(p) FILTER (q IS NULL), 0) AS p_hi
+ FROM x),
+fit AS (
+ SELECT 1 AS rnd, 0 AS turn, -1 AS it, FALSE AS done, FALSE AS stop,
+  0::DOUBLE AS n, 0::DOUBLE AS my, 0::DOUBLE AS mx, 0::DOUBLE AS sxx, 0::DOUBLE AS sxy, 0::DOUBLE AS syy,
+  0::DOUBLE AS alpha, 0::DOUBLE AS lam, 0::DOUBLE AS coef,
+  mq AS aq, 0::DOUBLE AS bq, mp AS ap, 0::DOUBLE AS bp, mq AS uq, mp AS up,
+  mq AS aq0, 0::DOUBLE AS bq0, mp AS ap0, 0::DOUBLE AS bp0, mq AS uq0, mp AS up0 FROM sums
+ UNION ALL
+ SELECT rnd1, turn1, it1, done1, stop1, n1, my1, mx1, sxx1, sxy1, syy1, alpha1, lam1, coef1, aq1, bq1, ap1, bp1, uq1, up1,
+  CASE WHEN rnd1 > rnd THEN aq1 ELSE aq0 END, CASE WHEN rnd1 > rnd THEN bq1 ELSE bq0 END,
+  CASE WHEN rnd1 > rnd THEN ap1 ELSE ap0 END, CASE WHEN rnd1 > rnd THEN bp1 ELSE bp0 END,
+  CASE WHEN rnd1 > rnd THEN uq1 ELSE uq0 END, CASE WHEN rnd1 > rnd THEN up1 ELSE up0 END
+ FROM (
+  SELECT *,
+   -- one evidence iteration, or the closing solution
+   sxy / (sxx + lam / alpha) AS c,
+   greatest(syy - 2 * c * sxy + c * sxx * c, 0) AS rmse,
+   alpha * sxx / (lam + alpha * sxx) AS gamma,
+   (gamma + 2e-6) / (c * c + 2e-6) AS lam_next,
+   (n - gamma + 2e-6) / (rmse + 2e-6) AS alpha_next,
+   it >= 0 AND NOT done AS iterates, it >= 0 AND done AS closes,
+   CASE WHEN iterates THEN it = 299 OR (it > 0 AND abs(coef - c) < 1e-3) ELSE FALSE END AS done1,
+   CASE WHEN it = -1 THEN n_s ELSE n END AS n1, CASE WHEN it = -1 THEN my_s ELSE my END AS my1, CASE WHEN it = -1 THEN mx_s ELSE mx END AS mx1,
+   CASE WHEN it = -1 THEN sxx_s ELSE sxx END AS sxx1, CASE WHEN it = -1 THEN sxy_s ELSE sxy END AS sxy1, CASE WHEN it = -1 THEN syy_s ELSE syy END AS syy1,
+   CASE WHEN it = -1 THEN 1 / (syy_s / n_s + 2.220446049250313e-16) WHEN iterates THEN alpha_next ELSE alpha END AS alpha1,
+   CASE WHEN it = -1 THEN 1 WHEN iterates THEN lam_next ELSE lam END AS lam1,
+   CASE WHEN iterates THEN c ELSE coef END AS coef1,
+   my - mx * c AS cut,
+   CASE WHEN closes AND on_q THEN cut ELSE aq END AS aq1, CASE WHEN closes AND on_q THEN c ELSE bq END AS bq1,
+   CASE WHEN closes AND NOT on_q THEN cut ELSE ap END AS ap1, CASE WHEN closes AND NOT on_q THEN c ELSE bp END AS bp1,
+   CASE WHEN closes AND on_q THEN cut + c * up ELSE uq END AS uq1, CASE WHEN closes AND NOT on_q THEN cut + c * uq ELSE up END AS up1,
+   -- the change of a row is convex in its observed value, so largest at an end
+   greatest(abs(aq1 - aq0 + (bq1 - bq0) * p_lo), abs(aq1 - aq0 + (bq1 - bq0) * p_hi),
+            abs(ap1 - ap0 + (bp1 - bp0) * q_lo), abs(ap1 - ap0 + (bp1 - bp0) * q_hi), abs(uq1 - uq0) + abs(up1 - up0)) AS change,
+   closes AND turn = 1 AS ends,
+   ends AND (rnd = 10 OR change < tol) AS stop1,
+   CASE WHEN ends AND NOT stop1 THEN rnd + 1 ELSE rnd END AS rnd1,
+   CASE WHEN closes THEN 1 - turn ELSE turn END AS turn1,
+   CASE WHEN closes THEN -1 ELSE it + 1 END AS it1
+  FROM (
+   SELECT *, fa + fb * o_m AS f_m, b_n + o_n AS n_s,
+    (b_n * b_y + o_n * o_m) / n_s AS my_s, (b_n * b_x + o_n * f_m) / n_s AS mx_s,
+    b_xx + b_n * (b_x - mx_s) ** 2 + fb * fb * o_s + o_n * (f_m - mx_s) ** 2 AS sxx_s,
+    b_qp + b_n * (b_x - mx_s) * (b_y - my_s) + fb * o_s + o_n * (f_m - mx_s) * (o_m - my_s) AS sxy_s,
+    b_yy + b_n * (b_y - my_s) ** 2 + o_s + o_n * (o_m - my_s) ** 2 AS syy_s
+   FROM (
+    SELECT *, (turn = 0) = q_first AS on_q,
+     {t['y']('n')} AS o_n, {t['y']('m')} AS o_m, {t['y']('s')} AS o_s, {t['fa']} AS fa, {t['fb']} AS fb,
+     CASE WHEN on_q THEN b_q ELSE b_p END AS b_y, CASE WHEN on_q THEN b_p ELSE b_q END AS b_x,
+     CASE WHEN on_q THEN b_qq ELSE b_pp END AS b_yy, CASE WHEN on_q THEN b_pp ELSE b_qq END AS b_xx
+    FROM fit, sums WHERE NOT stop))))
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+ round(coalesce(l_quantity, CASE WHEN l_extendedprice IS NULL THEN uq ELSE aq + bq * l_extendedprice END), 6) AS l_quantity,
+ round(coalesce(l_extendedprice, CASE WHEN l_quantity IS NULL THEN up ELSE ap + bp * l_quantity END), 6) AS l_extendedprice
+FROM dirty_lineitem, (SELECT * FROM fit WHERE stop)"""
+    )
+
+
+@query("impute_mice_multi_lineitem", _mice_pair_sql())
 def q_imp_mice(spark, sf):
-    """O33 chained-regression (MICE) imputation over two numeric columns;
-    no SQL oracle (iterative), checked against numpy in tests."""
+    """O33 chained-regression (MICE) imputation over two numeric columns; the
+    oracle solves it over the sums of the missing patterns."""
     out = impute.handle_missing(dirty(spark, sf, "dirty_lineitem"), ["l_quantity", "l_extendedprice"]).df
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r6("l_quantity").alias("l_quantity"), r6("l_extendedprice").alias("l_extendedprice"))
 
