@@ -82,7 +82,7 @@ def to_double(text: Column) -> Column:
 def canonical(value: Column, dt: T.DataType) -> Column:
     """A key that can be grouped and is equal for equal values of any type: NaN is missing, a map's entries are sorted."""
     if is_float(dt):
-        return F.when(~F.isnan(value), value)
+        return F.when(~F.isnan(value), value + F.lit(0))  # -0.0 becomes 0.0
     if isinstance(dt, T.ArrayType):
         return F.transform(value, lambda v: canonical(v, dt.elementType))
     if isinstance(dt, T.StructType):
@@ -91,3 +91,23 @@ def canonical(value: Column, dt: T.DataType) -> Column:
         entries = F.transform(F.map_entries(value), lambda e: F.struct(canonical(e["key"], dt.keyType).alias("k"), canonical(e["value"], dt.valueType).alias("v")))
         return F.array_sort(entries)
     return value
+
+
+def is_nested(dt: T.DataType) -> bool:
+    return isinstance(dt, (T.ArrayType, T.StructType, T.MapType))
+
+
+def text_key(value: Column, dt: T.DataType) -> Column:
+    """A text that is equal exactly for equal values of one type, null where
+    the value is missing: bytes as hexadecimal digits, nested values as JSON
+    of their canonical form with all fields and whole timestamps, all others
+    as Spark writes them (decimals with all digits)."""
+    if is_nested(dt):
+        whole = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+        options = {"ignoreNullFields": "false", "timestampFormat": whole, "timestampNTZFormat": whole}
+        return F.when(value.isNotNull(), F.to_json(canonical(value, dt), options))
+    if isinstance(dt, T.BinaryType):
+        return F.hex(value)
+    if is_float(dt):
+        value = canonical(value, dt)
+    return value.cast("string")

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkprep.functions.missing import (
+    canonical,
     field_type,
     is_float,
     is_missing,
@@ -33,6 +34,7 @@ from sparkprep.functions.missing import (
     is_text,
     missing_safe,
     qcol,
+    text_key,
 )
 from sparkprep.operators.quantiles import HOLD, CountedValues, RawRows, as_table, select
 
@@ -62,10 +64,12 @@ def value_counts_long(df: DataFrame, cols: Sequence[str] | None = None) -> DataF
 
     Returns ``(column string, value string, num double, cnt bigint)``;
     ``num`` is the numeric value for numeric columns, else null. Rows are
-    grouped on typed keys (integral / floating / text), so numbers are
+    grouped on typed keys (integral / floating / text), so these numbers are
     turned into strings only once per distinct value, after the shuffle.
+    Decimals keep all their digits in ``value`` (``num`` is the nearest
+    double); binary and nested values are counted by ``text_key``.
     """
-    cols = list(cols) if cols is not None else atomic_columns(df)
+    cols = list(cols) if cols is not None else df.columns
     schema = T.StructType(
         [
             T.StructField("column", T.StringType()),
@@ -84,10 +88,12 @@ def value_counts_long(df: DataFrame, cols: Sequence[str] | None = None) -> DataF
         sval = F.lit(None).cast("string")
         if isinstance(dt, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
             ival = qcol(c).cast("bigint")
+        elif isinstance(dt, T.DecimalType):
+            sval, dval = qcol(c).cast("string"), qcol(c).cast("double")
         elif is_numeric(dt):
             dval = missing_safe(df, c).cast("double")
         else:
-            sval = qcol(c).cast("string")
+            sval = text_key(qcol(c), dt)
         items.append(F.struct(F.lit(c).alias("column"), sval.alias("s"), ival.alias("i"), dval.alias("d")))
     long = (
         df.select(F.explode(F.array(*items)).alias("kv"))
@@ -278,7 +284,7 @@ def profile(
     values as strings), is_numeric, is_text_like, is_constant, num_min,
     num_max, num_mean (6 dp), num_median (6 dp).
     """
-    cols = atomic_columns(df)
+    cols = df.columns
     sub = df.select(*[qcol(c) for c in cols])
     if approx:
         return _profile_approx(sub, cols, max_example_values)
@@ -323,6 +329,10 @@ def profile(
     )
 
 
+def _hashable(df: DataFrame, c: str) -> Column:
+    return canonical(qcol(c), field_type(df, c))
+
+
 def _profile_approx(sub: DataFrame, cols: Sequence[str], k: int, accuracy: int = 10000) -> DataFrame:
     """Scale mode: no full value-count shuffle. One wide aggregate gives
     missing counts, HyperLogLog distinct counts, min/max/mean and
@@ -333,12 +343,12 @@ def _profile_approx(sub: DataFrame, cols: Sequence[str], k: int, accuracy: int =
         dt = field_type(sub, c)
         x = missing_safe(sub, c)
         num = is_numeric(dt)
-        xd = x.cast("double")
+        xd = x.cast("double") if num else F.lit(None).cast("double")
         items.append(
             F.struct(
                 F.lit(c).alias("column"),
                 F.count_if(is_missing(sub, c)).alias("missing_count"),
-                F.approx_count_distinct(x).alias("n_unique"),
+                F.approx_count_distinct(_hashable(sub, c)).alias("n_unique"),
                 (F.min(xd) if num else F.lit(None).cast("double")).alias("num_min"),
                 (F.max(xd) if num else F.lit(None).cast("double")).alias("num_max"),
                 (F.round(F.avg(xd), 6) if num else F.lit(None).cast("double")).alias("num_mean"),
@@ -353,7 +363,7 @@ def _profile_approx(sub: DataFrame, cols: Sequence[str], k: int, accuracy: int =
                 *[
                     F.struct(
                         F.lit(c).alias("column"),
-                        F.when(~is_missing(sub, c), qcol(c).cast("string")).alias("value"),
+                        text_key(missing_safe(sub, c), field_type(sub, c)).alias("value"),
                         (missing_safe(sub, c).cast("double") if is_numeric(field_type(sub, c)) else F.lit(None).cast("double")).alias("num"),
                     )
                     for c in cols
@@ -447,24 +457,19 @@ def missing_count_exprs(df: DataFrame, cols: Iterable[str] | None = None) -> lis
 def overview(df: DataFrame) -> DataFrame:
     """Rows, columns, total missing cells, duplicate rows, text columns.
 
-    One shuffle: rows are grouped on all columns (partial aggregation
-    collapses copies map-side); totals are summed over the groups.
+    One shuffle: rows are grouped on canonical keys of all columns, nested
+    ones included (partial aggregation collapses copies map-side); totals are
+    summed over the groups.
     """
-    cols = atomic_columns(df)
-    miss_row = sum((is_missing(df, c).cast("long") for c in cols), F.lit(0).cast("long"))
-    grouped = df.select(*[missing_safe(df, c).alias(c) for c in cols]).groupBy(*[qcol(c) for c in cols]).agg(F.count(F.lit(1)).alias("__n"))
+    keys = [canonical(qcol(c), field_type(df, c)).alias(f"k{i}") for i, c in enumerate(df.columns)]
+    missing = sum((F.col(f"k{i}").isNull().cast("long") for i in range(len(keys))), F.lit(0).cast("long"))
     n_text = sum(1 for c in df.columns if is_text(field_type(df, c)))
-    other_missing = [c for c in df.columns if c not in cols]  # nested columns: null check only
-    extra = sum((qcol(c).isNull().cast("long") for c in other_missing), F.lit(0).cast("long"))
-    if other_missing:
-        base = df.agg(F.sum(extra).alias("x")).first()["x"] or 0
-    else:
-        base = 0
+    grouped = df.select(*keys).groupBy(*[f"k{i}" for i in range(len(keys))]).agg(F.count(F.lit(1)).alias("n"))
     return grouped.agg(
-        F.coalesce(F.sum("__n"), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
         F.lit(len(df.columns)).alias("columns"),
-        (F.coalesce(F.sum(F.col("__n") * miss_row), F.lit(0)) + F.lit(base)).alias("total_missing"),
-        (F.coalesce(F.sum("__n"), F.lit(0)) - F.count(F.lit(1))).alias("duplicate_rows"),
+        F.coalesce(F.sum(F.col("n") * missing), F.lit(0)).alias("total_missing"),
+        (F.coalesce(F.sum("n"), F.lit(0)) - F.count(F.lit(1))).alias("duplicate_rows"),
         F.lit(n_text).alias("categorical_columns"),
     )
 
@@ -477,13 +482,13 @@ def column_types(
     ``approx=True`` is one pass without a shuffle of values: missing counts
     stay exact, ``n_unique`` is a HyperLogLog estimate with relative
     standard deviation ``rsd``."""
-    cols = atomic_columns(df)
+    cols = df.columns
     if approx:
         items = [
             F.struct(
                 F.lit(c).alias("column"),
                 F.count_if(is_missing(df, c)).alias("missing"),
-                F.approx_count_distinct(missing_safe(df, c), rsd).alias("nu"),
+                F.approx_count_distinct(_hashable(df, c), rsd).alias("nu"),
                 F.count(F.lit(1)).alias("n"),
             )
             for c in cols
@@ -521,7 +526,7 @@ def describe(df: DataFrame, quantile_method: str = "exact") -> DataFrame:
     """``describe(include="all")`` in long form: count, unique, top, freq
     (text/other columns), mean, std (ddof 1), min, q25, q50, q75, max
     (numeric columns)."""
-    cols = atomic_columns(df)
+    cols = df.columns
     sub = df.select(*[qcol(c) for c in cols])
     num_cols = [c for c in cols if is_numeric(field_type(df, c))]
     vc = value_counts_long(sub, cols).persist(StorageLevel.MEMORY_AND_DISK)

@@ -140,6 +140,73 @@ def q_overview_li(spark, sf):
     return profile.overview(dirty(spark, sf, "dirty_lineitem"))
 
 
+# =========================================== columns of any type
+_NESTED_DUCK = """WITH nested AS (SELECT embedding, [label, NULL, label % 3] AS codes,
+ CASE WHEN vec_id % 5 = 0 THEN NULL ELSE {'a': label % 3, 'b': CASE WHEN vec_id % 2 = 0 THEN 'x' END} END AS pair,
+ MAP {'l': label, 'm': 1} AS entries, CAST(9007199254740992 + label % 2 AS DECIMAL(20, 0)) AS big,
+ CASE WHEN vec_id % 7 = 0 THEN NULL ELSE label / 4.0::DOUBLE END AS share FROM embeddings)
+"""
+_NESTED_COLS = ["embedding", "codes", "pair", "entries", "big", "share"]
+
+
+def _nested(spark, sf):
+    """Arrays with nulls, structs, maps (entries in either order), decimals
+    beyond 2^53 and NaN, from the embeddings."""
+    e = table(spark, sf, "embeddings")
+    lab = F.col("label").cast("long")
+    lm = [F.lit("l"), lab, F.lit("m"), F.lit(1).cast("long")]
+    return e.select(
+        "embedding",
+        F.array(lab, F.lit(None).cast("long"), lab % 3).alias("codes"),
+        F.when(F.col("vec_id") % 5 != 0, F.struct((lab % 3).alias("a"), F.when(F.col("vec_id") % 2 == 0, "x").alias("b"))).alias("pair"),
+        F.when(F.col("vec_id") % 3 == 0, F.create_map(*lm)).otherwise(F.create_map(*lm[2:], *lm[:2])).alias("entries"),
+        (F.lit(9007199254740992).cast("decimal(20,0)") + (lab % 2).cast("decimal(1,0)")).cast("decimal(20,0)").alias("big"),
+        F.when(F.col("vec_id") % 7 == 0, F.lit(float("nan"))).otherwise(lab / F.lit(4.0)).alias("share"),
+    )
+
+
+@query(
+    "column_types_nested_embeddings",
+    _NESTED_DUCK
+    + "\nUNION ALL\n".join(
+        f"SELECT {i} AS position, '{c}' AS \"column\", count(*) - count({c}) AS missing, "
+        f"round(100.0 * (count(*) - count({c})) / count(*), 1) AS missing_pct, count(DISTINCT {c}) AS n_unique FROM nested"
+        for i, c in enumerate(_NESTED_COLS)
+    ),
+)
+def q_types_nested(spark, sf):
+    """O7 (and V1) over array, struct, map, decimal and NaN columns."""
+    return profile.column_types(_nested(spark, sf)).drop("dtype")
+
+
+@query(
+    "overview_nested_embeddings",
+    _NESTED_DUCK
+    + """SELECT count(*) AS rows, 5 AS columns,
+ CAST(sum((pair IS NULL)::BIGINT + (share IS NULL)::BIGINT) AS BIGINT) AS total_missing,
+ count(*) - (SELECT count(*) FROM (SELECT DISTINCT codes, pair, entries, big, share FROM nested)) AS duplicate_rows,
+ 0 AS categorical_columns FROM nested""",
+)
+def q_overview_nested(spark, sf):
+    """O6 with rows that differ, or agree, in nested columns only."""
+    return profile.overview(_nested(spark, sf).drop("embedding"))
+
+
+@query(
+    "constant_nested_embeddings",
+    _NESTED_DUCK
+    + "\nUNION ALL\n".join(
+        f"SELECT {i} AS position, '{c}' AS \"column\", n AS n_distinct, round(top, 6) AS top_ratio, n <= 1 AS is_constant, "
+        f"n > 1 AND top >= 0.98 AS is_near_constant FROM (SELECT count(*) AS n, max(k) / sum(k) AS top FROM "
+        f"(SELECT {c}, count(*) AS k FROM nested WHERE {c} IS NOT NULL GROUP BY {c}))"
+        for i, c in enumerate(_NESTED_COLS)
+    ),
+)
+def q_constant_nested(spark, sf):
+    """P2 over columns of any type: two decimals beyond 2^53 are two values."""
+    return quality.constant_columns(_nested(spark, sf), near_constant_threshold=0.98).withColumn("top_ratio", r6("top_ratio"))
+
+
 # ====================================================================== O7
 CUST_COLS = [("c_custkey", 0), ("Customer Name", 1), ("Nation-Key", 2), ("c_acctbal", 3), ("c_mktsegment", 4)]
 

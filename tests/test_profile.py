@@ -99,3 +99,29 @@ def test_column_types_approx_close_to_exact(spark):
         assert approx[c]["missing"] == r["missing"] and approx[c]["missing_pct"] == r["missing_pct"]
         # within three standard deviations of the configured accuracy
         assert abs(approx[c]["n_unique"] - r["n_unique"]) <= max(2, 3 * rsd * r["n_unique"])
+
+
+def test_profiles_of_every_column_type(spark):
+    """Decimals keep their digits; NaN is missing inside arrays; maps compare
+    as sets of entries; nested timestamps to the microsecond; bytes count."""
+    df = spark.sql(
+        """SELECT * FROM VALUES
+        (CAST(9007199254740992 AS DECIMAL(20,0)), array(1.0D, double('NaN')), map('a', 1, 'b', 2), X'00FF', named_struct('t', TIMESTAMP'2020-01-01 00:00:00.000001', 'n', CAST(NULL AS INT)), -0.0D),
+        (CAST(9007199254740993 AS DECIMAL(20,0)), array(1.0D, CAST(NULL AS DOUBLE)), map('b', 2, 'a', 1), X'00FE', named_struct('t', TIMESTAMP'2020-01-01 00:00:00.000002', 'n', CAST(NULL AS INT)), 0.0D),
+        (NULL, NULL, NULL, NULL, NULL, double('NaN')) AS t(d, a, m, b, s, z)"""
+    )
+    got = {r["column"]: (r["missing_count"], r["n_unique"], r["is_constant"]) for r in P.profile(df).collect()}
+    assert got == {"d": (1, 2, False), "a": (1, 1, True), "m": (1, 1, True), "b": (1, 2, False), "s": (1, 2, False), "z": (1, 1, True)}
+    samples = {r["column"]: r["sample_values"] for r in P.profile(df).collect()}
+    assert samples["d"] == ["9007199254740992", "9007199254740993"] and samples["b"] == ["00FE", "00FF"]
+    near = {r["column"]: (r["missing_count"], r["n_unique"]) for r in P.profile(df, approx=True).collect()}
+    assert near == {c: v[:2] for c, v in got.items()}
+    types = {r["column"]: (r["missing"], r["n_unique"]) for r in P.column_types(df).collect()}
+    assert types == near and types == {r["column"]: (r["missing"], r["n_unique"]) for r in P.column_types(df, approx=True).collect()}
+    assert {r["column"]: r["count"] for r in P.describe(df).collect()} == dict.fromkeys("dambsz", 2)
+    o = P.overview(df.select("a", "m", "z")).first()
+    assert (o["rows"], o["duplicate_rows"], o["total_missing"]) == (3, 1, 3)
+    from sparkprep.operators import quality
+
+    flags = {r["column"]: r["is_constant"] for r in quality.constant_columns(df).collect()}
+    assert flags == {c: v[2] for c, v in got.items()}
