@@ -990,9 +990,22 @@ def q_bin_oh(spark, sf):
     return features.apply_bin_numeric(p, st)
 
 
-@query("bin_kmeans_orders")
+@query(
+    "bin_kmeans_orders",
+    """WITH RECURSIVE x AS (SELECT o_totalprice AS v FROM orders), b AS (SELECT min(v) AS lo, max(v) AS hi, 0.0001 * var_pop(v) AS tol FROM x),
+lloyd AS (
+ SELECT 1 AS it, FALSE AS stop, lo + (hi - lo) / 8 AS c0, lo + 3 * (hi - lo) / 8 AS c1, lo + 5 * (hi - lo) / 8 AS c2, lo + 7 * (hi - lo) / 8 AS c3 FROM b
+ UNION ALL
+ SELECT it + 1, it = 300 OR (n0 - c0) ** 2 + (n1 - c1) ** 2 + (n2 - c2) ** 2 + (n3 - c3) ** 2 <= tol, n0, n1, n2, n3 FROM (
+  SELECT it, tol, c0, c1, c2, c3, coalesce(avg(v) FILTER (v <= (c0 + c1) / 2), c0) AS n0,
+   coalesce(avg(v) FILTER (v > (c0 + c1) / 2 AND v <= (c1 + c2) / 2), c1) AS n1,
+   coalesce(avg(v) FILTER (v > (c1 + c2) / 2 AND v <= (c2 + c3) / 2), c2) AS n2, coalesce(avg(v) FILTER (v > (c2 + c3) / 2), c3) AS n3
+  FROM lloyd, x, b WHERE NOT stop GROUP BY it, tol, c0, c1, c2, c3))
+SELECT o_orderkey, CAST((o_totalprice >= (c0 + c1) / 2)::INT + (o_totalprice >= (c1 + c2) / 2)::INT + (o_totalprice >= (c2 + c3) / 2)::INT AS DOUBLE) AS o_totalprice__bin
+FROM orders, (SELECT * FROM lloyd WHERE stop)""",
+)
 def q_bin_km(spark, sf):
-    """O40 k-means bins (1-D Lloyd iterations, one aggregate each)."""
+    """O40 k-means bins (Lloyd steps over cells of one scan)."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
     st = features.fit_bin_numeric(o, ["o_totalprice"], 4, "kmeans")
     return features.apply_bin_numeric(o, st)
@@ -1057,13 +1070,32 @@ def q_skew_log(spark, sf):
     return out.select(*[r6(F.col(c).cast("double")).alias(c) for c in ["event_id", "user_id", "value"]])
 
 
-@query("skew_yeo_johnson_events")
+@query(
+    "skew_yeo_johnson_events",
+    """WITH RECURSIVE u AS (SELECT value AS v, ln(1 + abs(value)) AS u FROM events WHERE value IS NOT NULL),
+skew AS (SELECT skewness(v) AS g, count(*) AS n, sum(sign(v) * u) AS s FROM u),
+-- halve a bracket by the sign of the likelihood's derivative; its points are neither 0 nor 2
+halve AS (
+ SELECT 0 AS it, -5.0::DOUBLE AS lo, 5.5::DOUBLE AS hi
+ UNION ALL
+ SELECT it + 1, CASE WHEN d > 0 THEN mid ELSE lo END, CASE WHEN d > 0 THEN hi ELSE mid END FROM (
+  SELECT it, lo, hi, mid, s - n * covar_pop(t, t1) / var_pop(t) AS d FROM (
+   SELECT *, CASE WHEN v >= 0 THEN g ELSE -g END AS t, (u * e - g) / p AS t1 FROM (
+    SELECT it, lo, hi, mid, n, s, v, u, p, exp(p * u) AS e, (exp(p * u) - 1) / p AS g FROM (
+     SELECT it, lo, hi, (lo + hi) / 2 AS mid, n, s, v, u, CASE WHEN v >= 0 THEN (lo + hi) / 2 ELSE 2 - (lo + hi) / 2 END AS p
+     FROM halve, skew, u WHERE it < 50)))
+  GROUP BY it, lo, hi, mid, n, s)),
+l AS (SELECT lo AS lam, n >= 10 AND abs(g) > 1 AS skewed FROM halve, skew WHERE it = 50)
+SELECT event_id, round(CASE WHEN NOT skewed THEN value WHEN value >= 0 THEN ((value + 1) ** lam - 1) / lam
+  ELSE -((1 - value) ** (2 - lam) - 1) / (2 - lam) END, 4) AS value FROM events, l""",
+)
 def q_skew_yj(spark, sf):
-    """O45 Yeo-Johnson on skewed columns; lambda by maximum likelihood
-    (grid refinement, one aggregate per round). Rows-only check."""
+    """O45 Yeo-Johnson on skewed columns; lambda by maximum likelihood (a
+    grid, then Newton steps). The oracle halves a bracket of the derivative;
+    values have 4 decimals, as lambda's last digits differ."""
     ev = table(spark, sf, "events").select("event_id", "value")
     st = features.fit_skewed(ev, method="yeo-johnson", columns=["value"])
-    return features.apply_skewed(ev, st).withColumn("value", r6("value"))
+    return features.apply_skewed(ev, st).withColumn("value", F.round("value", 4))
 
 
 @query(

@@ -271,3 +271,74 @@ def test_indicator_kept_when_source_absent(spark):
     df = spark.createDataFrame([(1, 1), (2, 0)], "k int, m_was_missing int")
     out = features.apply_missing_indicators(df, {"indicator_cols": ["m_was_missing"]})
     assert [tuple(r) for r in out.orderBy("k").collect()] == [(1, 1), (2, 0)]
+
+
+def _lloyd_brute(x, k, max_iter=300, tol=1e-4):
+    import numpy as np
+
+    edges = np.linspace(x.min(), x.max(), k + 1)
+    centers, tol = (edges[1:] + edges[:-1]) / 2, tol * x.var()
+    for _ in range(max_iter):
+        label = np.searchsorted((centers[1:] + centers[:-1]) / 2, x, side="left")
+        new = np.array([x[label == i].mean() if (label == i).any() else centers[i] for i in range(k)])
+        shift = ((new - centers) ** 2).sum()
+        centers = np.sort(new)
+        if shift <= tol:
+            break
+    return [x.min(), *((centers[1:] + centers[:-1]) / 2), x.max()]
+
+
+def test_kmeans_bins_match_bruteforce(spark, monkeypatch):
+    """Cells give the row-wise iterations' centres, however coarse the cells,
+    with a value that holds a third of the rows and an empty bin."""
+    import numpy as np
+
+    from sparkprep.operators import features as fe
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.lognormal(0, 1.5, 1200), np.full(700, 2.5), [500.0], rng.normal(40, 3, 200)])
+    df = spark.createDataFrame([(float(v),) for v in x], "x double").repartition(5)
+    want = {k: _lloyd_brute(x, k) for k in (2, 5, 8)}
+    for cells, sub in ((4096, 64), (7, 3)):
+        monkeypatch.setattr(fe, "CELLS", cells)
+        monkeypatch.setattr(fe, "SUBCELLS", sub)
+        for k in (2, 5, 8):
+            assert np.allclose(fe._kmeans_1d(df, "x", k, float(x.min()), float(x.max())), want[k], rtol=1e-9)
+    assert fe._kmeans_1d(spark.createDataFrame([(3.0,), (3.0,)], "x double"), "x", 3, 3.0, 3.0) == [3.0] * 4
+
+
+def test_yeo_johnson_lambda_is_the_likelihoods_maximum(spark):
+    """Against a fine search in numpy: negative values, a lambda beyond the
+    first grid, one near zero, a constant column."""
+    import numpy as np
+
+    from sparkprep.operators import features as fe
+
+    rng = np.random.default_rng(9)
+    cols = {
+        "a": rng.lognormal(0, 1, 600) - 0.5,
+        "b": -rng.lognormal(0, 0.8, 600),
+        "c": np.expm1(rng.normal(3, 0.5, 600)),
+        "d": 1 - rng.exponential(0.02, 600).clip(0, 0.9),
+        "e": np.full(600, 4.0),
+    }
+
+    def ll(x, lam):
+        u = np.log1p(np.abs(x))
+        p = np.where(x >= 0, lam, 2 - lam)
+        g = np.where(np.abs(p) < 1e-9, u, np.expm1(p * u) / np.where(np.abs(p) < 1e-9, 1, p))
+        t = np.where(x >= 0, g, -g)
+        if not 1e-300 < t.var() < np.inf:  # a power so far off that all values are one
+            return -np.inf
+        return -len(x) / 2 * np.log(t.var()) + (lam - 1) * (np.sign(x) * u).sum()
+
+    df = spark.createDataFrame([tuple(float(v) for v in row) for row in zip(*cols.values())], ", ".join(f"{c} double" for c in cols))
+    got = fe.fit_yeo_johnson_lambda(df, list(cols))
+    for c in "abcd":
+        lo, hi = -100.0, 100.0
+        for _ in range(12):
+            at = np.linspace(lo, hi, 41)
+            k = int(np.argmax([ll(cols[c], v) for v in at]))
+            lo, hi = at[max(k - 1, 0)], at[min(k + 1, 40)]
+        assert abs(got[c] - (lo + hi) / 2) < 1e-4, (c, got[c], lo)
+    assert got["e"] == 1.0 and got["d"] > 5
