@@ -70,15 +70,15 @@ def _apply_drop(df, st):
 
 
 def _fit_cast(df, params, tc, target):
-    cols = params.get("columns") or tc
-    p = {k: v for k, v in params.items() if k in {"dtype", "errors", "datetime_format"}}
-    st = {"columns": list(cols or []), "params": p}
-    return _apply_cast(df, st), st
+    cols = [c for c in params.get("columns") or tc or [] if c in df.columns]
+    if not cols:
+        return df, {"columns": []}
+    st = schema.fit_cast(df, cols, **{k: v for k, v in params.items() if k in {"dtype", "errors", "datetime_format"}})
+    return schema.apply_cast(df, st, strict=False), st
 
 
 def _apply_cast(df, st):
-    cols = [c for c in st["columns"] if c in df.columns]
-    return schema.cast_type(df, cols, **st["params"]).df if cols else df
+    return schema.apply_cast(df, st) if st["columns"] else df
 
 
 def _fit_missing(df, params, tc, target):

@@ -44,6 +44,41 @@ def test_streaming_matches_batch(spark, tmp_path):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
+def test_cast_plan_is_decided_at_fit_and_runs_on_a_stream(spark, tmp_path):
+    """``ignore`` keeps what it decided at fit, whatever comes later; a stream
+    goes through the plan; ``raise`` fails on a bad value of a later table."""
+    import pytest
+
+    from sparkprep.plans.cleaner import PlanCleaner, PlanModel
+    from sparkprep.plans.spec import Action, Plan
+    from sparkprep.streaming.apply import run_to_table
+
+    def table(rows):
+        return spark.createDataFrame(rows, "a string, b string, c string")
+
+    def plan(errors):
+        return Plan(actions=[Action("cast_type", params={"columns": ["a", "b"], "dtype": "int", "errors": errors}),
+                             Action("cast_type", params={"columns": ["c"], "dtype": "float", "errors": "coerce"})])
+
+    model = PlanCleaner(plan("ignore")).fit(table([("1", "x", "0.5"), ("2", "3", "?")]))
+    model.save(str(tmp_path / "model"))
+    later = table([("7", "8", "1.5"), ("bad", "9", None)])
+    later.write.parquet(str(tmp_path / "in"))
+    for m in (model, PlanModel.load(spark, str(tmp_path / "model"))):
+        out = m.transform(later)
+        assert out.dtypes == [("a", "bigint"), ("b", "string"), ("c", "double")]
+        assert sorted(map(tuple, out.collect()), key=str) == [(7, "8", 1.5), (None, "9", None)]
+    stream = spark.readStream.schema(later.schema).parquet(str(tmp_path / "in"))
+    got = run_to_table(model.transform(stream), str(tmp_path / "run"))
+    assert sorted(map(tuple, got.collect()), key=str) == [(7, "8", 1.5), (None, "9", None)]
+    with pytest.raises(RuntimeError, match="cannot be cast"):
+        PlanCleaner(plan("raise")).fit(later)
+    strict = PlanCleaner(plan("raise")).fit(table([("1", "2", "3")]))
+    assert [tuple(r) for r in strict.transform(table([("4", None, "x")])).collect()] == [(4, None, None)]
+    with pytest.raises(Exception, match="cannot be cast to int: bad"):
+        strict.transform(later).collect()
+
+
 def test_selection_is_bit_equal_for_any_partitioning_and_hold(spark, monkeypatch):
     import numpy as np
 
