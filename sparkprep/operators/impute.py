@@ -28,18 +28,17 @@ from pyspark.sql import functions as F
 
 from sparkprep.functions.missing import field_type, is_bool, is_missing, is_numeric, missing_safe, qcol
 from sparkprep.operators.base import Result, eager
-from sparkprep.operators.profile import modes, quantiles, value_counts_long
+from sparkprep.operators.heavy import top_counts
+from sparkprep.operators.profile import quantiles
 
 # ----------------------------------------------------------- categorical
 def fit_mode(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:
-    """Most frequent non-missing value per column (string, ties -> smallest)."""
+    """Most frequent non-missing value per column (string, ties -> smallest),
+    by heavy hitters: only nearly unique columns have all values counted."""
     if not columns:
         return {}
-    vc = value_counts_long(df, list(columns))
-    out: dict[str, str | None] = {c: None for c in columns}
-    for r in modes(vc).collect():
-        out[r["column"]] = r["mode"]
-    return out
+    found = {r["column"]: r["value"] for r in top_counts(df, columns).collect()}
+    return {c: found.get(c) for c in columns}
 
 
 def fill_values(df: DataFrame, fills: dict) -> DataFrame:
