@@ -450,19 +450,21 @@ def missing_count_exprs(df: DataFrame, cols: Iterable[str] | None = None) -> lis
 def overview(df: DataFrame) -> DataFrame:
     """Rows, columns, total missing cells, duplicate rows, text columns.
 
-    One shuffle: rows are grouped on canonical keys of all columns, nested
-    ones included (partial aggregation collapses copies map-side); totals are
-    summed over the groups.
+    One scan for the totals and one for fingerprints of the rows; only rows
+    with a repeated fingerprint are compared (nested columns included).
     """
-    keys = [canonical(qcol(c), field_type(df, c)).alias(f"k{i}") for i, c in enumerate(df.columns)]
-    missing = sum((F.col(f"k{i}").isNull().cast("long") for i in range(len(keys))), F.lit(0).cast("long"))
+    from sparkprep.operators.distinct import copies
+
     n_text = sum(1 for c in df.columns if is_text(field_type(df, c)))
-    grouped = df.select(*keys).groupBy(*[f"k{i}" for i in range(len(keys))]).agg(F.count(F.lit(1)).alias("n"))
-    return grouped.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+    missing = sum((is_missing(df, c).cast("long") for c in df.columns), F.lit(0).cast("long"))
+    totals = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(missing), F.lit(0)).alias("total_missing"))
+    more = copies(df).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
+    parts = totals.unionByName(more, allowMissingColumns=True)  # a row of each
+    return parts.agg(
+        F.max("rows").alias("rows"),
         F.lit(len(df.columns)).alias("columns"),
-        F.coalesce(F.sum(F.col("n") * missing), F.lit(0)).alias("total_missing"),
-        (F.coalesce(F.sum("n"), F.lit(0)) - F.count(F.lit(1))).alias("duplicate_rows"),
+        F.max("total_missing").alias("total_missing"),
+        F.max("duplicate_rows").alias("duplicate_rows"),
         F.lit(n_text).alias("categorical_columns"),
     )
 

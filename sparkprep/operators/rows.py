@@ -6,7 +6,8 @@ is a ``min`` / ``max`` over one struct (``order_by`` columns first, then the
 rest of the row as tie-break), or ``min_by`` / ``max_by`` when a column is
 not orderable; ``keep=none`` is a count plus ``any_value``. All have map-side
 partial aggregation, so a key holding a third of all rows is reduced before
-the shuffle.
+the shuffle. Whole rows are compared by fingerprints first
+(:mod:`sparkprep.operators.distinct`).
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkprep.functions.missing import canonical, field_type, is_missing, is_text, missing_safe, qcol
+from sparkprep.functions.missing import field_type, is_missing, is_text, missing_safe, qcol
 from sparkprep.operators.base import Result, lazy, require_columns
+from sparkprep.operators.distinct import distinct_rows
 from sparkprep.operators.profile import atomic_columns
 
 
@@ -72,10 +74,7 @@ def deduplicate(
     row = F.struct(*[qcol(c) for c in cols]).alias("__row")
 
     if subset is None:
-        whole = [canonical(qcol(c), field_type(df, c)).alias(f"__k{i}") for i, c in enumerate(cols)]
-        # keys are compared, the row comes back as it was
-        g = df.select(*whole, row).groupBy(*[f"__k{i}" for i in range(len(cols))]).agg(F.count(F.lit(1)).alias("__n"), F.any_value("__row").alias("__row"))
-        out = (g.filter(F.col("__n") == 1) if keep == "none" else g).select("__row.*")
+        out = distinct_rows(df, keep_copied=keep != "none")
         examples = None
     else:
         keys = _key_exprs(df, subset, case_insensitive)
