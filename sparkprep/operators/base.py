@@ -59,3 +59,13 @@ def require_columns(df: DataFrame, cols, op: str) -> None:
     missing = [c for c in cols if c not in df.columns]
     if missing:
         raise ValueError(f"{op}: column(s) {missing} do not exist")
+
+
+def needs_columns(op: str, columns) -> None:
+    if not columns or not isinstance(columns, (list, tuple)):
+        raise ValueError(f"{op} requires 'columns' as a non-empty list")
+
+
+def one_of(op: str, name: str, value, allowed) -> None:
+    if value not in allowed:
+        raise ValueError(f"{op} '{name}' must be one of: {' | '.join(map(str, allowed))}")

@@ -4,8 +4,8 @@ Category lists define the output schema, so they are fitted state held on
 the driver; their size is checked first (``max_categories`` for the eager
 one-hot, ``max_output_columns`` for the stage one-hot). Ordinal code tables
 above ``MAP_LIMIT`` entries stay DataFrames (built by a distributed dense
-rank) and are joined, with a broadcast hint only up to ``BROADCAST_ROWS``
-rows; smaller vocabularies become literal maps.
+rank), are written at fit and joined (:mod:`sparkprep.operators.lookup`);
+smaller vocabularies become literal maps.
 """
 
 from __future__ import annotations
@@ -16,12 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkprep.functions.missing import field_type, is_float, is_missing, is_text, qcol
-from sparkprep.operators.base import Result, eager, require_columns
+from sparkprep.operators.base import Result, eager, needs_columns, one_of, require_columns
+from sparkprep.operators.lookup import describe, freeze, is_frozen, look_up
 from sparkprep.operators.profile import value_counts_long
 from sparkprep.operators.schema import normalise_name
 
 MAP_LIMIT = 1000
-BROADCAST_ROWS = 1_000_000
 
 
 def _distinct_counts(vc: DataFrame) -> dict[str, int]:
@@ -82,6 +82,12 @@ def fit_one_hot(
     return state, warnings
 
 
+def _check(df: DataFrame, columns, handle_unknown: str) -> None:
+    needs_columns("encode_categorical", columns)
+    one_of("encode_categorical", "handle_unknown", handle_unknown, ("ignore", "error"))
+    require_columns(df, columns, "encode_categorical")
+
+
 def one_hot(
     df: DataFrame,
     columns: Sequence[str],
@@ -93,11 +99,7 @@ def one_hot(
     """Eager one-hot: ``col__cat`` indicator columns (bigint 0/1, null when
     the input is missing) appended after the remaining columns; originals
     dropped. An all-missing column is skipped with a warning."""
-    if not columns or not isinstance(columns, (list, tuple)):
-        raise ValueError("encode_categorical requires 'columns' as a non-empty list")
-    if handle_unknown not in {"ignore", "error"}:
-        raise ValueError("encode_categorical 'handle_unknown' must be 'ignore' or 'error'")
-    require_columns(df, columns, "encode_categorical")
+    _check(df, columns, handle_unknown)
     state, warnings = fit_one_hot(df, columns, max_categories, other_label)
     out = apply_one_hot(df, state, other_label, drop_first)
     created = [c for c in out.columns if c not in df.columns]
@@ -142,8 +144,8 @@ def _small_codes(vc: DataFrame, order: str) -> DataFrame:
 
 def fit_ordinal(df: DataFrame, columns: Sequence[str], order: str = "alphabetical", null_category: str | None = None):
     """Ordinal state: ``{col: {value: code}}`` for vocabularies up to
-    ``MAP_LIMIT`` values, else ``("table", code_df, size)`` where the code
-    table is built by a distributed dense rank (no single-task window)."""
+    ``MAP_LIMIT`` values, else a frozen table (:mod:`sparkprep.operators.lookup`)
+    whose codes come from a distributed dense rank (no single-task window)."""
     if order not in {"alphabetical", "frequency"}:
         raise ValueError("encode_categorical 'ordinal_order' must be 'alphabetical' or 'frequency'")
     vc = value_counts_long(df.select(*[as_string(df, c, null_category).alias(c) for c in columns]), list(columns))
@@ -160,8 +162,8 @@ def fit_ordinal(df: DataFrame, columns: Sequence[str], order: str = "alphabetica
 
         codes = dense_codes(vc.filter(F.col("column").isin(large)).select("column", "value", "cnt"), _order_keys(order))
         for c in large:
-            state[c] = ("table", codes.filter(F.col("column") == c).select("value", "code"), counts[c])
-    vc.unpersist()  # small maps are collected; large code tables are checkpointed
+            state[c] = freeze(codes.filter(F.col("column") == c))
+    vc.unpersist()  # small maps are collected; large code tables are written
     return state
 
 
@@ -169,16 +171,10 @@ def _apply_code(df: DataFrame, c: str, st, unknown, out_type: str, null_category
     """Returns (df_with_code_column, code column name)."""
     s = as_string(df, c, null_category)
     name = f"{c}__ord"
-    if isinstance(st, tuple):
-        _, table, n = st
-        t = table.select(F.col("value").alias(f"__v_{c}"), F.col("code").cast(out_type).alias(name))
-        if n <= BROADCAST_ROWS:
-            t = F.broadcast(t)
-        joined = df.withColumn(f"__s_{c}", s).join(t, F.col(f"__s_{c}") == F.col(f"__v_{c}"), "left")
-        code = F.when(F.col(f"__s_{c}").isNull(), None if null_category is None else F.lit(unknown)).otherwise(
-            F.coalesce(qcol(name), F.lit(unknown).cast(out_type))
-        )
-        return joined.withColumn(name, code.cast(out_type)).drop(f"__s_{c}", f"__v_{c}"), name
+    if is_frozen(st):
+        cur = look_up(df, s, st, name)
+        missing = s.isNull() if null_category is None else F.lit(False)
+        return cur.withColumn(name, F.when(~missing, F.coalesce(qcol(name), F.lit(unknown))).cast(out_type)), name
     m = F.create_map(*[x for k, v in st.items() for x in (F.lit(k), F.lit(v))]) if st else None
     looked = m[s] if m is not None else F.lit(None)
     code = F.when(s.isNull(), F.lit(None)).otherwise(F.coalesce(looked, F.lit(unknown))).cast(out_type)
@@ -201,9 +197,7 @@ def ordinal(
 ) -> Result:
     """Eager ordinal encoding into ``col__ord`` (bigint codes 0..k-1, null
     for missing); originals dropped."""
-    if not columns or not isinstance(columns, (list, tuple)):
-        raise ValueError("encode_categorical requires 'columns' as a non-empty list")
-    require_columns(df, columns, "encode_categorical")
+    _check(df, columns, handle_unknown)
     state = fit_ordinal(df, columns, ordinal_order)
     warnings = []
     live = {}
@@ -218,7 +212,7 @@ def ordinal(
         "encoded_columns": list(live),
         "dropped_original_columns": list(live),
         "created_columns": [f"{c}__ord" for c in live],
-        "mappings": {c: s for c, s in live.items() if isinstance(s, dict)},
+        "mappings": {c: describe(s) if is_frozen(s) else s for c, s in live.items()},
         "unknown_handling": handle_unknown,
     }
     return eager(out, diff, warnings, state={"ordinal": live})

@@ -105,6 +105,12 @@ def summaries(df: DataFrame, cols: Sequence[str], counters: int = COUNTERS) -> D
     return tasks.groupBy("i", "part").applyInArrow(merge, _SCHEMA).groupBy("i").applyInArrow(merge, _SCHEMA)
 
 
+def few_distinct(df: DataFrame, cols: Sequence[str], most: int) -> set[str]:
+    """The numeric columns with at most ``most`` distinct values: exactly those whose summary never had to cut one of
+    ``most`` counters. (The hash of a number of eight bytes is one to one.)"""
+    return {cols[r["i"]] for r in summaries(df, cols, most).select("i", "error").collect() if r["error"] == 0} if cols else set()
+
+
 @dataclass
 class Heavy:
     """``counts`` is ``(column, value, num, cnt)`` as of V1, exact, for the listed values; ``n`` non-missing values and

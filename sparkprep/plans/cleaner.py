@@ -259,7 +259,8 @@ def _externalise(obj, path: str, counter: list[int]):
 
 def _internalise(obj, spark):
     if isinstance(obj, dict) and "__table__" in obj:
-        return ("table", spark.read.parquet(obj["__table__"]), *[_internalise(x, spark) for x in obj["rest"]])
+        facts = [_internalise(x, spark) for x in obj["rest"]]
+        return ("table", spark.read.parquet(obj["__table__"]), *[x | {"path": obj["__table__"]} for x in facts])
     if isinstance(obj, dict) and "__decimal__" in obj:
         return Decimal(obj["__decimal__"])
     if isinstance(obj, dict) and "__tuple__" in obj:
