@@ -1333,7 +1333,7 @@ def _suggest_sql() -> str:
         f"""SELECT {i} AS pos, '{c}' AS c, {txt} AS txt, count(DISTINCT "{c}") AS u, count(*) AS n, count(*) - count("{c}") AS m FROM dirty_customer"""
         for i, (c, txt) in enumerate(cols)
     )
-    return cte("dirty_customer") + f""", s AS ({stats}),
+    return cte("dirty_customer") + rf""", s AS ({stats}),
 j AS (SELECT *, regexp_matches(lower(c), '(^|[\W_])(id|nbr|key)($|[\W_])') OR u = n OR m / n > 0.4 AS gone FROM s),
 a AS (SELECT 0 AS o, 'fix_column_names' AS action, '' AS target_columns
  UNION ALL SELECT 1, 'drop_column', string_agg(c, ',' ORDER BY pos) FROM j WHERE gone HAVING count(*) > 0
