@@ -4,10 +4,12 @@ A sequence of tokens is what the merges make of a text if and only if each two n
 border comes before the merges that made them. That is decided from the two tokens alone, so the tokens of a text are
 the path of a nondeterministic transducer whose states are the border left by the token before, as far as it can still
 matter, and the bytes of the token in progress. It is made
-deterministic as texts are read: a state of the result holds the paths that are still possible, each with the tokens on
-which they differ, and what all of them share is emitted. A path dies or ends within the longest token, which bounds
-the lookahead. The parts before merging (matches of the pattern) are texts of their own; a bounded memory holds what
-the transducer made of a part, and both the memory and the states start anew when they are full.
+deterministic as texts are read: a state of the result holds the paths that are still possible. One of them stands
+between tokens, as what was read so far has one sequence of tokens; the state tells its last token. The tokens of a
+text are read off the states passed, from the end of the text, or in a long text from where the paths still possible
+part. A path dies or ends within the longest token, which bounds the lookahead. The parts before merging (matches of
+the pattern) are texts of their own; a bounded memory holds what the transducer made of a part, and both the memory
+and the states start anew when they are full.
 
 Decoding reads tokens as a stream: a state machine over the bytes of UTF-8, carried over tokens, gives text as soon as
 it is complete and the replacement character for bytes that are no text.
@@ -21,8 +23,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from functools import lru_cache
-from itertools import islice
+from itertools import accumulate, islice
+from operator import getitem
 from typing import Iterator, Sequence
 
 import numpy as np
@@ -34,8 +38,9 @@ from pyspark.sql import DataFrame
 STATES = 150_000
 PARTS = 200_000
 PART_BYTES = 64
-#: Parts read at a time.
+#: Parts read at a time, and bytes of a part.
 BLOCK = 1 << 16
+STRETCH = 1 << 16
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -51,7 +56,8 @@ class Merges:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.starts = {token[:n] for token in ranks for n in range(1, len(token) + 1)}
+        #: Starts of tokens, each with the least rank of a token that starts so.
+        self.starts = {token[:n]: rank for token, rank in sorted(ranks.items(), key=lambda x: -x[1]) for n in range(1, len(token) + 1)}
         self._last: dict[bytes, tuple[bytes, bytes]] = {}
         self._sides: dict[tuple[int, bool], dict[bytes, float]] = {}
 
@@ -87,23 +93,38 @@ Path = tuple[bytes, tuple[tuple[bytes, float], ...], tuple[tuple[bytes, int], ..
 START: Path = (b"", (), ())
 
 
+class State(dict):
+    """The states after it by byte, made when they are asked for; its paths by number, and the last token of what was read."""
+
+    __slots__ = ("owner", "paths", "token", "size")
+
+    def __init__(self, owner: Transducer, paths: tuple[int, ...], token: int, size: int):
+        self.owner, self.paths, self.token, self.size = owner, paths, token, size
+
+    def __missing__(self, byte: int) -> State:
+        self[byte] = after = self.owner.state_after(self, byte)
+        return after
+
+
 class Transducer:
-    """Bytes in, tokens out. A state is a tuple of (number of a path, its tokens not yet emitted).
+    """Bytes in, tokens out.
 
     Of the token before, a path keeps only what can still matter, so paths and states recur and are numbered.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.merges = Merges(ranks)
+        self.states: dict[tuple[int, ...], State] = {}
         self._reset()
 
     def _reset(self) -> None:
+        for state in self.states.values():  # they refer to each other
+            state.clear()
         self.paths, self.path_numbers = [START], {START: 0}
         self.steps: dict[int, tuple[int, int]] = {}
-        self.after: dict[int, int] = {}
-        self.states: list[tuple[tuple[int, tuple[int, ...]], ...]] = [((0, ()),)]
-        self.numbers = {self.states[0]: 0}
-        self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.between: dict[int, int] = {}
+        self.root = State(self, (0,), -1, 0)
+        self.states = {self.root.paths: self.root}
 
     def _path(self, path: Path) -> int:
         number = self.path_numbers.get(path)
@@ -112,15 +133,13 @@ class Transducer:
             self.paths.append(path)
         return number
 
-    def _step(self, number: int, byte: int) -> tuple[int, int]:
+    def _step(self, number: int, now: bytes) -> tuple[int, int]:
         """The path with a byte more, and the token that ends there, if it may stand after the one before; else -1."""
         starts, ranks = self.merges.starts, self.merges.ranks
-        begun, border, merging = self.paths[number]
-        now = begun + bytes((byte,))
-        if now not in starts:
-            return -1, -1
-        border = tuple((x, until) for x, until in border if x + now in starts)
-        merging += tuple((now, rank) for x, until in border if (rank := ranks.get(x + now, until)) < until)
+        _, border, merging = self.paths[number]
+        if border:
+            border = tuple([(x, until) for x, until in border if starts.get(x + now, until) < until])
+            merging += tuple([(now, rank) for x, until in border if (rank := ranks.get(x + now, until)) < until])
         token = ranks.get(now, -1)
         if token >= 0 and merging:
             ends = self.merges.side(token, False)
@@ -129,42 +148,59 @@ class Transducer:
                 token = -1
         return self._path((now, border, merging)), token
 
-    def _arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        paths = []
-        for number, held in self.states[state]:
-            step = self.steps.get(number << 8 | byte)
-            if step is None:
-                step = self.steps[number << 8 | byte] = self._step(number, byte)
-            on, token = step
-            if on >= 0:
-                paths.append((on, held))
-            if token >= 0:
-                after = self.after.get(token)
-                if after is None:
-                    after = self.after[token] = self._path((b"", tuple(self.merges.side(token, True).items()), ()))
-                paths.append((after, (*held, token)))
-        first, shared = paths[0][1], 0
-        while shared < len(first) and all(len(held) > shared and held[shared] == first[shared] for _, held in paths):
-            shared += 1
-        key = tuple((on, held[shared:]) for on, held in paths) if shared else tuple(paths)
-        number = self.numbers.get(key)
-        if number is None:
-            number = self.numbers[key] = len(self.states)
-            self.states.append(key)
-        self.arcs[state << 8 | byte] = arc = (number, first[:shared])
-        return arc
+    def state_after(self, state: State, byte: int) -> State:
+        starts, paths, steps = self.merges.starts, self.paths, self.steps
+        on, last, more = [], -1, bytes((byte,))
+        for number in state.paths:
+            now = paths[number][0] + more
+            if now in starts:
+                step = steps.get(number << 8 | byte)
+                if step is None:
+                    step = steps[number << 8 | byte] = self._step(number, now)
+                on.append(step[0])
+                if step[1] >= 0:
+                    last = step[1]
+        after = self.between.get(last)
+        if after is None:
+            after = self.between[last] = self._path((b"", tuple(self.merges.side(last, True).items()), ()))
+        key = (*on, after)
+        found = self.states.get(key)
+        if found is None:
+            found = self.states[key] = State(self, key, last, len(self.merges.tokens[last]))
+        return found
+
+    @staticmethod
+    def _back(passed: list[State], end: int) -> list[int]:
+        """The tokens up to ``end``, read off the states passed."""
+        out = []
+        while end:
+            state = passed[end]
+            out.append(state.token)
+            end -= state.size
+        out.reverse()
+        return out
 
     def encode(self, part: bytes) -> tuple[int, ...]:
         if len(self.states) > STATES:
             self._reset()
-        state, out, get = 0, [], self.arcs.get
-        for byte in part:
-            state, done = get(state << 8 | byte) or self._arc(state, byte)
-            if done:
-                out += done
-        # the path that stands between tokens
-        out += next((held for on, held in self.states[state] if not self.paths[on][0]), ())
-        return tuple(out)
+        if len(part) > STRETCH:
+            return tuple(self._long(part))
+        return tuple(self._back(list(accumulate(part, getitem, initial=self.root)), len(part)))
+
+    def _long(self, part: bytes) -> Iterator[int]:
+        """The same by stretches; of those before, the states since the paths still possible part are kept."""
+        passed = [self.root]
+        for at in range(0, len(part), STRETCH):
+            passed += islice(accumulate(part[at : at + STRETCH], getitem, initial=passed[-1]), 1, None)
+            ends = {len(passed) - 1 - len(self.paths[number][0]) for number in passed[-1].paths}
+            while len(ends) > 1:
+                end = max(ends)
+                ends.remove(end)
+                ends.add(end - passed[end].size)
+            end = ends.pop()
+            yield from self._back(passed, end)
+            del passed[:end]
+        yield from self._back(passed, len(passed) - 1)
 
 
 #: The state machine of UTF-8: by state, ranges of bytes and the state after; state 0 is between characters.
@@ -187,7 +223,13 @@ class Decoder:
         self.tokens = tokens
         self.steps = [{b: after for low, high, after in ranges for b in range(low, high + 1)} for ranges in UTF8]
         self.known: dict[tuple[int, bytes], dict[int, tuple[str, tuple[int, bytes]]]] = {(0, b""): {}}
-        self.whole = {i: data.decode() for i, data in tokens.items() if self.step((0, b""), data)[1] == (0, b"") and b"\xef\xbf\xbd" not in data and "�" not in self.step((0, b""), data)[0]}
+        #: Texts by token; None, and marked as cut, for a token that is not of whole characters.
+        self.whole = np.full(max(tokens, default=-1) + 1, None, object)
+        for i, data in tokens.items():
+            text, state = self.step((0, b""), data)
+            if state == (0, b"") and "�" not in text:
+                self.whole[i] = text
+        self.cut = np.equal(self.whole, None).astype(bool)
 
     def step(self, state: tuple[int, bytes], data: bytes) -> tuple[str, tuple[int, bytes]]:
         """Text that ``data`` completes, and the state after: (state of the machine, bytes of the character begun)."""
@@ -208,19 +250,18 @@ class Decoder:
 
     def stream(self, ids: Sequence[int], state: tuple[int, bytes]) -> tuple[str, tuple[int, bytes]]:
         """The text of the next tokens of a stream, and the state after them."""
-        if not state[0]:
-            try:  # most tokens are whole characters
-                return "".join(map(self.whole.__getitem__, ids)), state
-            except KeyError:
-                pass
-        out = []
-        for i in ids:
-            table = self.known.setdefault(state, {})
-            if i not in table:
-                table[i] = self.step(state, self.tokens[i])
-            text, state = table[i]
-            out.append(text)
-        return "".join(out), state
+        ids = np.asarray(ids, np.uint32)
+        texts, at = self.whole.take(ids).tolist(), 0
+        cuts = np.flatnonzero(self.cut.take(ids)).tolist()
+        for i in [0, *cuts] if state[0] else cuts:  # most tokens are whole characters
+            at = max(at, i)
+            while at < len(texts) and (state[0] or texts[at] is None):
+                token, table = int(ids[at]), self.known.setdefault(state, {})
+                if token not in table:
+                    table[token] = self.step(state, self.tokens[token])
+                texts[at], state = table[token]
+                at += 1
+        return "".join(texts), state
 
     @staticmethod
     def end(state: tuple[int, bytes]) -> str:
@@ -242,7 +283,8 @@ class Coder(dict):
 
     def __missing__(self, part: str) -> bytes:
         data = part.encode()
-        ids = np.array(self.transducer.encode(data), "<u4").tobytes()
+        found = self.transducer.encode(data)
+        ids = struct.pack(f"<{len(found)}I", *found)
         if len(data) <= PART_BYTES:
             if len(self) >= PARTS:
                 self.clear()
@@ -262,7 +304,7 @@ class Coder(dict):
         """Number of ids, SHA-256 of the ids and of the decoded text, and with ``keep`` the ids."""
         n, ids_sum, text_sum, state, kept = 0, hashlib.sha256(), hashlib.sha256(), (0, b""), []
         for data in self.blocks(text or ""):
-            ids = np.frombuffer(data, "<u4").tolist()
+            ids = np.frombuffer(data, "<u4")
             decoded, state = self.decoder.stream(ids, state)
             n += len(ids)
             ids_sum.update(data)

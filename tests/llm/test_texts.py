@@ -234,6 +234,36 @@ def test_ids_of_odd_texts(coders, monkeypatch):
     check_ids(coders, texts[:120])
 
 
+def test_states_do_not_hold_tokens(coders):
+    from itertools import product
+
+    own, want = bpe.Transducer(coders[0].transducer.merges.ranks), coders[1]
+    words = [" " + "".join(x) for x in product(["an", "tion", "ouê", "ß", "th", "er", "wh", "keit", "ñ", "ly"], repeat=4)]
+    assert all(list(own.encode(word.encode())) == want.encode_ordinary(word) for word in words)
+    assert len(own.states) < 800  # 1055 when states held tokens too
+
+
+def test_long_parts_are_read_by_stretches(coders, monkeypatch):
+    parts = ["a" * 700, "ab" * 300, " " * 500, "🙂👍" * 40, "ionsquelettersandthennation" * 20, "語言模型" * 60, "x"]
+    for stretch in (1, 3, 16, 100):
+        monkeypatch.setattr(bpe, "STRETCH", stretch)
+        coders[0].clear()
+        check_ids(coders, parts)
+
+
+def test_cut_characters_alone_are_decoded_by_bytes(coders):
+    own, tokens = bpe.Decoder(coders[0].transducer.merges.tokens), coders[0].transducer.merges.tokens
+    text = "plain words, then ꙮ and 𒀀 and more plain words " * 5
+    ids = coders[1].encode_ordinary(text)
+    assert own.stream(ids, (0, b"")) == (text, (0, b""))
+    cut = own.known[0, b""]
+    assert cut and all(not tokens[i].isascii() for i in cut)
+    for at in range(len(ids)):  # a stream goes on where it stopped, inside a character too
+        first, state = own.stream(ids[:at], (0, b""))
+        rest, state = own.stream(ids[at:], state)
+        assert (first + rest, state) == (text, (0, b""))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.binary(max_size=24), st.lists(st.integers(0, 24), max_size=5))
 def test_stream_decoding_of_any_bytes(data, cuts):
